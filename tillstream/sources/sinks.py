@@ -7,7 +7,12 @@ from pyspark.sql import functions as F
 
 
 def write_partitioned(
-    df: DataFrame, path: str, by: str = "date", mode: str = "overwrite", tasks_per_value: int = 32
+    df: DataFrame,
+    path: str,
+    by: str = "date",
+    mode: str = "overwrite",
+    spread_by: str = "event_id",
+    tasks_per_value: int = 32,
 ) -> None:
     """Snappy parquet with one folder per ``by`` value.
 
@@ -15,7 +20,7 @@ def write_partitioned(
     third of all rows is not written by one task; the number of files stays bounded
     and adaptive execution merges the small ones.
     """
-    spread = F.pmod(F.xxhash64(*[c for c, t in df.dtypes if c != by and not t.startswith("map")]), F.lit(tasks_per_value))
+    spread = F.pmod(F.xxhash64(spread_by), F.lit(tasks_per_value))
     (
         df.withColumn("_spread", spread)
         .repartition(by, "_spread")
