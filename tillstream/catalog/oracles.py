@@ -41,7 +41,8 @@ base AS (
     CASE WHEN event_id % 4 = 0 THEN NULL ELSE 'email' END AS utm_medium,
     CASE WHEN event_id % 4 = 0 THEN NULL ELSE 'spring' END AS utm_campaign,
     product AS product_id, 'Product ' || product AS product_name, price, 
-    CASE WHEN event_id % 211 = 0 THEN NULL ELSE qty END AS quantity, price * qty AS line_total
+    CASE WHEN event_id % 211 = 0 THEN NULL ELSE qty END AS quantity,
+    price * qty + CASE WHEN event_id % 193 = 0 THEN 7 ELSE 0 END AS line_total, price * qty AS unit_total
   FROM priced
 )"""
 
@@ -53,7 +54,7 @@ clean AS (
     coalesce(utm_campaign, 'unknown') AS utm_campaign, coalesce(referrer, 'direct') AS referrer,
     CAST(coalesce(price, 0) AS DOUBLE) AS product_price_vnd, round(coalesce(price, 0) / 24000.0, 6) AS product_price_usd,
     CAST(coalesce(quantity, 0) AS DOUBLE) AS quantity, CAST(coalesce(line_total, 0) AS DOUBLE) AS line_total_vnd,
-    round(coalesce(line_total, 0) / 24000.0, 6) AS line_total_usd
+    round(coalesce(unit_total, 0) / 24000.0, 6) AS line_total_usd
   FROM cart
   WHERE customer_id IS NOT NULL AND event_type IS NOT NULL AND coalesce(price, 0) >= 0 AND coalesce(quantity, 0) >= 0
 )"""
@@ -187,7 +188,8 @@ momo0 AS (
 ZALO = f"""
 zalo0 AS (
   SELECT *, CAST(floor(o_totalprice) AS BIGINT) AS amount, 200000000000000 + o_orderkey AS zp,
-    strftime(o_orderdate, '%y%m%d') || '_' || o_orderkey AS app_trans
+    strftime(o_orderdate, '%y%m%d') || CASE WHEN o_orderkey % 113 = 0 THEN '-' ELSE '_' END
+      || lpad(CAST(o_orderkey AS VARCHAR), greatest(6, length(CAST(o_orderkey AS VARCHAR)))::INT, '0') AS app_trans
   FROM orders
 ), zalo AS (
   SELECT 'TXN' || (o_orderkey * 5) AS transaction_id, o_orderkey AS ingest_ord, o_custkey AS customer_id,

@@ -19,12 +19,12 @@ def iso_text(c: Column) -> Column:
 
 
 def iso_timestamp(c: Column) -> Column:
-    """Strict parse (a malformed value raises); the fraction is optional."""
-    return iso_text(c).cast("timestamp_ntz")
+    """Strict parse (a malformed value raises); the fraction is optional, a zone suffix is ignored."""
+    return c.cast("timestamp_ntz")
 
 
 def iso_timestamp_or_null(c: Column) -> Column:
-    return iso_text(c).try_cast("timestamp_ntz")
+    return c.try_cast("timestamp_ntz")
 
 
 def timestamp_iso(c: Column) -> Column:

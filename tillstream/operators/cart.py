@@ -10,7 +10,7 @@ from tillstream.functions import epoch_seconds, seconds_between, truncated
 from tillstream.operators.ranking import top_k
 
 SEGMENT_SECONDS = 3600
-PIECE_EVENTS = 10_000
+PIECE_EVENTS = 100_000
 
 
 def cart_distribution(events: DataFrame) -> DataFrame:

@@ -64,9 +64,25 @@ def transaction_matches(keys: DataFrame, sources: dict[str, DataFrame]) -> DataF
 
 
 def transaction_lookup(keys: DataFrame, sources: dict[str, DataFrame]) -> DataFrame:
-    """Per wanted id: the sources it was found in (search order) and their number."""
-    found = transaction_matches(keys, sources).groupBy("transaction_id").agg(
-        F.sort_array(F.collect_list(F.struct("source_no", "source"))).alias("hits")
+    """Per wanted id: the sources it was found in (search order) and their number.
+
+    Only the key columns are read. Each source is one bit, so a repeated id is folded
+    into one small number per task before anything is exchanged.
+    """
+    marks = [
+        df.select(F.col(c).cast("string").alias("transaction_id"), F.lit(1 << SOURCES.index(name)).alias("mark"))
+        for name, df in sources.items()
+        for c in _key_columns(name, df)
+    ]
+    found = (
+        reduce(DataFrame.unionByName, marks)
+        .filter("transaction_id is not null")
+        .groupBy("transaction_id")
+        .agg(F.bit_or("mark").alias("mark"))
+    )
+    names = F.filter(
+        F.array(*[F.lit(s) for s in SOURCES]),
+        lambda s, i: F.col("mark").bitwiseAND(F.element_at(F.array(*[F.lit(1 << n) for n in range(7)]), i + 1)) != 0,
     )
     return (
         keys.select("transaction_id")
@@ -74,8 +90,8 @@ def transaction_lookup(keys: DataFrame, sources: dict[str, DataFrame]) -> DataFr
         .join(found, "transaction_id", "left")
         .select(
             "transaction_id",
-            F.coalesce(F.col("hits.source"), F.array().cast("array<string>")).alias("found_in_sources"),
-            F.coalesce(F.size("hits"), F.lit(0)).alias("matches"),
+            F.when(F.col("mark").isNull(), F.array().cast("array<string>")).otherwise(names).alias("found_in_sources"),
+            F.coalesce(F.bit_count("mark"), F.lit(0)).alias("matches"),
         )
     )
 

@@ -3,7 +3,8 @@
 A session may hold a large part of all events, so nothing here groups or sorts a
 whole session's events in one task. Events are split by (session, time segment)
 and, inside a segment, into pieces of bounded length; each piece is reduced to
-one row, and only those rows meet per session.
+one row. Only those rows meet per session, and the event types of a very long
+session stay behind (see ``SESSION_JOURNEY_EVENTS``).
 """
 
 from __future__ import annotations
@@ -13,15 +14,18 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tillstream.functions import epoch_seconds, seconds_between
+from tillstream.operators.ranking import numbered_in_segments
 
 SEGMENT_SECONDS = 3600
 PIECE_EVENTS = 10_000
-# Longer journeys do not fit a cell worth having. Their column stays null and
-# journey_parts() holds them whole, in order.
-SESSION_JOURNEY_EVENTS = 1_000_000
+# The journey column holds the text of sessions up to this many events. Beyond, it is
+# null and journey_parts() has the whole journey in order, whatever its length.
+SESSION_JOURNEY_EVENTS = 100_000
+# The same on event rows, where the text is repeated for every event of the session.
 EVENT_JOURNEY_EVENTS = 10_000
 
 _ORDER = ["timestamp", "ingest_ord"]
+_PIECE = ["session_id", "segment", "piece"]
 
 
 def _segment() -> Column:
@@ -32,19 +36,27 @@ def _local_number() -> Column:
     return F.row_number().over(W.partitionBy("session_id", "segment").orderBy(*_ORDER))
 
 
-def _pieces(events: DataFrame, piece_events: int = PIECE_EVENTS) -> DataFrame:
-    """One row per (session, segment, piece); the grouping reuses the window's exchange."""
+def _order_only(events: DataFrame) -> DataFrame:
+    return events.select("session_id", *_ORDER, "event_type")
+
+
+def session_pieces(events: DataFrame, piece_events: int = PIECE_EVENTS) -> DataFrame:
+    """One row per (session, segment, piece), all from a single exchange of the events.
+
+    Everything about sessions follows from these rows. A job that needs several of the
+    session tables writes them once and hands them to the functions below.
+    """
 
     def earliest(name: str) -> Column:
         return F.min(F.when(F.col(name).isNotNull(), F.struct(*_ORDER, name))).alias(f"first_{name}")
 
     firsts = [c for c in ("customer_id", "source", "device") if c in events.columns]
     steps = F.sort_array(F.collect_list(F.struct(*_ORDER, "event_type")))
-    return (
+    pieces = (
         events.select("session_id", *_ORDER, "event_type", *firsts)
         .withColumn("segment", _segment())
         .withColumn("piece", F.floor((_local_number() - 1) / piece_events))
-        .groupBy("session_id", "segment", "piece")
+        .groupBy(*_PIECE)
         .agg(
             F.count(F.lit(1)).alias("n"),
             F.min("timestamp").alias("first_time"),
@@ -54,35 +66,54 @@ def _pieces(events: DataFrame, piece_events: int = PIECE_EVENTS) -> DataFrame:
             *[earliest(c) for c in firsts],
         )
     )
+    return pieces.withColumn("segment_n", F.sum("n").over(W.partitionBy("session_id", "segment")))
+
+
+def _movable(pieces: DataFrame, journey_events: int) -> DataFrame:
+    """Pieces ready to meet per session: a segment that alone is too long for the
+    journey column leaves its event types behind."""
+    return pieces.withColumn("types", F.when(F.col("segment_n") <= journey_events, F.col("types"))).withColumn(
+        "total_events", F.sum("n").over(W.partitionBy("session_id"))
+    )
 
 
-def _session_total() -> Column:
-    return F.sum("n").over(W.partitionBy("session_id"))
+def _earlier() -> Column:
+    """Events of the session before this piece."""
+    before = W.partitionBy("session_id").orderBy("segment", "piece").rowsBetween(W.unboundedPreceding, -1)
+    return F.coalesce(F.sum("n").over(before), F.lit(0))
 
 
-def _journey(pieces: Column, separator: str) -> Column:
-    return F.array_join(F.flatten(F.transform(F.sort_array(pieces), lambda p: p["types"])), separator)
+def _short(journey_events: int) -> Column:
+    return F.col("total_events") <= journey_events
 
 
-def _pieces_up_to(events_limit: int) -> Column:
-    return F.collect_list(F.when(F.col("total_events") <= events_limit, F.struct("segment", "piece", "types")))
+def _collected_types(journey_events: int, *order: str) -> Column:
+    """Types of a short session's pieces; nothing is collected for a long one."""
+    return F.collect_list(F.when(_short(journey_events), F.struct(*order, "types")))
 
 
-def _text_or_null(text: Column, limit: int) -> Column:
-    return F.when(F.col("total_events") <= limit, text)
+def _journey(collected: str, journey_events: int, separator: str = ",") -> Column:
+    text = F.array_join(F.flatten(F.transform(F.sort_array(collected), lambda p: p["types"])), separator)
+    return F.when(_short(journey_events), text)
 
 
-def session_metrics(events: DataFrame, journey_events: int = SESSION_JOURNEY_EVENTS) -> DataFrame:
+def _duration() -> Column:
+    return seconds_between(F.col("session_start"), F.col("session_end")).alias("session_duration_seconds")
+
+
+def session_metrics(
+    events: DataFrame | None, journey_events: int = SESSION_JOURNEY_EVENTS, pieces: DataFrame | None = None
+) -> DataFrame:
     """One row per session: span, size, journey and first known customer, source, device."""
     firsts = ("customer_id", "source", "device")
+    pieces = session_pieces(events) if pieces is None else pieces
     per_session = (
-        _pieces(events)
-        .withColumn("total_events", _session_total())
+        _movable(pieces, journey_events)
         .groupBy("session_id", "total_events")
         .agg(
             F.min("first_time").alias("session_start"),
             F.max("last_time").alias("session_end"),
-            _pieces_up_to(journey_events).alias("parts"),
+            _collected_types(journey_events, "segment", "piece").alias("parts"),
             F.bool_or("purchased").alias("has_purchase_event"),
             *[F.min(f"first_{c}").alias(f"first_{c}") for c in firsts],
         )
@@ -92,30 +123,28 @@ def session_metrics(events: DataFrame, journey_events: int = SESSION_JOURNEY_EVE
         "session_start",
         "session_end",
         "total_events",
-        _text_or_null(_journey(F.col("parts"), ","), journey_events).alias("event_journey"),
+        _journey("parts", journey_events).alias("event_journey"),
         *[F.col(f"first_{c}")[c].alias(c) for c in firsts],
-        seconds_between(F.col("session_start"), F.col("session_end")).alias("session_duration_seconds"),
+        _duration(),
         # always false in the data model; the real signal is the column after it
         F.lit(False).alias("has_purchase"),
         "has_purchase_event",
     )
 
 
-def _spans(events: DataFrame, journey_events: int) -> DataFrame:
+def _spans(pieces: DataFrame, journey_events: int) -> DataFrame:
     """Per (session, segment): number of earlier events, with the session's own columns."""
     whole = W.partitionBy("session_id")
-    before = whole.orderBy("segment", "piece").rowsBetween(W.unboundedPreceding, -1)
     return (
-        _pieces(events.select("session_id", *_ORDER, "event_type"))
+        _movable(pieces.select(*_PIECE, "n", "segment_n", "first_time", "last_time", "types"), journey_events)
         .withColumns(
             {
-                "total_events": _session_total(),
-                "earlier": F.coalesce(F.sum("n").over(before), F.lit(0)),
+                "earlier": _earlier(),
                 "session_start": F.min("first_time").over(whole),
                 "session_end": F.max("last_time").over(whole),
             }
         )
-        .withColumn("parts", _pieces_up_to(journey_events).over(whole))
+        .withColumn("parts", _collected_types(journey_events, "segment", "piece").over(whole))
         .filter("piece = 0")
         .select(
             "session_id",
@@ -124,21 +153,24 @@ def _spans(events: DataFrame, journey_events: int) -> DataFrame:
             "session_start",
             "session_end",
             "total_events",
-            seconds_between(F.col("session_start"), F.col("session_end")).alias("session_duration_seconds"),
-            _text_or_null(_journey(F.col("parts"), ","), journey_events).alias("event_journey"),
+            _duration(),
+            _journey("parts", journey_events).alias("event_journey"),
         )
     )
 
 
-def enrich_events(events: DataFrame, journey_events: int = EVENT_JOURNEY_EVENTS) -> DataFrame:
+def enrich_events(
+    events: DataFrame, journey_events: int = EVENT_JOURNEY_EVENTS, pieces: DataFrame | None = None
+) -> DataFrame:
     """Every event with its number in the session and the session's columns.
 
     The wide rows are exchanged once, on (session, segment); the span rows join
     on the same keys, so a session with a third of the events stays spread out.
     """
     numbered = events.withColumn("segment", _segment()).withColumn("_local", _local_number())
+    pieces = session_pieces(_order_only(events)) if pieces is None else pieces
     return (
-        numbered.join(_spans(events, journey_events), ["session_id", "segment"])
+        numbered.join(_spans(pieces, journey_events), ["session_id", "segment"])
         .withColumn("event_sequence_num", F.col("earlier") + F.col("_local"))
         .drop("segment", "_local", "earlier")
     )
@@ -146,55 +178,91 @@ def enrich_events(events: DataFrame, journey_events: int = EVENT_JOURNEY_EVENTS)
 
 def event_sequence(events: DataFrame) -> DataFrame:
     """Only the number of each event within its session."""
-    from tillstream.operators.ranking import numbered_in_segments
-
     return numbered_in_segments(
         events.select("event_id", "session_id", *_ORDER), ["session_id"], _segment(), _ORDER, "event_sequence_num"
     ).select("event_id", "session_id", "event_sequence_num")
 
 
-def journey_parts(events: DataFrame, piece_events: int = PIECE_EVENTS) -> DataFrame:
-    """Whole journeys of any length as ordered parts of bounded size."""
-    parts = W.partitionBy("session_id").orderBy("segment", "piece")
-    before = parts.rowsBetween(W.unboundedPreceding, -1)
-    return _pieces(events.select("session_id", *_ORDER, "event_type"), piece_events).select(
-        "session_id",
-        F.row_number().over(parts).cast("bigint").alias("part_no"),
-        (F.coalesce(F.sum("n").over(before), F.lit(0)) + 1).alias("first_sequence_num"),
-        F.col("n").alias("events"),
-        F.array_join("types", ",").alias("journey_part"),
+def journey_parts(
+    events: DataFrame | None, piece_events: int = PIECE_EVENTS, pieces: DataFrame | None = None
+) -> DataFrame:
+    """Whole journeys of any length as ordered parts of bounded size.
+
+    Positions come from the pieces' counts alone; the texts join them piece by piece
+    and never gather per session.
+    """
+    pieces = session_pieces(_order_only(events), piece_events) if pieces is None else pieces
+    in_order = W.partitionBy("session_id").orderBy("segment", "piece")
+    places = pieces.select(
+        *_PIECE,
+        F.row_number().over(in_order).cast("bigint").alias("part_no"),
+        (_earlier() + 1).alias("first_sequence_num"),
+    )
+    texts = pieces.select(*_PIECE, F.col("n").alias("events"), F.array_join("types", ",").alias("journey_part"))
+    return texts.join(places, _PIECE).drop("segment", "piece")
+
+
+# Parameters of the fingerprint: a prime that keeps products within 63 bits, two bases.
+_PRIME, _BASES = 2_147_483_647, (1_000_003, 998_244_353)
+
+
+def _times(a: Column, b) -> Column:
+    return (a * b) % _PRIME
+
+
+def _sequence_hash(types: Column, base: int) -> Column:
+    """Polynomial hash of a sequence of texts; hashes of parts add up, see below."""
+    return F.aggregate(
+        types,
+        F.lit(0).cast("bigint"),
+        lambda h, t: (_times(h, F.lit(base)) + F.pmod(F.xxhash64(t), F.lit(_PRIME))) % _PRIME,
     )
 
 
+def _power(base: int, exponent: Column) -> Column:
+    """``base ** exponent`` modulo the prime, for exponents below 2^48."""
+    start = F.struct(F.lit(1).cast("bigint").alias("r"), F.lit(base).cast("bigint").alias("b"))
+
+    def square(s: Column, bit: Column) -> Column:
+        odd = F.pmod(F.floor(exponent / F.pow(F.lit(2.0), bit)), F.lit(2)) == 1
+        return F.struct(F.when(odd, _times(s["r"], s["b"])).otherwise(s["r"]).alias("r"), _times(s["b"], s["b"]).alias("b"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(47)), start, square)["r"]
+
+
 def journey_patterns(
     events: DataFrame, k: int = 20, journey_events: int = SESSION_JOURNEY_EVENTS, separator: str = " -> "
 ) -> DataFrame:
     """The ``k`` most frequent journeys.
 
-    Sessions longer than ``journey_events`` are compared by a fingerprint of
-    (position, type) pairs instead of their text; it adds up piece by piece.
+    Sessions longer than ``journey_events`` are compared by their length and two
+    62-bit-wide sequence hashes instead of their text. A piece's hash times the base to
+    the number of later events is its share; shares are added up over the pieces, so
+    equal journeys have equal sums however they are cut.
     """
-    whole = W.partitionBy("session_id")
-    before = whole.orderBy("segment", "piece").rowsBetween(W.unboundedPreceding, -1)
-    zero = F.lit(0).cast("decimal(38,0)")
-    fingerprint = F.aggregate(
-        F.transform("types", lambda t, i: F.xxhash64(F.col("earlier") + i, t).cast("decimal(38,0)")),
-        zero,
-        lambda a, h: (a + h).cast("decimal(38,0)"),
+    long_segment = F.col("segment_n") > journey_events
+    pieces = session_pieces(_order_only(events)).withColumns(
+        {f"h{i}": F.when(long_segment, _sequence_hash(F.col("types"), b)) for i, b in enumerate(_BASES)}
     )
+
+    def share(i: int, base: int) -> Column:
+        own = F.coalesce(f"h{i}", _sequence_hash(F.col("types"), base))
+        later = F.col("total_events") - F.col("earlier") - F.col("n")
+        return F.sum(F.when(~_short(journey_events), _times(own, _power(base, later)))) % _PRIME
+
     sessions = (
-        _pieces(events.select("session_id", *_ORDER, "event_type"))
-        .withColumn("total_events", _session_total())
-        .withColumn("earlier", F.coalesce(F.sum("n").over(before), F.lit(0)))
+        _movable(pieces, journey_events)
+        .withColumn("earlier", _earlier())
         .groupBy("session_id", "total_events")
         .agg(
-            _pieces_up_to(journey_events).alias("parts"),
-            F.sum(F.when(F.col("total_events") > journey_events, fingerprint)).alias("mark"),
+            _collected_types(journey_events, "segment", "piece").alias("parts"),
+            *[share(i, b).alias(f"h{i}") for i, b in enumerate(_BASES)],
         )
         .select(
-            F.when(F.col("total_events") <= journey_events, _journey(F.col("parts"), separator))
-            .otherwise(F.concat(F.col("total_events"), F.lit(" events #"), F.col("mark")))
-            .alias("journey_pattern")
+            F.coalesce(
+                _journey("parts", journey_events, separator),
+                F.concat("total_events", F.lit(" events #"), "h0", F.lit("-"), "h1"),
+            ).alias("journey_pattern")
         )
     )
     counts = sessions.groupBy("journey_pattern").agg(F.count(F.lit(1)).alias("sessions"))

@@ -1,19 +1,21 @@
-"""The event pipeline: raw events in, three tables out."""
+"""The event pipeline: raw events in; events, sessions and a daily summary out."""
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tillstream.operators.cleaning import new_events, prepared_events
 from tillstream.operators.metrics import daily_summary
-from tillstream.operators.sessions import enrich_events, journey_parts, session_metrics
+from tillstream.operators.sessions import enrich_events, session_metrics, session_pieces
 from tillstream.session import materialise
 from tillstream.sources.sinks import write_csv, write_partitioned, write_table
 
-EVENTS, SESSIONS, JOURNEYS, SUMMARY = (
+EVENTS, SESSIONS, PIECES, SUMMARY = (
     "cart_events_cleaned",
     "session_metrics.parquet",
-    "journey_parts.parquet",
+    "session_pieces.parquet",
     "transformation_summary.csv",
 )
 
@@ -25,18 +27,28 @@ def transform_events(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def run_transformation(raw: DataFrame, out_dir: str) -> dict[str, str]:
-    """Write events (by date), sessions, whole journeys and the daily summary.
+    """Write events (by date), sessions, their pieces and the daily summary.
 
-    The cleaned, de-duplicated events are written once to the shared folder: the raw
-    files are parsed once, each output reads only its columns, and work lost with an
-    executor is redone from there.
+    Two tables come first: the cleaned, de-duplicated events in the shared folder (the
+    raw files are parsed once), and their session pieces (sessions are ordered once;
+    ``journey_parts`` reads whole journeys from them). The other outputs read only the
+    columns they need from these, and work lost with an executor is redone from there.
+    They are independent jobs, submitted together to fill each other's idle slots.
     """
+    spark = raw.sparkSession
+    paths = {name: f"{out_dir}/{name}" for name in (EVENTS, SESSIONS, PIECES, SUMMARY)}
     events = materialise(prepared_events(raw), "prepared-events")
-    write_partitioned(enrich_events(events), f"{out_dir}/{EVENTS}")
-    write_table(session_metrics(events), f"{out_dir}/{SESSIONS}")
-    write_table(journey_parts(events), f"{out_dir}/{JOURNEYS}")
-    write_csv(daily_summary(events), f"{out_dir}/{SUMMARY}")
-    return {name: f"{out_dir}/{name}" for name in (EVENTS, SESSIONS, JOURNEYS, SUMMARY)}
+    write_table(session_pieces(events), paths[PIECES])
+    pieces = spark.read.parquet(paths[PIECES])
+    outputs = [
+        lambda: write_partitioned(enrich_events(events, pieces=pieces), paths[EVENTS]),
+        lambda: write_table(session_metrics(None, pieces=pieces), paths[SESSIONS]),
+        lambda: write_csv(daily_summary(events), paths[SUMMARY]),
+    ]
+    with ThreadPoolExecutor(len(outputs)) as pool:
+        for job in [pool.submit(write) for write in outputs]:
+            job.result()
+    return paths
 
 
 def append_events(spark: SparkSession, raw: DataFrame, events_dir: str) -> None:

@@ -6,25 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def write_partitioned(
-    df: DataFrame,
-    path: str,
-    by: str = "date",
-    mode: str = "overwrite",
-    spread_by: str = "event_id",
-    tasks_per_value: int = 32,
-) -> None:
+def write_partitioned(df: DataFrame, path: str, by: str = "date", mode: str = "overwrite") -> None:
     """Snappy parquet with one folder per ``by`` value.
 
-    Rows are spread over up to ``tasks_per_value`` tasks per value, so a date with a
-    third of all rows is not written by one task; the number of files stays bounded
-    and adaptive execution merges the small ones.
+    The rebalance hint gathers a value's rows into few files, and adaptive execution
+    splits the values too large for one task, such as a date with a third of all rows.
     """
-    spread = F.pmod(F.xxhash64(spread_by), F.lit(tasks_per_value))
     (
-        df.withColumn("_spread", spread)
-        .repartition(by, "_spread")
-        .drop("_spread")
+        df.hint("rebalance", by)
         .write.mode(mode)
         .partitionBy(by)
         .option("compression", "snappy")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _KIND = {
     "signup": "add_to_cart",
@@ -18,8 +19,15 @@ _KIND = {
 }
 
 
+_SCHEMAS: dict[str, T.StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One of the given tables; its schema is read from the files once per process."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def cart_events(spark: SparkSession, sf_dir: str, session_by: str = "day") -> DataFrame:
@@ -61,7 +69,7 @@ def as_cart_events(events: DataFrame, session_by: str = "day") -> DataFrame:
         "cast(price as string) as product_price_vnd",
         "cast(price / 24000 as string) as product_price_usd",
         "if(event_id % 211 = 0, 'x', cast(qty as string)) as quantity",
-        "cast(price * qty as string) as line_total_vnd",
+        "cast(price * qty + if(event_id % 193 = 0, 7, 0) as string) as line_total_vnd",
         "cast(price * qty / 24000 as string) as line_total_usd",
     )
 
@@ -238,7 +246,8 @@ def zalopay_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
         "*",
         "cast(floor(o_totalprice) as bigint) as amount",
         "200000000000000 + o_orderkey as zp",
-        "concat(date_format(o_orderdate, 'yyMMdd'), '_', o_orderkey) as app_trans",
+        "concat(date_format(o_orderdate, 'yyMMdd'), if(o_orderkey % 113 = 0, '-', '_'), "
+        "lpad(cast(o_orderkey as string), greatest(6, length(cast(o_orderkey as string))), '0')) as app_trans",
     ).selectExpr(
         "concat('TXN', o_orderkey * 5) as transaction_id",
         "o_orderkey as ingest_ord",

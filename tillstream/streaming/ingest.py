@@ -16,13 +16,22 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tillstream.functions import seconds_between
 from tillstream.operators.cleaning import clean_events, dedup_events, new_events
 from tillstream.operators.ranking import first_per_key, numbered_in_segments
-from tillstream.operators.sessions import EVENT_JOURNEY_EVENTS, _journey, _ORDER, _pieces, _pieces_up_to, _segment
+from tillstream.operators.sessions import (
+    _ORDER,
+    EVENT_JOURNEY_EVENTS,
+    _collected_types,
+    _duration,
+    _journey,
+    _movable,
+    _order_only,
+    _segment,
+    session_pieces,
+)
 from tillstream.session import materialise
 from tillstream.sources.readers import path_exists
 
@@ -118,28 +127,25 @@ def as_of_batch_writer(out_dir: str, state_dir: str, journey_events: int = EVENT
         spark = events.sparkSession
         # several jobs follow; the micro-batch's stateful plan must run once only
         events = materialise(events, "micro-batch")
-        own = _pieces(events.select("session_id", "timestamp", "ingest_ord", "event_type"))
+        own = session_pieces(_order_only(events))
         own.write.mode("overwrite").parquet(f"{state_dir}/batch_id={batch_id}")
         known = spark.read.parquet(state_dir).filter(F.col("batch_id") <= batch_id)
         touched = events.select("session_id").distinct()
-        arrival = F.struct(F.col("batch_id"), F.col("segment"))
         sessions = (
-            known.join(touched, "session_id", "left_semi")
-            .withColumn("segment", arrival)
-            .withColumn("total_events", F.sum("n").over(W.partitionBy("session_id")))
+            _movable(known.join(touched, "session_id", "left_semi"), journey_events)
             .groupBy("session_id", "total_events")
             .agg(
                 F.min("first_time").alias("session_start"),
                 F.max("last_time").alias("session_end"),
-                _pieces_up_to(journey_events).alias("parts"),
+                _collected_types(journey_events, "batch_id", "segment", "piece").alias("parts"),
             )
             .select(
                 "session_id",
                 "session_start",
                 "session_end",
-                seconds_between(F.col("session_start"), F.col("session_end")).alias("session_duration_seconds"),
+                _duration(),
                 "total_events",
-                F.when(F.col("total_events") <= journey_events, _journey(F.col("parts"), ",")).alias("event_journey"),
+                _journey("parts", journey_events).alias("event_journey"),
             )
         )
         numbered = numbered_in_segments(events, ["session_id"], _segment(), _ORDER, "event_sequence_num")
