@@ -86,7 +86,7 @@ def _stored_ids(like: DataFrame, folder: str, batch_id: int) -> DataFrame | None
     spark = like.sparkSession
     if not path_exists(spark, f"{folder}/batch_id=*"):
         return None
-    ids = like.select("event_id").schema.add("batch_id", "bigint")
+    ids = like.select("event_id").schema.add("batch_id", "long")
     return spark.read.schema(ids).parquet(folder).filter(F.col("batch_id") < batch_id)
 
 
