@@ -20,13 +20,17 @@ ENGINE_SETTINGS = {
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
 
+# Settings fixed when a session starts. A pipeline's jobs need more than the default 100
+# generated classes; past that they are compiled again, and start cold, in every job.
+START_SETTINGS = {"spark.sql.codegen.cache.maxEntries": "2000"}
+
 
 def build_session(app: str = "tillstream", master: str | None = None, **settings) -> SparkSession:
     """Session with the engine's settings; ``settings`` win over them."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**ENGINE_SETTINGS, **settings}.items():
+    for key, value in {**START_SETTINGS, **ENGINE_SETTINGS, **settings}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
