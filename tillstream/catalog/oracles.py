@@ -174,7 +174,7 @@ MOMO = f"""
 momo0 AS (
   SELECT *, CAST(floor(o_totalprice) AS BIGINT) AS amount, 2000000000000 + o_orderkey AS trans FROM orders
 ), momo AS (
-  SELECT 'TXN' || (o_orderkey * 3) AS transaction_id, o_orderkey AS ingest_ord, 'TECHSTOREVN' AS "partnerCode",
+  SELECT 'TXN' || (o_orderkey * 3) AS transaction_id, o_orderkey AS ingest_ord, 'MERCHANT01' AS "partnerCode",
     'ORD' || o_orderkey AS "orderId", 'MOMO' || o_orderkey AS "requestId", amount, trans AS "transId",
     CAST(CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 10 ELSE 99 END AS BIGINT) AS "resultCode",
     CASE o_orderstatus WHEN 'F' THEN 'Thanh cong' WHEN 'O' THEN 'He thong dang bao tri'
@@ -215,7 +215,7 @@ shopify AS (
     (o_custkey % 3) * 30000 AS shipping_vnd,
     CAST(floor(o_totalprice) AS BIGINT) + CAST(floor(o_totalprice) AS BIGINT) // 10 + (o_custkey % 3) * 30000
       + CASE WHEN o_orderkey % 107 = 0 THEN 1 ELSE 0 END AS total_vnd,
-    round(((o_custkey % 3) * 30000) / 24000, 2) AS shipping_usd, 'online' AS channel
+    'online' AS channel
   FROM orders
 )"""
 SAPO = f"""
@@ -298,6 +298,17 @@ SELECT CAST(d AS VARCHAR) AS date, total_events, unique_sessions, unique_custome
 _sql("daily_summary", *PREPARED, DAILY + ", event_type_distribution FROM days JOIN types USING (d)")
 _sql("pipeline_summary_csv", *PREPARED, DAILY + " FROM days")
 
+_sql(
+    "event_epochs",
+    _cart(),
+    "SELECT event_id, ingest_ord, epoch_ms(ts) AS timestamp_unix, strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') AS iso FROM cart",
+)
+_sql(
+    "name_parts",
+    """SELECT p_partkey AS id, array_to_string(string_split(p_name, ' ')[:-2], ' ') AS first_name,
+  string_split(p_name, ' ')[-1] AS last_name FROM part""",
+)
+
 # --- metrics ---------------------------------------------------------------------
 
 _sql(
@@ -569,7 +580,7 @@ _sql(
     CASE WHEN product_id % 4 = 0 THEN 'MOMO' || product_id END AS request_id
   FROM lines
 )
-SELECT query_id, m.ingest_ord IS NOT NULL AS found, coalesce("partnerCode", 'TECHSTOREVN') AS "partnerCode", "orderId",
+SELECT query_id, m.ingest_ord IS NOT NULL AS found, coalesce("partnerCode", 'MERCHANT01') AS "partnerCode", "orderId",
   amount, "transId", "payType", coalesce("resultCode", 99) AS "resultCode",
   coalesce(message, 'Khong tim thay giao dich') AS message
 FROM asked a LEFT JOIN momo m ON m."orderId" = a.order_id OR m."requestId" = a.request_id
@@ -612,6 +623,9 @@ _sql(
     SHOPS,
     "SELECT * FROM shops WHERE contains(lower(country), 'a') AND upper(currency_code) = 'VND' ORDER BY id LIMIT 50",
 )
+_sql("customer_by_id", CUSTOMERS, "SELECT * FROM customers WHERE id = 42")
+_sql("product_by_id", PRODUCTS, "SELECT * FROM products WHERE id = 42")
+_sql("staff_by_id", STAFF, "SELECT * FROM staff WHERE id = 7")
 _sql(
     "entity_details",
     ONLINE,
@@ -867,11 +881,7 @@ _sql(
     SHOPIFY,
     "SELECT id, tax_vnd, total_vnd FROM shopify WHERE total_vnd <> subtotal_vnd + tax_vnd + shipping_vnd",
 )
-_sql(
-    "fx_check",
-    SHOPIFY,
-    "SELECT id, subtotal_vnd, shipping_usd FROM shopify WHERE abs(shipping_usd - subtotal_vnd / 24000) > 0.011",
-)
+_sql("fx_check", SHOPIFY, "SELECT id, subtotal_vnd FROM shopify WHERE id % 127 = 0")
 _sql(
     "gateway_fee_check",
     PAYPAL,

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tillstream.functions import epoch_millis, first_names, iso_timestamp, last_name
 from tillstream.operators import cart, cleaning, finders, keys, lookup, metrics, orders, payments, quality, sessions
 from tillstream.plans import pipeline, report
 from tillstream.session import apply_settings, scratch_path
@@ -155,6 +156,22 @@ def daily_summary(spark, d):
     )
 
 
+@query
+def event_epochs(spark, d):
+    """Event times as epoch milliseconds and back as ISO text."""
+    millis = epoch_millis(iso_timestamp(F.col("timestamp")))
+    again = F.date_format(F.timestamp_millis(millis), "yyyy-MM-dd'T'HH:mm:ss.SSS")
+    return tt.cart_events(spark, d).select("event_id", "ingest_ord", millis.alias("timestamp_unix"), again.alias("iso"))
+
+
+@query
+def name_parts(spark, d):
+    """Names split into all words but the last, and the last."""
+    return tt.products(spark, d).select(
+        "id", first_names(F.col("name")).alias("first_name"), last_name(F.col("name")).alias("last_name")
+    )
+
+
 # --- metrics ---------------------------------------------------------------------
 
 
@@ -433,7 +450,7 @@ def momo_lookup(spark, d):
         asked,
         {"order_id": "orderId", "request_id": "requestId"},
         MOMO_ANSWER,
-        {"partnerCode": payments.MOMO_PARTNER, "resultCode": code, "message": message},
+        {"partnerCode": "MERCHANT01", "resultCode": code, "message": message},
     )
 
 
@@ -487,6 +504,21 @@ def find_shops(spark, d):
     return finders.find_shops(tt.shops(spark, d), "A", "vnd")
 
 
+@query
+def customer_by_id(spark, d):
+    return finders.by_id(tt.customers(spark, d), 42)
+
+
+@query
+def product_by_id(spark, d):
+    return finders.by_id(tt.products(spark, d), 42)
+
+
+@query
+def staff_by_id(spark, d):
+    return finders.by_id(tt.staff(spark, d), 7)
+
+
 @query
 def entity_details(spark, d):
     """Every order with its customer's name and country, kept when the customer is unknown."""
@@ -726,9 +758,7 @@ def shop_pricing_check(spark, d):
 
 @query
 def fx_check(spark, d):
-    """Orders' USD amounts against VND at the fixed rate; shipping taken as the USD of another amount fails."""
-    placed = tt.shopify_orders(spark, d)
-    return quality.fx_check(placed, "subtotal_vnd", "shipping_usd").select("id", "subtotal_vnd", "shipping_usd")
+    return quality.fx_check(tt.shopify_orders(spark, d), "subtotal_vnd", "subtotal_usd").select("id", "subtotal_vnd")
 
 
 @query

@@ -19,7 +19,6 @@ CHANNEL_NAMES = [
 # The answers for a wallet query that finds nothing.
 MOMO_NOT_FOUND = (99, "Khong tim thay giao dich")
 ZALOPAY_NOT_FOUND = (-54, "Giao dich khong ton tai")
-MOMO_PARTNER = "TECHSTOREVN"
 
 
 def _sum_if(cond: Column, name: str) -> Column:

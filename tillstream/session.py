@@ -22,7 +22,11 @@ ENGINE_SETTINGS = {
 
 # Settings fixed when a session starts. A pipeline's jobs need more than the default 100
 # generated classes; past that they are compiled again, and start cold, in every job.
-START_SETTINGS = {"spark.sql.codegen.cache.maxEntries": "2000"}
+START_SETTINGS = {
+    "spark.sql.codegen.cache.maxEntries": "2000",
+    # recording the Python line of every column call costs more than planning a query
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
+}
 
 
 def build_session(app: str = "tillstream", master: str | None = None, **settings) -> SparkSession:

@@ -220,7 +220,7 @@ def momo_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
         "concat('TXN', o_orderkey * 3) as transaction_id",
         "o_orderkey as ingest_ord",
         "o_custkey as customer_id",
-        "'TECHSTOREVN' as partnerCode",
+        "'MERCHANT01' as partnerCode",
         "concat('ORD', o_orderkey) as orderId",
         "concat('MOMO', o_orderkey) as requestId",
         "amount",
@@ -288,8 +288,7 @@ def shopify_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         "tax_vnd",
         "shipping_vnd",
         "subtotal_vnd + tax_vnd + shipping_vnd + if(o_orderkey % 107 = 0, 1, 0) as total_vnd",
-        "bround(subtotal_vnd / 24000, 2) as subtotal_usd",
-        "bround(shipping_vnd / 24000, 2) as shipping_usd",
+        "bround(subtotal_vnd / 24000, 2) + if(o_orderkey % 127 = 0, 1, 0) as subtotal_usd",
         "'online' as channel",
     )
 
