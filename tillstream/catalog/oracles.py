@@ -301,7 +301,7 @@ _sql("pipeline_summary_csv", *PREPARED, DAILY + " FROM days")
 _sql(
     "event_epochs",
     _cart(),
-    "SELECT event_id, ingest_ord, epoch_ms(ts) AS timestamp_unix, strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') AS iso FROM cart",
+    "SELECT event_id, ingest_ord, epoch_us(ts) // 1000 AS timestamp_unix, strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') AS iso FROM cart",
 )
 _sql(
     "name_parts",
@@ -579,12 +579,14 @@ _sql(
     CASE WHEN product_id % 4 = 0 THEN NULL WHEN product_id % 9 = 0 THEN order_id || 'X' ELSE order_id END AS order_id,
     CASE WHEN product_id % 4 = 0 THEN 'MOMO' || product_id END AS request_id
   FROM lines
-)
-SELECT query_id, m.ingest_ord IS NOT NULL AS found, coalesce("partnerCode", 'MERCHANT01') AS "partnerCode", "orderId",
+), hits AS (
+  SELECT query_id, m.* FROM asked a JOIN momo m ON m."orderId" = a.order_id
+  UNION ALL SELECT query_id, m.* FROM asked a JOIN momo m ON m."requestId" = a.request_id
+), best AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY ingest_ord) = 1)
+SELECT query_id, b.ingest_ord IS NOT NULL AS found, coalesce("partnerCode", 'MERCHANT01') AS "partnerCode", "orderId",
   amount, "transId", "payType", coalesce("resultCode", 99) AS "resultCode",
   coalesce(message, 'Khong tim thay giao dich') AS message
-FROM asked a LEFT JOIN momo m ON m."orderId" = a.order_id OR m."requestId" = a.request_id
-QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY m.ingest_ord) = 1""",
+FROM asked LEFT JOIN best b USING (query_id)""",
 )
 _sql(
     "zalopay_lookup",
