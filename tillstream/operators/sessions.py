@@ -235,10 +235,10 @@ def journey_patterns(
 ) -> DataFrame:
     """The ``k`` most frequent journeys.
 
-    Sessions longer than ``journey_events`` are compared by their length and two
-    62-bit-wide sequence hashes instead of their text. A piece's hash times the base to
-    the number of later events is its share; shares are added up over the pieces, so
-    equal journeys have equal sums however they are cut.
+    Sessions longer than ``journey_events`` are compared by their length and two 31-bit
+    sequence hashes instead of their text. A piece's hash times the base to the number
+    of later events is its share; shares are added up over the pieces, so equal journeys
+    have equal sums however they are cut.
     """
     long_segment = F.col("segment_n") > journey_events
     pieces = session_pieces(_order_only(events)).withColumns(
