@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillstream.llm import decontaminate, exact_dedup, line_dedup, mixing, sharding, substring_dedup
+from tillstream.llm import decontaminate, exact_dedup, jaccard_join, line_dedup, mixing, sharding, substring_dedup
 from tillstream.session import apply_settings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,3 +52,8 @@ def op8_exact_dedup(table):
 @query
 def op9_substring_dedup(table):
     return substring_dedup.repeats_report(table("documents"))
+
+
+@query
+def op2_ngram_jaccard(table):
+    return jaccard_join.join_report(table("documents"), words=3, similarity="0.9")
