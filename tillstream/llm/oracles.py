@@ -90,7 +90,23 @@ SELECT d.doc_id, len(d.w) AS n_words, coalesce(k.n_removed, 0) AS n_removed, sha
 FROM docs d LEFT JOIN kept k USING (doc_id)
 """
 
+#: The template's own length: two markers, two line breaks, and a backslash for each escape.
+CHATS = """
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+  UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(24 + length(role) + length(text) + 2 * length(role || text) - length(replace(role || text, chr(92), '')) - length(replace(role || ' ' || text, '<|', '<')) + 1
+    + length(role) - length(replace(role, chr(10), '')))::BIGINT AS formatted_chars
+FROM rows GROUP BY conv_id
+"""
+
 ORACLES = {
+    "op6_chat_trees": CHATS,
     "op1_mix_sources": MIX,
     "op3_line_dedup": LINES,
     "op7_decontaminate": LEAKS,

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillstream.llm import decontaminate, exact_dedup, jaccard_join, line_dedup, mixing, sharding, substring_dedup
+from tillstream.llm import chat_format, decontaminate, exact_dedup, jaccard_join, language_id, line_dedup, mixing, quality, sharding, substring_dedup
 from tillstream.session import apply_settings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +57,18 @@ def op9_substring_dedup(table):
 @query
 def op2_ngram_jaccard(table):
     return jaccard_join.join_report(table("documents"), words=3, similarity="0.9")
+
+
+@query
+def op5_language_id(table):
+    return language_id.language_report(table("documents"))
+
+
+@query
+def op10_quality(table):
+    return quality.quality_report(table("documents"), table("labels"))
+
+
+@query
+def op6_chat_trees(table):
+    return chat_format.chat_report(table("conversations"))
