@@ -99,11 +99,18 @@ def _recurring_anchors(blocks: Blocks, length: int, shards: int) -> DataFrame:
     found = pa.schema([("block", pa.int32()), ("found", pa.binary())])
 
     def meet(table: pa.Table) -> pa.Table:
-        lists = [from_low_bytes(x, 6) for x in table["anchors"].to_pylist()]
-        ordered = np.sort(np.concatenate(lists))
-        again = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
-        answers = [np.intersect1d(x, again) for x in lists]
-        rows = [(b, low_bytes(x, 6)) for b, x in zip(table["block"].to_pylist(), answers) if len(x)]
+        raw = table["anchors"].to_pylist()
+        anchors = from_low_bytes(b"".join(raw), 6)
+        ordered = np.sort(anchors)
+        again = ordered[1:][ordered[1:] == ordered[:-1]]
+        place = np.minimum(np.searchsorted(again, anchors), max(0, len(again) - 1))
+        recurs = again[place] == anchors if len(again) else np.zeros(len(anchors), bool)
+        rows, at = [], 0
+        for block, x in zip(table["block"].to_pylist(), raw):
+            mine = anchors[at : at + len(x) // 6][recurs[at : at + len(x) // 6]]
+            if len(mine):
+                rows.append((block, low_bytes(mine, 6)))
+            at += len(x) // 6
         return _table(found, *zip(*rows)) if rows else found.empty_table()
 
     sent = blocks.rows.mapInArrow(emit, "shard int, block int, anchors binary")
@@ -172,9 +179,15 @@ def _earlier_windows(blocks: Blocks, anchors: DataFrame, length: int, shards: in
 
 
 class PhraseBook:
-    """Aho-Corasick automaton of one block's phrases over word numbers."""
+    """Aho-Corasick automaton of one block's phrases.
 
-    def __init__(self):
+    A word is its number among the phrases' words, spelt as digits of which each place has symbols of
+    its own. So a state has few successors, which the automaton searches one by one, and an
+    occurrence always begins with a word's first digit.
+    """
+
+    def __init__(self, shortest: int):
+        self.shortest = shortest
         self.phrases: dict[bytes, int] = {}  # word hashes -> smallest id that an occurrence must exceed
         self.words = np.empty(0, np.uint64)
         self.automaton = None
@@ -183,14 +196,23 @@ class PhraseBook:
         key = words.tobytes()
         self.phrases[key] = min(after, self.phrases.get(key, after))
 
+    def _spelt(self, numbers: np.ndarray) -> str:
+        out = np.empty((len(numbers), self.digits), np.uint8)
+        for i in range(self.digits):
+            numbers, out[:, i] = np.divmod(numbers, self.base)
+            out[:, i] += i * self.base
+        return out.tobytes().decode("latin-1")
+
     def compile(self) -> None:
         if not self.phrases:
             return
         sequences = [np.frombuffer(p, np.uint64) for p in self.phrases]
         self.words = np.unique(np.concatenate(sequences))
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        self.digits = next(d for d in range(1, 64) if (256 // d) ** d >= len(self.words))
+        self.base = 256 // self.digits
+        self.automaton = ahocorasick.Automaton()
         for words, after in zip(sequences, self.phrases.values()):
-            self.automaton.add_word(tuple((np.searchsorted(self.words, words) + 1).tolist()), (len(words), after))
+            self.automaton.add_word(self._spelt(np.searchsorted(self.words, words)), (len(words), after))
         self.automaton.make_automaton()
 
     def covered(self, words: np.ndarray, own: int) -> np.ndarray:
@@ -198,11 +220,17 @@ class PhraseBook:
         depth = np.zeros(len(words) + 1, np.int64)
         if self.automaton is not None and len(words):
             place = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
-            numbers = np.where(self.words[place] == words, place + 1, 0)
-            for end, (length, after) in self.automaton.iter(tuple(numbers.tolist())):
-                if own > after:
-                    depth[end - length + 1] += 1
-                    depth[end + 1] -= 1
+            known = np.zeros(len(words) + 2, np.int8)
+            known[1:-1] = self.words[place] == words
+            # A word that no phrase has ends every match: the document streams in the stretches between.
+            begin, end = np.flatnonzero(np.diff(known) == 1), np.flatnonzero(np.diff(known) == -1)
+            for lo, hi in zip(begin.tolist(), end.tolist()):
+                if hi - lo >= self.shortest:
+                    for last, (length, after) in self.automaton.iter(self._spelt(place[lo:hi])):
+                        if own > after:
+                            stop = lo + last // self.digits + 1
+                            depth[stop - length] += 1
+                            depth[stop] -= 1
         return np.cumsum(depth[:-1]) > 0
 
 
@@ -216,7 +244,7 @@ def _kept(blocks: Blocks, earlier: DataFrame, length: int) -> DataFrame:
         firsts = np.concatenate([np.empty(0, np.int64), *(np.frombuffer(open_(x), np.int64) for x in right["firsts"].to_pylist())])
         order = np.argsort(hashes)
         hashes, firsts = hashes[order], firsts[order]
-        book = PhraseBook()
+        book = PhraseBook(length)
         if len(hashes):
             for ids, data, offsets in text_runs(read, left["payload"]):
                 seen = _Windows(data, offsets, length)
