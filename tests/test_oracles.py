@@ -3,7 +3,10 @@
 import pytest
 from compare import connect, difference
 
-from __spark_entry__ import entry, oracle_sql, queries
+import __spark_entry__
+from __spark_entry__ import entry
+from tillstream.catalog.oracles import ORACLES
+from tillstream.catalog.queries import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -14,17 +17,18 @@ def duck():
 
 
 def test_every_twin_has_a_query():
-    assert set(oracle_sql()) <= set(queries())
-    assert set(queries()) - set(oracle_sql()) == {"aggregation_report"}
+    assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+    assert set(QUERIES) - set(ORACLES) == {"aggregation_report"}
+    assert set(QUERIES) <= set(__spark_entry__.queries())
 
 
-@pytest.mark.parametrize("name", sorted(oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_sql(spark, duck, name):
-    assert difference(queries()[name](spark, SF_DIR), duck, oracle_sql()[name]) is None
+    assert difference(QUERIES[name](spark, SF_DIR), duck, ORACLES[name]) is None
 
 
 def test_report_rows(spark):
-    rows = queries()["aggregation_report"](spark, SF_DIR).collect()
+    rows = QUERIES["aggregation_report"](spark, SF_DIR).collect()
     assert len({r.metric for r in rows}) == 12
 
 

@@ -76,8 +76,8 @@ def test_small_pieces_give_the_same_sessions(long_sessions):
 
 def test_journey_parts_hold_long_journeys_whole(long_sessions):
     kinds, events = long_sessions
-    row = {r.session_id: r for r in sessions.session_metrics(events, journey_events=10).collect()}
-    assert row["fast"].event_journey is None and row["fast"].total_events == 40
+    row = {r.session_id: r for r in sessions.session_metrics(events, pieces=sessions.session_pieces(events, 3)).collect()}
+    assert row["fast"].event_journey == ",".join(kinds) and row["fast"].total_events == 40
     assert row["short"].event_journey == "scroll"
     parts = sorted(sessions.journey_parts(events, piece_events=3).filter("session_id = 'slow'").collect(), key=lambda r: r.part_no)
     assert ",".join(p.journey_part for p in parts) == ",".join(kinds)
@@ -85,13 +85,28 @@ def test_journey_parts_hold_long_journeys_whole(long_sessions):
     assert [p.first_sequence_num for p in parts] == [1 + sum(q.events for q in parts[:i]) for i in range(len(parts))]
 
 
-@pytest.mark.parametrize("limit", [1, 10, 39])
-def test_long_equal_journeys_are_one_pattern(long_sessions, limit):
+def test_equal_journeys_are_one_pattern(long_sessions):
     _, events = long_sessions
-    counts = sorted(r.sessions for r in sessions.journey_patterns(events, journey_events=limit).collect())
-    assert counts == [1, 1, 2]
-    texts = {r.journey_pattern for r in sessions.journey_patterns(events).collect()}
-    assert "scroll" in texts and len(texts) == 3
+    found = sessions.journey_patterns(events).collect()
+    assert sorted(r.sessions for r in found) == [1, 1, 2]
+    assert "scroll" in {r.journey_pattern for r in found}
+
+
+def test_very_long_session_keeps_its_journey(spark):
+    """Beyond 100,000 events: whole on the session, on each event row, in the patterns and in the parts."""
+    n = 100_001
+    events = spark.range(n).selectExpr(
+        "concat('e', id) as event_id", "id as ingest_ord", "'bot' as session_id", "1L as customer_id", "'web' as source",
+        "'desktop' as device", "timestamp_ntz '2025-01-01' + make_dt_interval(0, 0, 0, id) as timestamp",
+        "if(id % 2 = 0, 'scroll', 'search') as event_type",
+    )
+    want = ",".join("scroll" if i % 2 == 0 else "search" for i in range(n))
+    row = sessions.session_metrics(events).collect()[0]
+    assert row.event_journey == want and row.total_events == n
+    assert sessions.journey_patterns(events).collect()[0].journey_pattern == want.replace(",", " -> ")
+    assert sessions.enrich_events(events).where(f"length(event_journey) != {len(want)}").count() == 0
+    parts = sorted(sessions.journey_parts(events).collect(), key=lambda r: r.part_no)
+    assert ",".join(p.journey_part for p in parts) == want
 
 
 def test_sequence_numbers_equal_a_plain_window(long_sessions):

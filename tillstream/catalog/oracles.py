@@ -82,7 +82,7 @@ ENRICHED = f"""
 SELECT event_id, e.session_id, CAST(d AS VARCHAR) AS date,
   row_number() OVER (PARTITION BY e.session_id ORDER BY ts, ingest_ord) AS event_sequence_num,
   strftime(session_start, '{TIME}') AS session_start, strftime(session_end, '{TIME}') AS session_end,
-  session_duration_seconds, total_events, CASE WHEN total_events <= 10000 THEN event_journey END AS event_journey
+  session_duration_seconds, total_events, event_journey
 FROM dedup e JOIN sess s ON e.session_id = s.session_id"""
 
 ONLINE = f"""
@@ -273,6 +273,19 @@ _sql("session_metrics", *SESSIONS, SESSION_OUT)
 _sql("pipeline_session_table", *SESSIONS, SESSION_OUT)
 _sql("enriched_events", *SESSIONS, ENRICHED)
 _sql("pipeline_events_table", *SESSIONS, ENRICHED)
+_sql(
+    "pipeline_rerun_smaller",
+    _cart(),
+    CLEAN,
+    "\nearly AS (SELECT * FROM clean WHERE ts < TIMESTAMP '2024-01-05')",
+    DEDUP.replace("FROM clean", "FROM early"),
+    SESS,
+    ENRICHED,
+)
+# an id's first copy is the first of the earlier batch
+APPENDED = (_cart(), CLEAN, DEDUP.replace("ORDER BY ingest_ord", "ORDER BY ts >= TIMESTAMP '2024-01-16', ingest_ord"), SESS)
+_sql("pipeline_append", *APPENDED, ENRICHED)
+_sql("pipeline_append_sessions", *APPENDED, SESSION_OUT)
 _sql("stream_as_of_batch", *SESSIONS, ENRICHED)
 _sql(
     "journey_parts",

@@ -850,6 +850,34 @@ def pipeline_events_table(spark, d):
     return readers.read_table(spark, paths[pipeline.EVENTS]).select(*ENRICHED)
 
 
+@query
+def pipeline_rerun_smaller(spark, d):
+    """A run over everything, then one over fewer dates into the same folder: the second is all there is."""
+    out, raw = scratch_path(spark, "rerun"), tt.cart_events(spark, d)
+    pipeline.run_transformation(raw, out)
+    paths = pipeline.run_transformation(raw.where(F.col("timestamp") < "2024-01-05"), out)
+    return readers.read_table(spark, paths[pipeline.EVENTS]).select(*ENRICHED)
+
+
+def _appended(spark, d) -> str:
+    """The first days as a run, the rest as an appended batch; sessions span both."""
+    out, raw = scratch_path(spark, "append"), tt.cart_events(spark, d)
+    early = F.col("timestamp") < "2024-01-16"
+    pipeline.run_transformation(raw.where(early), out)
+    pipeline.append_events(spark, raw.where(~early | F.col("timestamp").isNull()), out)
+    return out
+
+
+@query
+def pipeline_append(spark, d):
+    return readers.read_table(spark, f"{_appended(spark, d)}/{pipeline.EVENTS}").select(*ENRICHED)
+
+
+@query
+def pipeline_append_sessions(spark, d):
+    return readers.read_table(spark, f"{_appended(spark, d)}/{pipeline.SESSIONS}")
+
+
 @query
 def pipeline_session_table(spark, d):
     out = scratch_path(spark, "sessions")

@@ -3,8 +3,9 @@
 A session may hold a large part of all events, so nothing here groups or sorts a
 whole session's events in one task. Events are split by (session, time segment)
 and, inside a segment, into pieces of bounded length; each piece is reduced to
-one row. Only those rows meet per session, and the event types of a very long
-session stay behind (see ``SESSION_JOURNEY_EVENTS``).
+one row. Only those rows meet per session. The journey column is always the whole
+text: one value for each session, as long as the session; ``journey_parts`` has the
+same in ordered parts of bounded size.
 """
 
 from __future__ import annotations
@@ -18,11 +19,6 @@ from tillstream.operators.ranking import numbered_in_segments
 
 SEGMENT_SECONDS = 3600
 PIECE_EVENTS = 10_000
-# The journey column holds the text of sessions up to this many events. Beyond, it is
-# null and journey_parts() has the whole journey in order, whatever its length.
-SESSION_JOURNEY_EVENTS = 100_000
-# The same on event rows, where the text is repeated for every event of the session.
-EVENT_JOURNEY_EVENTS = 10_000
 
 _ORDER = ["timestamp", "ingest_ord"]
 _PIECE = ["session_id", "segment", "piece"]
@@ -66,15 +62,7 @@ def session_pieces(events: DataFrame, piece_events: int = PIECE_EVENTS) -> DataF
             *[earliest(c) for c in firsts],
         )
     )
-    return pieces.withColumn("segment_n", F.sum("n").over(W.partitionBy("session_id", "segment")))
-
-
-def _movable(pieces: DataFrame, journey_events: int) -> DataFrame:
-    """Pieces ready to meet per session: a segment that alone is too long for the
-    journey column leaves its event types behind."""
-    return pieces.withColumn("types", F.when(F.col("segment_n") <= journey_events, F.col("types"))).withColumn(
-        "total_events", F.sum("n").over(W.partitionBy("session_id"))
-    )
+    return pieces
 
 
 def _earlier() -> Column:
@@ -83,47 +71,36 @@ def _earlier() -> Column:
     return F.coalesce(F.sum("n").over(before), F.lit(0))
 
 
-def _short(journey_events: int) -> Column:
-    return F.col("total_events") <= journey_events
-
-
-def _collected_types(journey_events: int, *order: str) -> Column:
-    """Types of a short session's pieces; nothing is collected for a long one."""
-    return F.collect_list(F.when(_short(journey_events), F.struct(*order, "types")))
+def _collected_types(*order: str) -> Column:
+    return F.collect_list(F.struct(*order, "types"))
 
 
-def _journey(collected: str, journey_events: int, separator: str = ",") -> Column:
-    text = F.array_join(F.flatten(F.transform(F.sort_array(collected), lambda p: p["types"])), separator)
-    return F.when(_short(journey_events), text)
+def _journey(collected: str, separator: str = ",") -> Column:
+    return F.array_join(F.flatten(F.transform(F.sort_array(collected), lambda p: p["types"])), separator)
 
 
 def _duration() -> Column:
     return seconds_between(F.col("session_start"), F.col("session_end")).alias("session_duration_seconds")
 
 
-def session_metrics(
-    events: DataFrame | None, journey_events: int = SESSION_JOURNEY_EVENTS, pieces: DataFrame | None = None
-) -> DataFrame:
+def session_metrics(events: DataFrame | None, pieces: DataFrame | None = None) -> DataFrame:
     """One row per session: span, size, journey and first known customer, source, device."""
     firsts = ("customer_id", "source", "device")
     pieces = session_pieces(events) if pieces is None else pieces
-    per_session = (
-        _movable(pieces, journey_events)
-        .groupBy("session_id", "total_events")
-        .agg(
-            F.min("first_time").alias("session_start"),
-            F.max("last_time").alias("session_end"),
-            _collected_types(journey_events, "segment", "piece").alias("parts"),
-            F.bool_or("purchased").alias("has_purchase_event"),
-            *[F.min(f"first_{c}").alias(f"first_{c}") for c in firsts],
-        )
+    per_session = pieces.groupBy("session_id").agg(
+        F.sum("n").alias("total_events"),
+        F.min("first_time").alias("session_start"),
+        F.max("last_time").alias("session_end"),
+        _collected_types("segment", "piece").alias("parts"),
+        F.bool_or("purchased").alias("has_purchase_event"),
+        *[F.min(f"first_{c}").alias(f"first_{c}") for c in firsts],
     )
     return per_session.select(
         "session_id",
         "session_start",
         "session_end",
         "total_events",
-        _journey("parts", journey_events).alias("event_journey"),
+        _journey("parts").alias("event_journey"),
         *[F.col(f"first_{c}")[c].alias(c) for c in firsts],
         _duration(),
         # always false in the data model; the real signal is the column after it
@@ -132,36 +109,22 @@ def session_metrics(
     )
 
 
-def _spans(pieces: DataFrame, journey_events: int) -> DataFrame:
+def _spans(pieces: DataFrame) -> DataFrame:
     """Per (session, segment): number of earlier events, with the session's own columns."""
-    whole = W.partitionBy("session_id")
-    return (
-        _movable(pieces.select(*_PIECE, "n", "segment_n", "first_time", "last_time", "types"), journey_events)
-        .withColumns(
-            {
-                "earlier": _earlier(),
-                "session_start": F.min("first_time").over(whole),
-                "session_end": F.max("last_time").over(whole),
-            }
-        )
-        .withColumn("parts", _collected_types(journey_events, "segment", "piece").over(whole))
-        .filter("piece = 0")
-        .select(
-            "session_id",
-            "segment",
-            "earlier",
-            "session_start",
-            "session_end",
-            "total_events",
-            _duration(),
-            _journey("parts", journey_events).alias("event_journey"),
-        )
+    places = pieces.select(*_PIECE, "n").withColumn("earlier", _earlier()).filter("piece = 0").drop("piece", "n")
+    whole = pieces.groupBy("session_id").agg(
+        F.min("first_time").alias("session_start"),
+        F.max("last_time").alias("session_end"),
+        F.sum("n").alias("total_events"),
+        _collected_types("segment", "piece").alias("parts"),
     )
+    whole = whole.select(
+        "session_id", "session_start", "session_end", "total_events", _duration(), _journey("parts").alias("event_journey")
+    )
+    return places.join(whole, "session_id")
 
 
-def enrich_events(
-    events: DataFrame, journey_events: int = EVENT_JOURNEY_EVENTS, pieces: DataFrame | None = None
-) -> DataFrame:
+def enrich_events(events: DataFrame, pieces: DataFrame | None = None) -> DataFrame:
     """Every event with its number in the session and the session's columns.
 
     The wide rows are exchanged once, on (session, segment); the span rows join
@@ -170,7 +133,7 @@ def enrich_events(
     numbered = events.withColumn("segment", _segment()).withColumn("_local", _local_number())
     pieces = session_pieces(_order_only(events)) if pieces is None else pieces
     return (
-        numbered.join(_spans(pieces, journey_events), ["session_id", "segment"])
+        numbered.join(_spans(pieces), ["session_id", "segment"])
         .withColumn("event_sequence_num", F.col("earlier") + F.col("_local"))
         .drop("segment", "_local", "earlier")
     )
@@ -202,68 +165,9 @@ def journey_parts(
     return texts.join(places, _PIECE).drop("segment", "piece")
 
 
-# Parameters of the fingerprint: a prime that keeps products within 63 bits, two bases.
-_PRIME, _BASES = 2_147_483_647, (1_000_003, 998_244_353)
-
-
-def _times(a: Column, b) -> Column:
-    return (a * b) % _PRIME
-
-
-def _sequence_hash(types: Column, base: int) -> Column:
-    """Polynomial hash of a sequence of texts; hashes of parts add up, see below."""
-    return F.aggregate(
-        types,
-        F.lit(0).cast("bigint"),
-        lambda h, t: (_times(h, F.lit(base)) + F.pmod(F.xxhash64(t), F.lit(_PRIME))) % _PRIME,
-    )
-
-
-def _power(base: int, exponent: Column) -> Column:
-    """``base ** exponent`` modulo the prime, for exponents below 2^48."""
-    start = F.struct(F.lit(1).cast("bigint").alias("r"), F.lit(base).cast("bigint").alias("b"))
-
-    def square(s: Column, bit: Column) -> Column:
-        odd = F.pmod(F.floor(exponent / F.pow(F.lit(2.0), bit)), F.lit(2)) == 1
-        return F.struct(F.when(odd, _times(s["r"], s["b"])).otherwise(s["r"]).alias("r"), _times(s["b"], s["b"]).alias("b"))
-
-    return F.aggregate(F.sequence(F.lit(0), F.lit(47)), start, square)["r"]
-
-
-def journey_patterns(
-    events: DataFrame, k: int = 20, journey_events: int = SESSION_JOURNEY_EVENTS, separator: str = " -> "
-) -> DataFrame:
-    """The ``k`` most frequent journeys.
-
-    Sessions longer than ``journey_events`` are compared by their length and two 31-bit
-    sequence hashes instead of their text. A piece's hash times the base to the number
-    of later events is its share; shares are added up over the pieces, so equal journeys
-    have equal sums however they are cut.
-    """
-    long_segment = F.col("segment_n") > journey_events
-    pieces = session_pieces(_order_only(events)).withColumns(
-        {f"h{i}": F.when(long_segment, _sequence_hash(F.col("types"), b)) for i, b in enumerate(_BASES)}
-    )
-
-    def share(i: int, base: int) -> Column:
-        own = F.coalesce(f"h{i}", _sequence_hash(F.col("types"), base))
-        later = F.col("total_events") - F.col("earlier") - F.col("n")
-        return F.sum(F.when(~_short(journey_events), _times(own, _power(base, later)))) % _PRIME
-
-    sessions = (
-        _movable(pieces, journey_events)
-        .withColumn("earlier", _earlier())
-        .groupBy("session_id", "total_events")
-        .agg(
-            _collected_types(journey_events, "segment", "piece").alias("parts"),
-            *[share(i, b).alias(f"h{i}") for i, b in enumerate(_BASES)],
-        )
-        .select(
-            F.coalesce(
-                _journey("parts", journey_events, separator),
-                F.concat("total_events", F.lit(" events #"), "h0", F.lit("-"), "h1"),
-            ).alias("journey_pattern")
-        )
-    )
-    counts = sessions.groupBy("journey_pattern").agg(F.count(F.lit(1)).alias("sessions"))
+def journey_patterns(events: DataFrame, k: int = 20, separator: str = " -> ") -> DataFrame:
+    """The ``k`` most frequent journeys, compared by their whole text."""
+    pieces = session_pieces(_order_only(events))
+    sessions = pieces.groupBy("session_id").agg(_collected_types("segment", "piece").alias("parts"))
+    counts = sessions.groupBy(_journey("parts", separator).alias("journey_pattern")).agg(F.count(F.lit(1)).alias("sessions"))
     return counts.orderBy(F.desc("sessions"), "journey_pattern").limit(k)

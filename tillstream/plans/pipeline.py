@@ -51,16 +51,27 @@ def run_transformation(raw: DataFrame, out_dir: str) -> dict[str, str]:
     return paths
 
 
-def append_events(spark: SparkSession, raw: DataFrame, events_dir: str) -> None:
-    """Append a batch's new events to the dated event table (ids already there are skipped).
+def append_events(spark: SparkSession, raw: DataFrame, out_dir: str) -> None:
+    """Append a batch's new events (ids already there are skipped) and bring all tables up to date.
 
-    Session columns describe sessions as far as the batch knows them; the session
-    tables are rebuilt from the stored events.
+    Sessions that the batch touches are computed anew from their stored and new events. Only the
+    dates on which such a session has events are rewritten; the other sessions keep their rows.
     """
-    stored = spark.read.parquet(events_dir).select("event_id")
-    # materialised first: the table being read must not change under the write
-    fresh = materialise(new_events(prepared_events(raw), stored), "append-events")
-    write_partitioned(enrich_events(fresh), events_dir, mode="append")
+    paths = {name: f"{out_dir}/{name}" for name in (EVENTS, SESSIONS, PIECES, SUMMARY)}
+    stored = spark.read.parquet(paths[EVENTS])
+    # Materialised first, here and below: a table being read must not change under the write.
+    fresh = materialise(new_events(prepared_events(raw), stored.select("event_id")), "append-events")
+    touched = fresh.select("session_id").distinct()
+    again = stored.join(touched, "session_id", "left_semi").select(*fresh.columns).unionByName(fresh)
+    again = materialise(again, "touched-events")
+    pieces = materialise(session_pieces(again), "touched-pieces")
+    others = stored.join(again.select("date").distinct(), "date", "left_semi").join(touched, "session_id", "left_anti")
+    rows = materialise(others.unionByName(enrich_events(again, pieces=pieces)), "touched-dates")
+    write_partitioned(rows, paths[EVENTS], only_present=True)
+    for name, new in ((SESSIONS, session_metrics(None, pieces=pieces)), (PIECES, pieces)):
+        kept = spark.read.parquet(paths[name]).join(touched, "session_id", "left_anti")
+        write_table(materialise(kept.unionByName(new), "append-sessions"), paths[name])
+    write_csv(daily_summary(spark.read.parquet(paths[EVENTS])), paths[SUMMARY])
 
 
 def run_pipeline(raw: DataFrame, out_dir: str) -> dict:

@@ -36,72 +36,28 @@ def collect_metrics(events: DataFrame, sessions: DataFrame) -> dict[str, list[di
     }
 
 
-def _section(title: str, lines: list[str]) -> list[str]:
-    return [title, "-" * 80, *lines, ""]
-
-
-def _shares(rows: list[dict], key: str) -> list[str]:
-    ranked = sorted(rows, key=lambda r: (-r["events"], r[key]))
-    return [f"  - {r[key]}: {r['events']:,} ({r['percentage']:.2f}%)" for r in ranked]
-
-
-def report_lines(m: dict[str, list[dict]]) -> list[str]:
-    duration, intent = m["session_duration_stats"][0], m["purchase_intent"][0]
-    stats, length = m["event_stats"][0], m["journey_length"][0]
-    types = sorted(m["event_type_distribution"], key=lambda r: (-r["events"], r["event_type"]))
-    patterns = sorted(m["journey_patterns"], key=lambda r: (-r["sessions"], r["journey_pattern"]))[:10]
-    bar = "=" * 80
-    return [
-        bar,
-        "CART EVENTS AGGREGATION SUMMARY REPORT",
-        bar,
-        "",
-        *_section(
-            "SESSION DURATION STATISTICS",
-            [
-                f"Total Sessions: {duration['total_sessions']:,}",
-                f"Average Duration: {duration.get('average_duration_minutes', 0):.2f} minutes",
-                f"Median Duration: {duration.get('median_duration_minutes', 0):.2f} minutes",
-                f"Min Duration: {duration.get('min_duration_seconds', 0):.2f} seconds",
-                f"Max Duration: {duration.get('max_duration_seconds', 0):.2f} seconds",
-            ],
-        ),
-        *_section(
-            "PURCHASE INTENT STATISTICS",
-            [
-                f"Total Sessions: {intent['total_sessions']:,}",
-                f"Sessions with Purchase Intent: {intent['sessions_with_purchase_intent']:,}",
-                f"Purchase Intent Rate: {intent['purchase_intent_rate']:.2f}%",
-            ],
-        ),
-        *_section(
-            "EVENT STATISTICS",
-            [
-                f"Total Events: {stats['total_events']:,}",
-                f"Unique Sessions: {stats['unique_sessions']:,}",
-                f"Unique Customers: {stats['unique_customers']:,}",
-                f"Unique Products: {stats['unique_products']:,}",
-                f"Average Events per Session: {stats.get('average_events_per_session', 0):.2f}",
-                "",
-                "Event Type Distribution:",
-                *[f"  - {r['event_type']}: {r['events']:,}" for r in types],
-            ],
-        ),
-        *_section(
-            "CUSTOMER JOURNEY METRICS",
-            [
-                f"Average Journey Length: {length.get('average_journey_length', 0):.2f} events",
-                f"Max Journey Length: {length.get('max_journey_length', 0)} events",
-                f"Min Journey Length: {length.get('min_journey_length', 0)} events",
-                "",
-                "Top 10 Journey Patterns:",
-                *[f"  {i}. {r['journey_pattern']}: {r['sessions']} sessions" for i, r in enumerate(patterns, 1)],
-            ],
-        ),
-        *_section("DEVICE DISTRIBUTION", _shares(m["device_distribution"], "device")),
-        *_section("SOURCE DISTRIBUTION", _shares(m["source_distribution"], "source")),
-        bar,
-    ]
+def _cell(value) -> str:
+    if isinstance(value, float):
+        return f"{value:,.2f}"
+    return f"{value:,}" if isinstance(value, int) and not isinstance(value, bool) else str(value)
+
+
+def report_lines(collected: dict[str, list[dict]], rows: int = 10) -> list[str]:
+    """Every metric as a small table: its name, its columns, its first ``rows`` rows by falling count."""
+    lines = []
+    for name, found in collected.items():
+        lines += [f"# {name.replace('_', ' ')}", ""]
+        if len(found) == 1:
+            lines += [f"{column.replace('_', ' ')}: {_cell(value)}" for column, value in found[0].items()]
+        elif found:
+            counts = [c for c, v in found[0].items() if isinstance(v, int)]
+            ordered = sorted(found, key=lambda r: tuple(-(r[c] or 0) for c in counts[:1]) + (str(r),))
+            lines.append(" | ".join(found[0]))
+            lines += [" | ".join(map(_cell, r.values())) for r in ordered[:rows]]
+            if len(found) > rows:
+                lines.append(f"({len(found) - rows} more rows in {METRICS_JSON})")
+        lines.append("")
+    return lines
 
 
 def run_aggregation(spark: SparkSession, out_dir: str) -> dict[str, list[dict]]:

@@ -16,8 +16,6 @@ ENGINE_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # split a hot join key even where that costs another exchange
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    # reruns of a dated load replace only the dates they contain
-    "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
 
 # Settings fixed when a session starts. A pipeline's jobs need more than the default 100

@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def write_partitioned(df: DataFrame, path: str, by: str = "date", mode: str = "overwrite") -> None:
+def write_partitioned(df: DataFrame, path: str, by: str = "date", mode: str = "overwrite", only_present: bool = False) -> None:
     """Snappy parquet with one folder per ``by`` value.
 
+    An overwrite replaces the whole table; with ``only_present`` it replaces the values of
+    ``by`` that ``df`` has, and leaves the others.
+
     The rebalance hint gathers a value's rows into few files, and adaptive execution
     splits the values too large for one task, such as a date with a third of all rows.
     """
@@ -17,6 +20,7 @@ def write_partitioned(df: DataFrame, path: str, by: str = "date", mode: str = "o
         .write.mode(mode)
         .partitionBy(by)
         .option("compression", "snappy")
+        .option("partitionOverwriteMode", "dynamic" if only_present else "static")
         .parquet(path)
     )
 

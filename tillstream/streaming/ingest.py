@@ -23,11 +23,9 @@ from tillstream.operators.cleaning import clean_events, dedup_events, new_events
 from tillstream.operators.ranking import first_per_key, numbered_in_segments
 from tillstream.operators.sessions import (
     _ORDER,
-    EVENT_JOURNEY_EVENTS,
     _collected_types,
     _duration,
     _journey,
-    _movable,
     _order_only,
     _segment,
     session_pieces,
@@ -116,7 +114,7 @@ def exact_writer(out_dir: str) -> BatchWriter:
     return write
 
 
-def as_of_batch_writer(out_dir: str, state_dir: str, journey_events: int = EVENT_JOURNEY_EVENTS) -> BatchWriter:
+def as_of_batch_writer(out_dir: str, state_dir: str) -> BatchWriter:
     """Events with their session's columns *as known when their batch arrived*.
 
     The state table holds one small row per piece of a session and batch. Numbers
@@ -132,12 +130,13 @@ def as_of_batch_writer(out_dir: str, state_dir: str, journey_events: int = EVENT
         known = spark.read.parquet(state_dir).filter(F.col("batch_id") <= batch_id)
         touched = events.select("session_id").distinct()
         sessions = (
-            _movable(known.join(touched, "session_id", "left_semi"), journey_events)
-            .groupBy("session_id", "total_events")
+            known.join(touched, "session_id", "left_semi")
+            .groupBy("session_id")
             .agg(
+                F.sum("n").alias("total_events"),
                 F.min("first_time").alias("session_start"),
                 F.max("last_time").alias("session_end"),
-                _collected_types(journey_events, "batch_id", "segment", "piece").alias("parts"),
+                _collected_types("batch_id", "segment", "piece").alias("parts"),
             )
             .select(
                 "session_id",
@@ -145,7 +144,7 @@ def as_of_batch_writer(out_dir: str, state_dir: str, journey_events: int = EVENT
                 "session_end",
                 _duration(),
                 "total_events",
-                _journey("parts", journey_events).alias("event_journey"),
+                _journey("parts").alias("event_journey"),
             )
         )
         numbered = numbered_in_segments(events, ["session_id"], _segment(), _ORDER, "event_sequence_num")
