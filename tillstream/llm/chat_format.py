@@ -204,16 +204,14 @@ def read_back(packs: DataFrame, tokens=None) -> DataFrame:
                     if not np.array_equal(place[at], np.arange(len(at))):
                         raise ValueError(f"positions of conversation {id_} have gaps")
                     roles, texts, learnt, shown = [], [], [], []
-                    start = None
-                    for j, token in enumerate(all_[at].tolist()):
-                        if token == coder.size:
-                            start = j + 1
-                        elif token == coder.size + 1:
-                            role, _, text = coder.decode(all_[at[start:j]].tolist()).decode().partition("\n")
-                            masked = at[start:j][mask[at[start:j]]]
-                            learnt.append(unescape(coder.decode(all_[masked].tolist()).decode()))
-                            roles.append(unescape(role)), texts.append(unescape(text))
-                            shown.append(f"{START}{role}\n{text}{END}\n")
+                    path, learn = all_[at], mask[at]
+                    marks = zip(np.flatnonzero(path == coder.size) + 1, np.flatnonzero(path == coder.size + 1))
+                    for start, end in marks:
+                        own = path[start:end]
+                        role, _, text = coder.decode(own.tolist()).decode().partition("\n")
+                        learnt.append(unescape(coder.decode(own[learn[start:end]].tolist()).decode()))
+                        roles.append(unescape(role)), texts.append(unescape(text))
+                        shown.append(f"{START}{role}\n{text}{END}\n")
                     for values, value in zip(out, (id_, roles, texts, "".join(learnt), "".join(shown))):
                         values.append(value)
             types = (pa.int64(), pa.list_(pa.string()), pa.list_(pa.string()), pa.string(), pa.string())
