@@ -14,7 +14,7 @@ from tillstream.streaming import activity, ingest
 EVENT = {
     "event_id": "evt_1",
     "event_type": "add_to_cart",
-    "timestamp": "2025-08-25T23:04:11.545981",
+    "timestamp": "2031-02-03T04:05:06.000789",
     "session_id": "sess_1",
     "customer_id": 42,
     "source": "website",
