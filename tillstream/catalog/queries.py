@@ -557,12 +557,9 @@ def order_totals(spark, d):
 
 @query
 def top_products_sold(spark, d):
-    lines = (
-        tt.order_lines(spark, d)
-        .join(tt.online_orders(spark, d).select("order_id", "status"), "order_id")
-        .join(tt.products(spark, d).selectExpr("id as product_id", "name as product_name"), "product_id", "left")
-    )
-    return orders.top_products_sold(lines)
+    done = tt.online_orders(spark, d).select("order_id", "status").filter("status = 'completed'")
+    names = tt.products(spark, d).selectExpr("id as product_id", "name as product_name")
+    return orders.top_products_sold(tt.order_lines(spark, d).join(done, "order_id"), names=names)
 
 
 @query

@@ -78,25 +78,31 @@ def order_totals(orders: DataFrame) -> DataFrame:
     )
 
 
-def top_products_sold(lines: DataFrame, k: int = 10) -> DataFrame:
+def top_products_sold(lines: DataFrame, k: int = 10, names: DataFrame | None = None) -> DataFrame:
     """Best products by revenue over flat lines of completed orders.
 
-    Lines need ``status``, ``product_id``, ``product_name``, ``quantity``,
-    ``line_total`` and ``ingest_ord``.
+    Lines need ``status``, ``product_id``, ``quantity``, ``line_total`` and ``ingest_ord``. Names
+    come from ``names`` (product_id, product_name), joined to the ``k`` winners only, or else from
+    the lines' ``product_name``.
     """
     sold = lines.filter(_completed() & (F.col("product_id") != 0))
-    by_name = sold.groupBy("product_id", "product_name").agg(
+    own = ["product_name"] if names is None else []
+    by_name = sold.groupBy("product_id", *own).agg(
         F.sum("quantity").alias("q"),
         F.sum("line_total").alias("r"),
         F.min("ingest_ord").alias("first_ord"),
     )
     products = by_name.groupBy("product_id").agg(
-        F.min_by("product_name", "first_ord").alias("name"),
+        *[F.min_by(c, "first_ord").alias("name") for c in own],
         F.coalesce(F.sum("q"), F.lit(0)).alias("quantity_sold"),
         F.coalesce(F.sum("r"), F.lit(0)).alias("revenue_vnd"),
         F.min("first_ord").alias("first_ord"),
     )
-    return top_k(products, "revenue_vnd", k, ["first_ord", "product_id"]).drop("first_ord")
+    best = top_k(products, "revenue_vnd", k, ["first_ord", "product_id"])
+    if names is not None:
+        best = best.join(names.withColumnRenamed("product_name", "name"), "product_id", "left")
+        best = best.orderBy(F.desc("revenue_vnd"), "first_ord", "product_id")
+    return best.select("product_id", "name", "quantity_sold", "revenue_vnd")
 
 
 def all_channel_orders(online: DataFrame, store: DataFrame) -> DataFrame:
