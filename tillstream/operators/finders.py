@@ -178,17 +178,24 @@ def wallet_lookup(
     """First transaction matching any of an enquiry's keys, for a table of enquiries.
 
     ``asked`` has a ``query_id`` and one column per entry of ``either`` (enquiry
-    column -> transaction column); ``missing`` fills the answer for no match. Each
-    key is an equi-join of its own, so no OR condition forces a nested loop.
+    column -> transaction column); ``missing`` fills the answer for no match. All keys
+    go through one equi-join on (which key, its value), so no OR condition forces a
+    nested loop and the transactions are scanned once.
     """
-    carried = list(dict.fromkeys([*either.values(), *answer, "ingest_ord"]))
-    # first row per key: a key that fills the table is cut down before the join
-    hits = None
-    for asked_key, tx_key in either.items():
-        firsts = first_per_key(tx.select(*carried).filter(F.col(tx_key).isNotNull()), [tx_key], ["ingest_ord"])
-        keys = asked.select("query_id", F.col(asked_key).alias("_asked")).filter(F.col("_asked").isNotNull())
-        found = keys.join(firsts, F.col("_asked") == F.col(tx_key)).select("query_id", "ingest_ord", *answer)
-        hits = found if hits is None else hits.unionByName(found)
+
+    def unpivoted(df: DataFrame, keys: list, *carried: str) -> DataFrame:
+        pairs = [F.struct(F.lit(i).alias("key_no"), k.cast("string").alias("key")) for i, k in enumerate(keys)]
+        return df.select(F.inline(F.array(*pairs)), *carried).filter(F.col("key").isNotNull())
+
+    typed = [F.col(a).cast(tx.schema[t].dataType) for a, t in either.items()]
+    wanted = unpivoted(asked, typed, "query_id")
+    carried = list(dict.fromkeys([*answer, "ingest_ord"]))
+    # only asked keys reach the window, where each task keeps one row per key
+    known = unpivoted(tx, [F.col(t) for t in either.values()], *carried).join(
+        wanted.select("key_no", "key").distinct(), ["key_no", "key"], "left_semi"
+    )
+    firsts = first_per_key(known, ["key_no", "key"], ["ingest_ord"])
+    hits = wanted.join(firsts, ["key_no", "key"]).select("query_id", *carried)
     best = first_per_key(hits, ["query_id"], ["ingest_ord"]).drop("ingest_ord")
     filled = [F.coalesce(F.col(c), F.lit(missing[c])).alias(c) if c in missing else F.col(c) for c in answer]
     return asked.select("query_id").join(best.withColumn("_hit", F.lit(True)), "query_id", "left").select(

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from tillstream.operators.ranking import first_per_key
 
@@ -28,37 +30,47 @@ def _as_match(df: DataFrame, name: str, key: Column) -> DataFrame:
     )
 
 
+def _equals_text(df: DataFrame, column: str, wanted: str) -> Column:
+    """``column`` as text is ``wanted``, stated in the column's own type so that the scan can use it."""
+    if isinstance(df.schema[column].dataType, IntegralType):
+        whole = int(wanted) if re.fullmatch(r"0|-?[1-9][0-9]{0,18}", wanted) else None
+        if whole is None or not -(2**63) <= whole < 2**63:
+            return F.lit(False)
+        return F.col(column) == F.lit(whole).cast("long")
+    return F.col(column).cast("string") == wanted
+
+
 def find_transaction(transaction_id: str, sources: dict[str, DataFrame]) -> DataFrame:
     """One id in every source: a pushed-down filter per source, first match each."""
 
     def match(name: str, df: DataFrame) -> DataFrame:
-        hit = reduce(Column.__or__, [F.col(c).cast("string") == transaction_id for c in _key_columns(name, df)])
+        hit = reduce(Column.__or__, [_equals_text(df, c, transaction_id) for c in _key_columns(name, df)])
         first = df.filter(hit).orderBy("ingest_ord").limit(1)
         return _as_match(first.select(F.struct(*df.columns).alias("row")), name, F.lit(transaction_id))
 
     return reduce(DataFrame.unionByName, [match(name, df) for name, df in sources.items()])
 
 
+def _keyed(name: str, df: DataFrame, *carried: Column) -> DataFrame:
+    """A row per id that a source's row is known by, from one scan."""
+    ids = F.array_compact(F.array_distinct(F.array(*[F.col(c).cast("string") for c in _key_columns(name, df)])))
+    return df.select(F.explode(ids).alias("wanted_id"), *carried)
+
+
 def transaction_matches(keys: DataFrame, sources: dict[str, DataFrame]) -> DataFrame:
     """Many ids at once: ``transaction_id, source, data`` for the first match per source.
 
-    A source is cut to its first row per id before the join (each task sends one row
-    per id at most), so an id repeated all over a source stays cheap. Only matching
-    rows are turned to JSON.
+    A source is cut to the wanted ids before anything is sorted or exchanged, as the
+    optimizer broadcasts a short list; then each task keeps one row per id at most,
+    so a wanted id repeated all over a source stays cheap. Only matching rows are
+    turned to JSON.
     """
     wanted = keys.select(F.col("transaction_id").alias("wanted_id")).distinct()
 
     def matches(name: str, df: DataFrame) -> DataFrame:
-        columns = _key_columns(name, df)
-        per_key = []
-        for column in columns:
-            keyed = df.withColumn("wanted_id", F.col(column).cast("string")).filter("wanted_id is not null")
-            found = first_per_key(keyed, ["wanted_id"], ["ingest_ord"]).join(wanted, "wanted_id", "left_semi")
-            per_key.append(found.select("wanted_id", "ingest_ord", F.struct(*df.columns).alias("row")))
-        hits = reduce(DataFrame.unionByName, per_key)
-        if len(columns) > 1:
-            hits = first_per_key(hits, ["wanted_id"], ["ingest_ord"])
-        return _as_match(hits, name, F.col("wanted_id"))
+        keyed = _keyed(name, df, *[F.col(c) for c in df.columns]).join(wanted, "wanted_id", "left_semi")
+        hits = first_per_key(keyed, ["wanted_id"], ["ingest_ord"])
+        return _as_match(hits.select("wanted_id", F.struct(*df.columns).alias("row")), name, F.col("wanted_id"))
 
     return reduce(DataFrame.unionByName, [matches(name, df) for name, df in sources.items()])
 
@@ -66,17 +78,17 @@ def transaction_matches(keys: DataFrame, sources: dict[str, DataFrame]) -> DataF
 def transaction_lookup(keys: DataFrame, sources: dict[str, DataFrame]) -> DataFrame:
     """Per wanted id: the sources it was found in (search order) and their number.
 
-    Only the key columns are read. Each source is one bit, so a repeated id is folded
-    into one small number per task before anything is exchanged.
+    Only the key columns are read, and only wanted ids go on. Each source is one bit,
+    so a repeated id is folded into one small number per task.
     """
+    wanted = keys.select("transaction_id").distinct()
     marks = [
-        df.select(F.col(c).cast("string").alias("transaction_id"), F.lit(1 << SOURCES.index(name)).alias("mark"))
+        _keyed(name, df, F.lit(1 << SOURCES.index(name)).alias("mark")).withColumnRenamed("wanted_id", "transaction_id")
         for name, df in sources.items()
-        for c in _key_columns(name, df)
     ]
     found = (
         reduce(DataFrame.unionByName, marks)
-        .filter("transaction_id is not null")
+        .join(wanted, "transaction_id", "left_semi")
         .groupBy("transaction_id")
         .agg(F.bit_or("mark").alias("mark"))
     )
@@ -84,15 +96,10 @@ def transaction_lookup(keys: DataFrame, sources: dict[str, DataFrame]) -> DataFr
         F.array(*[F.lit(s) for s in SOURCES]),
         lambda s, i: F.col("mark").bitwiseAND(F.element_at(F.array(*[F.lit(1 << n) for n in range(7)]), i + 1)) != 0,
     )
-    return (
-        keys.select("transaction_id")
-        .distinct()
-        .join(found, "transaction_id", "left")
-        .select(
-            "transaction_id",
-            F.when(F.col("mark").isNull(), F.array().cast("array<string>")).otherwise(names).alias("found_in_sources"),
-            F.coalesce(F.bit_count("mark"), F.lit(0)).alias("matches"),
-        )
+    return wanted.join(found, "transaction_id", "left").select(
+        "transaction_id",
+        F.when(F.col("mark").isNull(), F.array().cast("array<string>")).otherwise(names).alias("found_in_sources"),
+        F.coalesce(F.bit_count("mark"), F.lit(0)).alias("matches"),
     )
 
 
