@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -911,23 +910,6 @@ def guarded_append(spark, d):
     return readers.read_table(spark, out).select(*ORDER_COLUMNS)
 
 
-def stream_query(fn: Query) -> Query:
-    """A query that runs a stream to its end. State is kept per shuffle partition, for good:
-    a machine with few cores gets two per core instead of the default 200."""
-
-    @functools.wraps(fn)
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        partitions = spark.conf.get("spark.sql.shuffle.partitions")
-        fewer = min(int(partitions), 2 * spark.sparkContext.defaultParallelism)
-        spark.conf.set("spark.sql.shuffle.partitions", fewer)
-        try:
-            return fn(spark, sf_dir)
-        finally:
-            spark.conf.set("spark.sql.shuffle.partitions", partitions)
-
-    return query(run)
-
-
 def _event_stream(spark, d, session_by="day") -> DataFrame:
     return tt.as_cart_events(readers.stream_parquet(spark, d, "events.parquet"), session_by)
 
@@ -935,7 +917,7 @@ def _event_stream(spark, d, session_by="day") -> DataFrame:
 STREAM_COLUMNS = ["event_id", "session_id", "event_type", "timestamp", "date", "hour", "utm_source", "referrer"]
 
 
-@stream_query
+@query
 def stream_cleaned_events(spark, d):
     out = scratch_path(spark, "stream")
     events = ingest.dedup_stream(ingest.clean_stream(_event_stream(spark, d)))
@@ -943,23 +925,23 @@ def stream_cleaned_events(spark, d):
     return readers.read_table(spark, out).select(*STREAM_COLUMNS)
 
 
-@stream_query
+@query
 def stream_exact_events(spark, d):
     out = scratch_path(spark, "stream")
     ingest.run_batches(_event_stream(spark, d), ingest.exact_writer(out), scratch_path(spark, "checkpoint"))
     return _events_out(readers.read_table(spark, out))
 
 
-@stream_query
+@query
 def stream_session_totals(spark, d):
     out = scratch_path(spark, "stream")
-    events = ingest.dedup_stream(ingest.clean_stream(_event_stream(spark, d)), None)
+    events = ingest.dedup_stream(ingest.clean_stream(_event_stream(spark, d)))
     totals = ingest.session_totals(events)
     ingest.run_batches(totals, ingest.latest_writer(out), scratch_path(spark, "checkpoint"), "update")
     return ingest.latest_rows(spark, out, "session_id")
 
 
-@stream_query
+@query
 def stream_as_of_batch(spark, d):
     out = scratch_path(spark, "stream")
     events = ingest.dedup_stream(ingest.clean_stream(_event_stream(spark, d)))
@@ -972,7 +954,7 @@ def _zoned(events: DataFrame) -> DataFrame:
     return events.withColumn("event_time", F.col("event_time").cast("timestamp"))
 
 
-@stream_query
+@query
 def stream_activity_windows(spark, d):
     out = scratch_path(spark, "stream")
     events = _zoned(cleaning.typed_events(_event_stream(spark, d, "user")))
@@ -981,7 +963,7 @@ def stream_activity_windows(spark, d):
     return readers.read_table(spark, out).drop("batch_id")
 
 
-@stream_query
+@query
 def stream_carts_left(spark, d):
     out = scratch_path(spark, "stream")
     events = _zoned(cleaning.typed_events(_event_stream(spark, d, "user")))

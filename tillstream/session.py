@@ -24,6 +24,8 @@ START_SETTINGS = {
     "spark.sql.codegen.cache.maxEntries": "2000",
     # recording the Python line of every column call costs more than planning a query
     "spark.python.sql.dataFrameDebugging.enabled": "false",
+    # streams keep every id they have seen: on disk, not on the executors' heap
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 

@@ -2,8 +2,9 @@
 
 Two ways to drop repeated events:
 
-* :func:`dedup_stream` keeps ids in the state store, bounded by a watermark (or
-  unbounded without one); which copy survives inside one micro-batch is open.
+* :func:`dedup_stream` keeps every id in the state store, so no event is lost however
+  late it comes; which copy survives inside one micro-batch is open. A delay bounds the
+  state, and then Spark drops events that come later than that.
 * :func:`exact_writer` cleans and de-duplicates each micro-batch like the batch
   pipeline and anti-joins the ids stored so far, so the first copy always wins.
 
@@ -41,8 +42,8 @@ def clean_stream(raw: DataFrame) -> DataFrame:
     return clean_events(raw, strict=False).withColumn("event_time", F.col("timestamp").cast("timestamp"))
 
 
-def dedup_stream(events: DataFrame, delay: str | None = "1 day") -> DataFrame:
-    """Drop repeated ids arriving within ``delay`` of each other; ``None`` never forgets an id."""
+def dedup_stream(events: DataFrame, delay: str | None = None) -> DataFrame:
+    """Drop repeated ids. With a ``delay``, ids are forgotten after it and events later than it are dropped."""
     if delay is None:
         return events.dropDuplicates(["event_id"])
     return events.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(["event_id"])
