@@ -287,6 +287,51 @@ APPENDED = (_cart(), CLEAN, DEDUP.replace("ORDER BY ingest_ord", "ORDER BY ts >=
 _sql("pipeline_append", *APPENDED, ENRICHED)
 _sql("pipeline_append_sessions", *APPENDED, SESSION_OUT)
 _sql("stream_as_of_batch", *SESSIONS, ENRICHED)
+
+# four deliveries by hour of the day; an event's second copy comes one delivery after the first
+DELIVERY = "least(hour(ts) // 6 + CASE WHEN ingest_ord >= 1000000000000 THEN 1 ELSE 0 END, 3) AS delivery"
+_sql(
+    "stream_as_of_deliveries",
+    _cart(),
+    CLEAN,
+    f"""
+delivered AS (SELECT *, {DELIVERY} FROM clean
+), dedup AS (
+  SELECT * FROM delivered QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY delivery, ingest_ord) = 1
+), batches AS (SELECT DISTINCT session_id, delivery FROM dedup
+), known AS (
+  SELECT b.session_id, b.delivery, min(e.ts) AS session_start, max(e.ts) AS session_end, count(*) AS total_events,
+    (epoch_us(max(e.ts)) - epoch_us(min(e.ts))) / 1e6 AS session_duration_seconds,
+    string_agg(e.event_type, ',' ORDER BY e.delivery, e.ts, e.ingest_ord) AS event_journey
+  FROM batches b JOIN dedup e ON e.session_id = b.session_id AND e.delivery <= b.delivery
+  GROUP BY b.session_id, b.delivery
+)""",
+    f"""SELECT event_id, e.session_id, CAST(d AS VARCHAR) AS date,
+  row_number() OVER (PARTITION BY e.session_id, e.delivery ORDER BY ts, ingest_ord) AS event_sequence_num,
+  strftime(session_start, '{TIME}') AS session_start, strftime(session_end, '{TIME}') AS session_end,
+  session_duration_seconds, total_events, event_journey
+FROM dedup e JOIN known k ON e.session_id = k.session_id AND e.delivery = k.delivery""",
+)
+_sql(
+    "stream_run_counters",
+    *PREPARED,
+    """SELECT (SELECT count(*) FROM cart) AS processed_events,
+  (SELECT count(*) FROM cart) - (SELECT count(*) FROM clean) AS invalid_events, 0 AS unreadable_events,
+  (SELECT count(*) FROM clean) - (SELECT count(*) FROM dedup) AS duplicate_events,
+  (SELECT count(*) FROM dedup) AS stored_events""",
+)
+_sql(
+    "stream_late_events",
+    _cart(),
+    f"""
+delivered AS (SELECT *, {DELIVERY} FROM cart
+), newest AS (SELECT delivery, max(ts) AS newest FROM delivered GROUP BY delivery
+), marks AS (
+  SELECT n.delivery, max(b.newest) - INTERVAL 1 DAY AS mark FROM newest n JOIN newest b ON b.delivery < n.delivery GROUP BY n.delivery
+)""",
+    """SELECT event_id, ingest_ord, session_id, iso AS timestamp
+FROM delivered JOIN marks USING (delivery) WHERE ts < mark""",
+)
 _sql(
     "journey_parts",
     *PREPARED,

@@ -910,43 +910,89 @@ def guarded_append(spark, d):
     return readers.read_table(spark, out).select(*ORDER_COLUMNS)
 
 
-def _event_stream(spark, d, session_by="day") -> DataFrame:
-    return tt.as_cart_events(readers.stream_parquet(spark, d, "events.parquet"), session_by)
+STREAM_COLUMNS = ["event_id", "session_id", "event_type", "timestamp", "date", "hour", "utm_source", "referrer"]
 
+DELIVERIES = 4
+# By hour of the day every delivery has events of all dates, mostly out of order; by date they are in order.
+_DELIVERY = {
+    "hour": "least(cast(substring(timestamp, 12, 2) as int) div 6 + if(ingest_ord >= 1000000000000, 1, 0), 3)",
+    "date": "(cast(substring(timestamp, 9, 2) as int) - 1) div 8",
+}
 
-STREAM_COLUMNS = ["event_id", "session_id", "event_type", "timestamp", "date", "hour", "utm_source", "referrer"]
+
+def _delivered(spark, d, receive, by="hour", session_by="day") -> None:
+    """All raw events in four deliveries; ``receive`` runs a stream over each, from its last checkpoint.
+
+    By hour, the second copy of an event comes one delivery after the first.
+    """
+    staged, arriving = scratch_path(spark, "staged"), scratch_path(spark, "arriving")
+    part = F.coalesce(F.expr(_DELIVERY[by]), F.lit(0)).cast("int")
+    tt.cart_events(spark, d, session_by).withColumn("delivery", part).write.partitionBy("delivery").parquet(staged)
+    parts = spark.read.parquet(staged)
+    for n in range(DELIVERIES):
+        parts.where(F.col("delivery") == n).drop("delivery").write.mode("append").parquet(arriving)
+        receive(readers.stream_parquet(spark, arriving, files_per_batch=1_000_000))
 
 
 @query
 def stream_cleaned_events(spark, d):
-    out = scratch_path(spark, "stream")
-    events = ingest.dedup_stream(ingest.clean_stream(_event_stream(spark, d)))
-    ingest.append_by_date(events, out, scratch_path(spark, "checkpoint"))
+    out, checkpoint = scratch_path(spark, "stream"), scratch_path(spark, "checkpoint")
+    _delivered(spark, d, lambda raw: ingest.append_by_date(ingest.dedup_stream(ingest.clean_stream(raw)), out, checkpoint))
     return readers.read_table(spark, out).select(*STREAM_COLUMNS)
 
 
 @query
 def stream_exact_events(spark, d):
-    out = scratch_path(spark, "stream")
-    ingest.run_batches(_event_stream(spark, d), ingest.exact_writer(out), scratch_path(spark, "checkpoint"))
+    out, checkpoint = scratch_path(spark, "stream"), scratch_path(spark, "checkpoint")
+    _delivered(spark, d, lambda raw: ingest.run_batches(raw, ingest.exact_writer(out), checkpoint))
     return _events_out(readers.read_table(spark, out))
 
 
+@query
+def stream_run_counters(spark, d):
+    out, aside, counters, checkpoint = [scratch_path(spark, n) for n in ("stream", "aside", "counters", "checkpoint")]
+    writer = ingest.exact_writer(out, aside, counters)
+    _delivered(spark, d, lambda raw: ingest.run_batches(raw, writer, checkpoint))
+    return ingest.run_counters(spark, counters)
+
+
+@query
+def stream_late_events(spark, d):
+    """Events more than a day behind the newest of the deliveries before theirs."""
+    out, seen, checkpoint = scratch_path(spark, "late"), scratch_path(spark, "seen"), scratch_path(spark, "checkpoint")
+    writer = ingest.late_writer(out, seen, "1 day")
+    _delivered(spark, d, lambda raw: ingest.run_batches(_zoned(cleaning.typed_events(raw)), writer, checkpoint))
+    return readers.read_table(spark, out).select("event_id", "ingest_ord", "session_id", "timestamp")
+
+
 @query
 def stream_session_totals(spark, d):
-    out = scratch_path(spark, "stream")
-    events = ingest.dedup_stream(ingest.clean_stream(_event_stream(spark, d)))
-    totals = ingest.session_totals(events)
-    ingest.run_batches(totals, ingest.latest_writer(out), scratch_path(spark, "checkpoint"), "update")
+    out, checkpoint = scratch_path(spark, "stream"), scratch_path(spark, "checkpoint")
+
+    def receive(raw):
+        totals = ingest.session_totals(ingest.dedup_stream(ingest.clean_stream(raw)))
+        ingest.run_batches(totals, ingest.latest_writer(out), checkpoint, "update")
+
+    _delivered(spark, d, receive)
     return ingest.latest_rows(spark, out, "session_id")
 
 
 @query
 def stream_as_of_batch(spark, d):
-    out = scratch_path(spark, "stream")
-    events = ingest.dedup_stream(ingest.clean_stream(_event_stream(spark, d)))
-    writer = ingest.as_of_batch_writer(out, scratch_path(spark, "state"))
-    ingest.run_batches(events, writer, scratch_path(spark, "checkpoint"))
+    """All events as one batch: the columns as of that batch are those of whole sessions."""
+    out, state, checkpoint = scratch_path(spark, "stream"), scratch_path(spark, "state"), scratch_path(spark, "checkpoint")
+    raw = tt.as_cart_events(readers.stream_parquet(spark, d, "events.parquet"))
+    writer = ingest.as_of_batch_writer(out, state)
+    ingest.run_batches(ingest.dedup_stream(ingest.clean_stream(raw)), writer, checkpoint)
+    return readers.read_table(spark, out).select(*ENRICHED)
+
+
+@query
+def stream_as_of_deliveries(spark, d):
+    """Session columns as known at each of four deliveries."""
+    out, state, checkpoint = scratch_path(spark, "stream"), scratch_path(spark, "state"), scratch_path(spark, "checkpoint")
+    writer = ingest.as_of_batch_writer(out, state)
+    _delivered(spark, d, lambda raw: ingest.run_batches(ingest.dedup_stream(ingest.clean_stream(raw)), writer, checkpoint))
     return readers.read_table(spark, out).select(*ENRICHED)
 
 
@@ -954,20 +1000,27 @@ def _zoned(events: DataFrame) -> DataFrame:
     return events.withColumn("event_time", F.col("event_time").cast("timestamp"))
 
 
+def _activity(raw: DataFrame) -> DataFrame:
+    return activity.activity_windows(_zoned(cleaning.typed_events(raw)), "24 hours", "1 hour")
+
+
 @query
 def stream_activity_windows(spark, d):
-    out = scratch_path(spark, "stream")
-    events = _zoned(cleaning.typed_events(_event_stream(spark, d, "user")))
-    closed = activity.activity_windows(events, "24 hours", "1 hour")
-    ingest.run_batches(closed, ingest.latest_writer(out), scratch_path(spark, "checkpoint"))
+    out, checkpoint = scratch_path(spark, "stream"), scratch_path(spark, "checkpoint")
+    writer = ingest.latest_writer(out)
+    _delivered(spark, d, lambda raw: ingest.run_batches(_activity(raw), writer, checkpoint), "date", "user")
     return readers.read_table(spark, out).drop("batch_id")
 
 
 @query
 def stream_carts_left(spark, d):
-    out = scratch_path(spark, "stream")
-    events = _zoned(cleaning.typed_events(_event_stream(spark, d, "user")))
-    closed = activity.activity_windows(events, "24 hours", "1 hour")
-    writer = activity.carts_left_writer(_typed(spark, d), out)
-    ingest.run_batches(closed, writer, scratch_path(spark, "checkpoint"))
-    return readers.read_table(spark, out).drop("batch_id")
+    """Each delivery is stored first; carts of sessions that it shows inactive are replayed from the store."""
+    store, stored, out, checkpoint = [scratch_path(spark, n) for n in ("store", "stored", "stream", "checkpoint")]
+    writer = activity.carts_left_writer(lambda: readers.read_table(spark, store), out)
+
+    def receive(raw):
+        ingest.run_batches(cleaning.typed_events(raw), ingest.latest_writer(store), stored)
+        ingest.run_batches(_activity(raw), writer, checkpoint)
+
+    _delivered(spark, d, receive, "date", "user")
+    return activity.carts_left_now(spark, out)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillstream.operators.cart import cart_items
+from tillstream.streaming.ingest import latest_rows
 
 
 def activity_windows(events: DataFrame, gap: str, delay: str, keys: list[str] = ("session_id",)) -> DataFrame:
@@ -25,11 +28,12 @@ def activity_windows(events: DataFrame, gap: str, delay: str, keys: list[str] =
     )
 
 
-def carts_left(closed: DataFrame, stored_events: DataFrame) -> DataFrame:
+def carts_left(closed: DataFrame, stored_events: DataFrame, emptied: bool = False) -> DataFrame:
     """Carts of sessions that went inactive, replayed up to their last activity.
 
     ``closed`` are rows of :func:`activity_windows`; of several bursts of a session only
-    the latest counts, so every stored event is replayed at most once.
+    the latest counts, so every stored event is replayed at most once. With ``emptied``,
+    sessions whose cart is empty have a row too, of no items.
     """
     latest = closed.groupBy("session_id").agg(F.max("last_activity").alias("last_activity"))
     history = (
@@ -41,13 +45,24 @@ def carts_left(closed: DataFrame, stored_events: DataFrame) -> DataFrame:
         F.sum(F.col("price_vnd") * F.col("quantity")).alias("cart_value_vnd"),
         F.count(F.lit(1)).alias("item_count"),
     )
+    if emptied:
+        return latest.join(carts, "session_id", "left").fillna(0, ["cart_value_vnd", "item_count"])
     return latest.join(carts, "session_id")
 
 
-def carts_left_writer(stored_events: DataFrame, out_dir: str):
-    """Micro-batch writer over closed activity windows."""
+def carts_left_writer(stored_events: Callable[[], DataFrame], out_dir: str):
+    """Micro-batch writer over closed activity windows; ``stored_events`` reads what is stored by now.
+
+    A session may close again in a later batch; :func:`carts_left_now` has its last answer.
+    """
 
     def write(closed: DataFrame, batch_id: int) -> None:
-        carts_left(closed, stored_events).write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")
+        found = carts_left(closed, stored_events(), emptied=True)
+        found.write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")
 
     return write
+
+
+def carts_left_now(spark, out_dir: str) -> DataFrame:
+    """One row for each session whose cart holds something since it last went inactive."""
+    return latest_rows(spark, out_dir, "session_id").filter("item_count > 0")

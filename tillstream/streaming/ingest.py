@@ -19,9 +19,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillstream.functions import seconds_between
-from tillstream.operators.cleaning import clean_events, dedup_events, new_events
-from tillstream.operators.ranking import first_per_key, numbered_in_segments
+from tillstream.functions import iso_timestamp_or_null, seconds_between
+from tillstream.operators.cleaning import clean_events, dedup_events, is_valid, new_events
+from tillstream.operators.ranking import first_per_key, numbered_in_segments, one_row
 from tillstream.operators.sessions import (
     _ORDER,
     _collected_types,
@@ -102,15 +102,73 @@ def latest_rows(spark, out_dir: str, key: str) -> DataFrame:
     return first_per_key(spark.read.parquet(out_dir), [key], [F.desc("batch_id")]).drop("batch_id")
 
 
-def exact_writer(out_dir: str) -> BatchWriter:
-    """Clean, de-duplicate and store a raw micro-batch; ids stored by earlier batches are skipped."""
+def unreadable_events(raw: DataFrame) -> DataFrame:
+    """Valid rows whose time is missing or cannot be read: a stream sets them aside."""
+    return raw.filter(is_valid() & iso_timestamp_or_null(F.col("timestamp")).isNull())
+
+
+def exact_writer(out_dir: str, aside_dir: str | None = None, counters_dir: str | None = None) -> BatchWriter:
+    """Clean, de-duplicate and store a raw micro-batch; ids stored by earlier batches are skipped.
+
+    An unreadable time is an error, unless ``aside_dir`` takes such rows. ``counters_dir`` gets
+    one row of counters per batch; :func:`run_counters` adds them up.
+    """
 
     def write(raw: DataFrame, batch_id: int) -> None:
-        events = dedup_events(clean_events(raw))
+        spark = raw.sparkSession
+        own = f"{out_dir}/batch_id={batch_id}"
+        events = dedup_events(clean_events(raw, strict=aside_dir is None))
+        schema = events.schema
         stored = _stored_ids(events, out_dir, batch_id)
         if stored is not None:
             events = new_events(events, stored)
-        events.write.mode("overwrite").partitionBy("date").parquet(f"{out_dir}/batch_id={batch_id}")
+        events.write.mode("overwrite").partitionBy("date").parquet(own)
+        if aside_dir is not None:
+            unreadable_events(raw).write.mode("overwrite").parquet(f"{aside_dir}/batch_id={batch_id}")
+        if counters_dir is not None:
+            unread = is_valid() & iso_timestamp_or_null(F.col("timestamp")).isNull()
+            seen = raw.agg(
+                F.count(F.lit(1)).alias("processed_events"),
+                F.count_if(~F.coalesce(is_valid(), F.lit(False))).alias("invalid_events"),
+                F.count_if(unread).alias("unreadable_events"),
+            )
+            kept = spark.read.schema(schema).parquet(own).agg(F.count(F.lit(1)).alias("stored_events"))
+            counts = one_row(seen, kept).withColumn(
+                "duplicate_events",
+                F.expr("processed_events - invalid_events - unreadable_events - stored_events"),
+            )
+            counts.write.mode("overwrite").parquet(f"{counters_dir}/batch_id={batch_id}")
+
+    return write
+
+
+def run_counters(spark, counters_dir: str) -> DataFrame:
+    """The counters of all micro-batches together, in one row."""
+    per_batch = spark.read.parquet(counters_dir).drop("batch_id")
+    return per_batch.agg(*[F.sum(c).alias(c) for c in per_batch.columns])
+
+
+def late_writer(out_dir: str, seen_dir: str, delay: str) -> BatchWriter:
+    """Store the rows that come more than ``delay`` behind the newest event of earlier batches.
+
+    A watermark of that delay drops such rows unseen; this table has and counts them. Each batch
+    stores the newest time so far, so the next one reads a single row.
+    """
+
+    def write(events: DataFrame, batch_id: int) -> None:
+        spark = events.sparkSession
+        newest = events.agg(F.max("event_time").alias("newest"))
+        before = f"{seen_dir}/batch_id={batch_id - 1}"
+        late = events.limit(0)
+        if path_exists(spark, before):
+            known = spark.read.parquet(before)
+            newest = newest.unionByName(known).agg(F.max("newest").alias("newest"))
+            mark = known.select(F.lit(1).alias("_one"), (F.col("newest") - F.expr(f"INTERVAL {delay}")).alias("_mark"))
+            # one row on the right
+            late = events.withColumn("_one", F.lit(1)).join(F.broadcast(mark), "_one")
+            late = late.filter("event_time < _mark").drop("_one", "_mark")
+        late.write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")
+        newest.write.mode("overwrite").parquet(f"{seen_dir}/batch_id={batch_id}")
 
     return write
 
