@@ -6,7 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from tillstream import schemas
-from tillstream.operators import cleaning, sessions
+from tillstream.operators import cleaning, keys, sessions
 from tillstream.plans import pipeline, registry, report
 from tillstream.sources import readers, sinks
 from tillstream.streaming import activity, ingest
@@ -230,3 +230,16 @@ def test_unreadable_and_late_rows_are_kept_and_counted(spark, make_events, tmp_p
     assert counts == {
         "processed_events": 7, "invalid_events": 1, "unreadable_events": 2, "stored_events": 3, "duplicate_events": 1,
     }
+
+
+def test_absent_sources_and_ids_for_rows_read_from_files(spark, raw, tmp_path):
+    folder = str(tmp_path / "lines")
+    columns = [c for c in raw.columns if c != "ingest_ord"]
+    for part in ("a", "b"):
+        raw.select(*columns).coalesce(1).write.json(f"{folder}/{part}")
+    read = [readers.read_json_lines(spark, "cart_events", f"{folder}/{part}") for part in ("a", "b")]
+    absent = readers.read_json_lines(spark, "cart_events", f"{folder}/none")
+    rows = read[0].unionByName(read[1]).unionByName(absent)
+    existing = spark.createDataFrame([(7,)], "id bigint")
+    found = keys.append_surrogate_ids(existing, rows).orderBy("ingest_ord").select("id").collect()
+    assert [r.id for r in found] == list(range(8, 8 + 2 * raw.count()))

@@ -28,12 +28,15 @@ def append_surrogate_ids(
 ) -> DataFrame:
     """``new`` with dense ids continuing after the highest existing one, in ``order``.
 
-    ``order`` is a whole number. Rows are numbered per block of it, so no task
-    orders the whole batch.
+    ``order`` is a whole number, or the position (file, block, row) that the file readers
+    give. Rows are numbered per block of it, so no task orders the whole batch.
     """
+    position = F.col(order)
+    placed = new.schema[order].dataType.typeName() == "struct"
+    segment = F.struct(position["file"], position["block"]) if placed else F.floor(position / block)
     start = existing.agg(F.coalesce(F.max(key), F.lit(0)).cast("bigint").alias("_start"))
     numbered = numbered_in_segments(
-        new.drop(key).withColumn("_one", F.lit(1)), ["_one"], F.floor(F.col(order) / block), [order], "_nth"
+        new.drop(key).withColumn("_one", F.lit(1)), ["_one"], segment, [order], "_nth"
     )
     # one row on the right
     return (

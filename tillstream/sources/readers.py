@@ -43,13 +43,14 @@ def _with_order(df: DataFrame) -> DataFrame:
 
 
 def empty(spark: SparkSession, entity: str) -> DataFrame:
-    return spark.createDataFrame([], schemas.schema(entity)).withColumn("ingest_ord", F.lit(None).cast("bigint"))
+    position = F.lit(None).cast("struct<file:string,block:bigint,row:bigint>")
+    return spark.createDataFrame([], schemas.schema(entity)).withColumn("ingest_ord", position)
 
 
 def read_json_arrays(spark: SparkSession, entity: str, *paths: str) -> DataFrame:
     """Files holding one JSON array each (plain or gzip); none at all gives no rows.
 
-    Such a file is one task: convert once with :func:`to_parquet`, then work on that.
+    Such a file is one task: write it as parquet once, then work on that.
     """
     path = first_existing(spark, *paths)
     if path is None:
@@ -73,8 +74,7 @@ def read_batched(spark: SparkSession, entity: str, folder: str, batch: int | Non
     """
     files = f"{folder}/*_batch_{'*' if batch is None else batch}.json*"
     df = read_json_arrays(spark, entity, files)
-    name = F.col("ingest_ord.file") if df.schema["ingest_ord"].dataType.typeName() == "struct" else F.lit(None)
-    return df.withColumn("batch", F.regexp_extract(name.cast("string"), r"_batch_(\d+)\.json", 1).try_cast("bigint"))
+    return df.withColumn("batch", F.regexp_extract("ingest_ord.file", r"_batch_(\d+)\.json", 1).try_cast("bigint"))
 
 
 def batch_of_customer(customer_id: int) -> int:
