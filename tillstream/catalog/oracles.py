@@ -1019,6 +1019,7 @@ _sql(
     f"""SELECT event_id, session_id, event_type, strftime(ts, '{TIME}') AS timestamp, CAST(d AS VARCHAR) AS date,
   hour(ts) AS hour, utm_source, referrer FROM dedup""",
 )
+ORACLES["stream_json_files"] = ORACLES["stream_cleaned_events"]
 _sql(
     "stream_session_totals",
     *SESSIONS,

@@ -948,6 +948,16 @@ def stream_exact_events(spark, d):
     return _events_out(readers.read_table(spark, out))
 
 
+@query
+def stream_json_files(spark, d):
+    """All raw events as files of JSON lines, streamed from there into the exact table."""
+    lines, out, checkpoint = scratch_path(spark, "lines"), scratch_path(spark, "stream"), scratch_path(spark, "checkpoint")
+    sinks.write_json_lines(tt.cart_events(spark, d).drop("ingest_ord"), lines)
+    raw = readers.stream_json_lines(spark, "cart_events", lines)
+    ingest.run_batches(raw, ingest.exact_writer(out), checkpoint)
+    return readers.read_table(spark, out).select(*STREAM_COLUMNS)
+
+
 @query
 def stream_run_counters(spark, d):
     out, aside, counters, checkpoint = [scratch_path(spark, n) for n in ("stream", "aside", "counters", "checkpoint")]

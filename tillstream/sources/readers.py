@@ -25,7 +25,7 @@ def first_existing(spark: SparkSession, *paths: str) -> str | None:
     return next((p for p in paths if path_exists(spark, p)), None)
 
 
-def _file_order() -> Column:
+def _file_order(row: Column | None = None) -> Column:
     """A sortable position: file, block of the file, row within the task.
 
     Comparable across tasks, unlike the bare increasing id, whose high bits follow
@@ -34,7 +34,7 @@ def _file_order() -> Column:
     return F.struct(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("row"),
+        (F.monotonically_increasing_id() if row is None else row).alias("row"),
     )
 
 
@@ -98,9 +98,19 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def stream_json_lines(spark: SparkSession, entity: str, folder: str, files_per_batch: int = 100) -> DataFrame:
-    """The files of a folder as a stream, a bounded number of files at a time."""
+    """The files of a folder as a stream, a bounded number of files at a time.
+
+    Streams can't number rows: ``ingest_ord`` has no row until :func:`with_rows` fills it in.
+    """
     reader = spark.readStream.schema(schemas.schema(entity)).option("maxFilesPerTrigger", files_per_batch)
-    return _with_order(reader.json(folder))
+    return reader.json(folder).select("*", _file_order(F.lit(None).cast("bigint")).alias("ingest_ord"))
+
+
+def with_rows(batch: DataFrame) -> DataFrame:
+    """A micro-batch with the rows of its positions; other kinds of ``ingest_ord`` stay as they are."""
+    if batch.schema["ingest_ord"].dataType.typeName() != "struct":
+        return batch
+    return batch.withColumn("ingest_ord", F.col("ingest_ord").withField("row", F.monotonically_increasing_id()))
 
 
 def stream_parquet(spark: SparkSession, folder: str, pattern: str = "*.parquet", files_per_batch: int = 100) -> DataFrame:

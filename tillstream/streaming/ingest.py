@@ -32,7 +32,7 @@ from tillstream.operators.sessions import (
     session_pieces,
 )
 from tillstream.session import materialise
-from tillstream.sources.readers import path_exists
+from tillstream.sources.readers import path_exists, with_rows
 
 BatchWriter = Callable[[DataFrame, int], None]
 
@@ -117,7 +117,7 @@ def exact_writer(out_dir: str, aside_dir: str | None = None, counters_dir: str |
     def write(raw: DataFrame, batch_id: int) -> None:
         spark = raw.sparkSession
         own = f"{out_dir}/batch_id={batch_id}"
-        events = dedup_events(clean_events(raw, strict=aside_dir is None))
+        events = dedup_events(clean_events(with_rows(raw), strict=aside_dir is None))
         schema = events.schema
         stored = _stored_ids(events, out_dir, batch_id)
         if stored is not None:
