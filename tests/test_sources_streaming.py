@@ -243,3 +243,14 @@ def test_absent_sources_and_ids_for_rows_read_from_files(spark, raw, tmp_path):
     existing = spark.createDataFrame([(7,)], "id bigint")
     found = keys.append_surrogate_ids(existing, rows).orderBy("ingest_ord").select("id").collect()
     assert [r.id for r in found] == list(range(8, 8 + 2 * raw.count()))
+
+
+def test_json_lines_stream_keeps_the_first_copy(spark, make_events, tmp_path):
+    folder, out = str(tmp_path / "lines"), str(tmp_path / "stored")
+    raw = make_events({"event_id": "a", "quantity": "1"}, {"event_id": "a", "quantity": "2"}, {"event_id": "b"})
+    for _ in range(2):  # the second file repeats the first
+        raw.drop("ingest_ord").coalesce(1).write.mode("append").json(folder)
+    stream = readers.stream_json_lines(spark, "cart_events", folder, files_per_batch=1)
+    ingest.run_batches(stream, ingest.exact_writer(out), str(tmp_path / "cp"))
+    rows = spark.read.parquet(out).select("event_id", "quantity").collect()
+    assert sorted((r.event_id, r.quantity) for r in rows) == [("a", 1.0), ("b", 1.0)]
