@@ -85,6 +85,23 @@ def test_jaccard_components(docs, empty):
     assert jaccard_join.join_report(empty).count() == jaccard_join.drop_near_duplicates(empty).count() == 0
 
 
+def test_jaccard_keeps_rows_without_own_id_apart(spark):
+    def text(name, edit=""):
+        return " ".join(f"{name}{i}" for i in range(80)) + edit
+
+    rows = [(5, text("a")), (9, text("b")), (None, text("a", " x")), (None, text("b", " x")), (None, text("c")), (None, text("c", " x")), (None, text("d"))]
+    rows += [(7, text("e")), (7, text("f")), (7, text("a", " y")), (8, text("f", " x")), (8, text("g")), (3, text("h")), (3, text("h")), (None, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    first = {"a": 5, "b": 9, "c": None, "d": None, "e": 7, "f": 7, "g": 8, "h": 3}
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.join_report(docs).collect()]
+    want = [(i, len(t.split()) - 4, first[t[0]]) if t else (i, 0, i) for i, t in rows]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    kept = [(r.doc_id, r.text) for r in jaccard_join.drop_near_duplicates(docs).collect()]
+    assert [r for r in kept if not r[1]] and sum(not r[1] for r in kept) == 2  # nothing is like a text without words
+    kept = sorted((t[0], i) for i, t in kept if t)
+    assert kept == sorted(first.items())
+
+
 def test_jaccard_finds_all_links_of_edited_copies(spark):
     rng = np.random.default_rng(5)
     rows, sets = [], {}

@@ -2,7 +2,8 @@
 
 Several steps of an operator need whole texts together with what an earlier step found out about
 them. Packed once into a bucketed table, the documents stay where they are: each step shuffles only
-its findings, keyed by block. A document's block follows from its id, so no key makes a block hot.
+its findings, keyed by block. Ids may be missing or repeated, so a row is told from others by its
+block, id and mark, a hash of its text. A document's block follows from its id, so no key makes a block hot.
 """
 
 from __future__ import annotations
@@ -33,8 +34,9 @@ class Blocks:
         self.bytes = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
         self.count = max(1, math.ceil(self.bytes / block_bytes))
         content = F.struct(*[F.col(f"`{c}`") for c in docs.columns]) if whole else F.col(text_col).cast("string")
-        keyed = docs.select(id_column(id_col), content.alias("content"))
-        keyed = keyed.select(F.pmod(F.xxhash64("id"), F.lit(self.count)).cast("int").alias("block"), "id", "content")
+        mark = F.xxhash64(F.col(text_col).cast("string")).alias("mark")
+        keyed = docs.select(id_column(id_col), mark, content.alias("content"))
+        keyed = keyed.select(F.pmod(F.xxhash64("id"), F.lit(self.count)).cast("int").alias("block"), "id", "mark", "content")
         buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         packed = keyed.mapInArrow(_pack, "block int, payload binary").repartition(buckets, "block")
         name = f"blocks_{uuid.uuid4().hex}"
@@ -45,17 +47,17 @@ class Blocks:
         return max(1, math.ceil(self.bytes / shard_bytes))
 
     def reader(self):
-        """Function for executors: (ids, texts, contents) of each payload of a column."""
+        """Function for executors: (ids, marks, texts, contents) of each payload of a column."""
         whole, text_col = self.whole, self.text_col
 
-        def read(payloads) -> Iterator[tuple[np.ndarray, pa.Array, pa.Array]]:
+        def read(payloads) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Array, pa.Array]]:
             for payload in payloads:
                 batch = pa.ipc.open_stream(payload.as_buffer()).read_all().combine_chunks().to_batches()[0]
                 content = batch["content"]
                 texts = content.field(content.type.get_field_index(text_col)).cast(pa.string()) if whole else content
                 if whole and content.offset:
                     texts = texts.slice(content.offset, len(content))
-                yield batch["id"].to_numpy(), texts, content
+                yield batch["id"].to_numpy(), batch["mark"].to_numpy(), texts, content
 
         return read
 
@@ -68,7 +70,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cuts = np.flatnonzero(np.diff(block[order], prepend=-1)).tolist()
         blocks, payloads = [], []
         for lo, hi in zip(cuts, [*cuts[1:], len(order)]):
-            part = pa.RecordBatch.from_pydict({n: batch[n].take(pa.array(order[lo:hi])) for n in ("id", "content")})
+            part = pa.RecordBatch.from_pydict({n: batch[n].take(pa.array(order[lo:hi])) for n in ("id", "mark", "content")})
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, part.schema, options=options) as out:
                 out.write_batch(part)
@@ -78,7 +80,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def text_runs(read, payloads) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(ids, bytes, offsets) of runs of texts in packed payloads."""
-    for ids, texts, _ in read(payloads):
+    for ids, _, texts, _ in read(payloads):
         for lo, hi, data, offsets in tw.text_runs(texts):
             yield ids[lo:hi], data, offsets
 

@@ -4,8 +4,9 @@ Shingles are XOR-hashed into sketches: each flips one bit, so the Hamming distan
 is at most the size of the sets' symmetric difference, and that is at most
 D = (|A| + |B|) (1 - t) / (1 + t) for a similarity of t or more.
 
-1. *Classes.* Documents with equal shingle sets form a class; from here on its smallest id stands
-   for it.
+1. *Classes.* Documents with equal shingle sets form a numbered class; its row with the smallest id
+   stands for it. Numbers, not ids, go through the steps, so rows of missing or repeated id and other
+   text are never taken for one. Ids are only the labels at the end.
 2. *Size bands.* Sets as similar as t lie in one band of sizes or in neighbouring ones; a set joins
    its own band, and the next if it can have partners there. A band has one D.
 3. *Pigeonhole join.* The band's sketch is cut into D + q parts. Similar sets agree in q parts at
@@ -20,8 +21,8 @@ D = (|A| + |B|) (1 - t) / (1 + t) for a similarity of t or more.
 
 The result is exact up to collisions of 64-bit shingle hashes within a pair. A document with fewer
 words than a shingle is one shingle of its whole sequence; null, empty and wordless texts link with
-nothing, not with each other either. A missing id is later than all others; repeated rows have equal
-results. An empty table gives no rows.
+nothing, not with each other either, and stay. A missing id is later than all others; rows that
+repeat id and text have equal results, and one of them stays. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -101,79 +102,84 @@ class Sets:
     def _reader(self):
         read, words = self.blocks.reader(), self.words
 
-        def sets(payloads, wanted: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
-            for ids, texts, _ in read(payloads):
+        def sets(payloads, wanted: dict[tuple[int, int], int] | None = None) -> Iterator[tuple[int, int, np.ndarray]]:
+            """id, mark and set of all rows, or class number, mark and set of one row for each ``wanted`` id and mark."""
+            wanted_marks = np.array([m for _, m in wanted or ()], np.int64)
+            for ids, marks, texts, _ in read(payloads):
                 if wanted is not None:
-                    at = np.flatnonzero(np.isin(ids, wanted))
-                    ids, texts = ids[at], texts.take(pa.array(at))
+                    found = [(i, wanted.pop((int(ids[i]), int(marks[i])), None)) for i in np.flatnonzero(np.isin(marks, wanted_marks))]
+                    at = np.array([i for i, node in found if node is not None], np.int64)
+                    ids = np.array([node for _, node in found if node is not None], np.int64)
+                    marks, texts = marks[at], texts.take(pa.array(at))
                 for lo, hi, data, offsets in tw.text_runs(texts):
                     grams, before = tw.shingles(data, offsets, words)
                     for row in range(hi - lo):
-                        yield int(ids[lo + row]), grams[before[row] : before[row + 1]]
+                        yield int(ids[lo + row]), int(marks[lo + row]), grams[before[row] : before[row + 1]]
 
         return sets
 
     def sizes(self) -> DataFrame:
-        """id, n, c1, c2: size and 128-bit hash of every document's set."""
+        """block, id, mark, n, c1, c2: size and 128-bit hash of every row's set."""
         sets = self._reader()
-        schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64())])
+        schema = pa.schema([("block", pa.int32()), *((c, pa.int64()) for c in ("id", "mark", "n", "c1", "c2"))])
 
         def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                rows = [[], [], [], []]
-                for id_, grams in sets(batch["payload"]):
-                    rows[0].append(id_), rows[1].append(len(grams))
-                    rows[2].append(tw.mixed(grams, 11).sum(dtype=np.uint64).view(np.int64))
-                    rows[3].append(np.bitwise_xor.reduce(tw.mixed(grams, 12), initial=np.uint64(0)).view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(r, np.int64)) for r in rows], schema=schema)
-
-        return self.blocks.rows.mapInArrow(emit, "id bigint, n bigint, c1 bigint, c2 bigint")
-
-    def _of(self, ids: DataFrame, make, ddl: str) -> DataFrame:
-        """What ``make`` gives for the sets of the documents in ``ids``; the documents stay in their blocks."""
+                rows = [[] for _ in schema]
+                for block, payload in zip(batch["block"].to_pylist(), batch["payload"]):
+                    for id_, mark, grams in sets([payload]):
+                        rows[0].append(block), rows[1].append(id_), rows[2].append(mark), rows[3].append(len(grams))
+                        rows[4].append(tw.mixed(grams, 11).sum(dtype=np.uint64).view(np.int64))
+                        rows[5].append(np.bitwise_xor.reduce(tw.mixed(grams, 12), initial=np.uint64(0)).view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(r, f.type) for r, f in zip(rows, schema)], schema=schema)
+
+        return self.blocks.rows.mapInArrow(emit, "block int, id bigint, mark bigint, n bigint, c1 bigint, c2 bigint")
+
+    def _of(self, classes: DataFrame, make, ddl: str) -> DataFrame:
+        """What ``make`` gives for the sets of ``classes`` (node, block, id, mark); the documents stay in their blocks."""
         sets = self._reader()
-        wanted = ids.select("id", F.pmod(F.xxhash64("id"), F.lit(self.blocks.count)).cast("int").alias("block"))
+        wanted = classes.select("node", "block", "id", "mark")
 
         def both(left: pa.Table, right: pa.Table) -> pa.Table:
-            mine = right["id"].to_numpy()
-            return make(sets(left["payload"], mine) if len(mine) else iter(()))
+            mine = {(i, m): node for i, m, node in zip(*(right[c].to_pylist() for c in ("id", "mark", "node")))}
+            return make((node, grams) for node, _, grams in sets(left["payload"], mine)) if mine else make(iter(()))
 
         return self.blocks.rows.groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(both, ddl)
 
-    def keys(self, ids: DataFrame, bands: Bands) -> DataFrame:
+    def keys(self, classes: DataFrame, bands: Bands) -> DataFrame:
         def make(sets) -> pa.Table:
             keys, owners = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-            for id_, grams in sets:
+            for node, grams in sets:
                 for key in bands.keys(grams):
-                    keys.append(key), owners.append(np.full(len(key), id_))
-            return pa.table({"key": pa.array(np.concatenate(keys).view(np.int64)), "id": pa.array(np.concatenate(owners))})
+                    keys.append(key), owners.append(np.full(len(key), node))
+            return pa.table({"key": pa.array(np.concatenate(keys).view(np.int64)), "node": pa.array(np.concatenate(owners))})
 
-        return self._of(ids, make, "key bigint, id bigint")
+        return self._of(classes, make, "key bigint, node bigint")
 
-    def sketches(self, ids: DataFrame) -> DataFrame:
+    def sketches(self, classes: DataFrame) -> DataFrame:
         def make(sets) -> pa.Table:
             rows = [(i, len(g), dense_sketch(g).tobytes()) for i, g in sets]
             i, n, bits = zip(*rows) if rows else ((), (), ())
-            return pa.table({"id": pa.array(i, pa.int64()), "n": pa.array(n, pa.int64()), "bits": pa.array(bits, pa.binary())})
+            return pa.table({"node": pa.array(i, pa.int64()), "n": pa.array(n, pa.int64()), "bits": pa.array(bits, pa.binary())})
 
-        return self._of(ids, make, "id bigint, n bigint, bits binary")
+        return self._of(classes, make, "node bigint, n bigint, bits binary")
 
-    def hashes(self, ids: DataFrame) -> DataFrame:
+    def hashes(self, classes: DataFrame) -> DataFrame:
         def make(sets) -> pa.Table:
             rows = [(i, g.tobytes()) for i, g in sets]
             i, grams = zip(*rows) if rows else ((), ())
-            return pa.table({"id": pa.array(i, pa.int64()), "grams": pa.array(grams, pa.binary())})
+            return pa.table({"node": pa.array(i, pa.int64()), "grams": pa.array(grams, pa.binary())})
 
-        return self._of(ids, make, "id bigint, grams binary")
+        return self._of(classes, make, "node bigint, grams binary")
 
 
-def _ids(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+def _nodes(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
 
 
 def _with_both(pairs: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
-    left = table.select(F.col("id").alias("a"), *[F.col(c).alias(f"{c}_a") for c in columns])
-    right = table.select(F.col("id").alias("b"), *[F.col(c).alias(f"{c}_b") for c in columns])
+    left = table.select(F.col("node").alias("a"), *[F.col(c).alias(f"{c}_a") for c in columns])
+    right = table.select(F.col("node").alias("b"), *[F.col(c).alias(f"{c}_b") for c in columns])
     return pairs.join(left, "a").join(right, "b")
 
 
@@ -193,7 +199,7 @@ def _near(pairs: DataFrame, sketches: DataFrame, bands: Bands) -> DataFrame:
     return _with_both(pairs, sketches, ["n", "bits"]).mapInArrow(test, "a bigint, b bigint")
 
 
-def _linked(pairs: DataFrame, sets: Sets, similarity: Fraction) -> DataFrame:
+def _linked(pairs: DataFrame, classes: DataFrame, sets: Sets, similarity: Fraction) -> DataFrame:
     """Pairs whose sets are similar, by the sets themselves."""
     p, q = similarity.numerator, similarity.denominator
 
@@ -206,26 +212,26 @@ def _linked(pairs: DataFrame, sets: Sets, similarity: Fraction) -> DataFrame:
                 keep.append(common * (p + q) >= p * (len(x) + len(y)))
             yield pa.RecordBatch.from_pydict({c: batch[c].filter(pa.array(keep, pa.bool_())) for c in ("a", "b")})
 
-    hashes = materialise(sets.hashes(_ids(pairs)), "sets")
+    hashes = materialise(sets.hashes(classes.join(_nodes(pairs), "node")), "sets")
     return _with_both(pairs, hashes, ["grams"]).mapInArrow(test, "a bigint, b bigint")
 
 
 def _across(members: DataFrame, sketches: DataFrame, bands: Bands) -> DataFrame:
     """Pairs of different components in a bucket that sizes and sketches leave possible.
 
-    ``members``: key, id, component. A bucket is numbered and cut into pieces; every two pieces are
+    ``members``: key, node, component. A bucket is numbered and cut into pieces; every two pieces are
     compared in a group of their own, so no group is larger than two pieces.
     """
-    numbered = members.withColumn("piece", F.floor((F.row_number().over(W.partitionBy("key").orderBy("id")) - 1) / PIECE))
+    numbered = members.withColumn("piece", F.floor((F.row_number().over(W.partitionBy("key").orderBy("node")) - 1) / PIECE))
     numbered = materialise(numbered, "bucket-members")
     pieces = materialise(numbered.groupBy("key").agg(F.max("piece").alias("last")), "buckets")
     spread = numbered.join(pieces, "key").withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("last"))))
-    spread = spread.select("key", "id", "component", "piece", F.least("piece", "other").alias("low"), F.greatest("piece", "other").alias("high"))
-    spread = spread.join(sketches, "id")
+    spread = spread.select("key", "node", "component", "piece", F.least("piece", "other").alias("low"), F.greatest("piece", "other").alias("high"))
+    spread = spread.join(sketches, "node")
 
     def compare(table: pa.Table) -> pa.Table:
         low, high = table["low"][0].as_py(), table["high"][0].as_py()
-        ids, comp, n, piece = (table[c].to_numpy() for c in ("id", "component", "n", "piece"))
+        nodes, comp, n, piece = (table[c].to_numpy() for c in ("node", "component", "n", "piece"))
         raw = [np.frombuffer(x, np.uint8) for x in table["bits"].to_pylist()]
         length = min(len(x) for x in raw)
         bits = np.stack([_fold(x, length) for x in raw])
@@ -237,7 +243,7 @@ def _across(members: DataFrame, sketches: DataFrame, bands: Bands) -> DataFrame:
             most = total * (t.denominator - t.numerator) // (t.denominator + t.numerator)
             apart = np.bitwise_count(bits[i] ^ bits[right]).sum(1)
             near = (comp[i] != comp[right]) & (np.maximum(apart, np.abs(n[i] - n[right])) <= most)
-            found += [(min(ids[i], ids[j]), max(ids[i], ids[j])) for j in right[near] if low != high or ids[i] < ids[j]]
+            found += [(min(nodes[i], nodes[j]), max(nodes[i], nodes[j])) for j in right[near] if low != high or nodes[i] < nodes[j]]
         a, b = zip(*found) if found else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
@@ -245,60 +251,73 @@ def _across(members: DataFrame, sketches: DataFrame, bands: Bands) -> DataFrame:
 
 
 def near_duplicates(blocks: Blocks, words: int = 5, similarity: str = "0.8") -> DataFrame:
-    """id, n_shingles, component (the smallest id reachable by links) of every packed document."""
+    """block, id, mark, n_shingles, first of every packed row: ``first`` is the id, mark and block of the
+    smallest row reachable by links, missing where a row has no words."""
     bands, sets = Bands(Fraction(similarity)), Sets(blocks, words)
     sizes = materialise(sets.sizes(), "set-sizes")
     content = ["n", "c1", "c2"]
-    classes = materialise(sizes.where("n > 0").groupBy(*content).agg(F.min("id").alias("rep")), "classes")
+    classes = sizes.where("n > 0").groupBy(*content).agg(F.min(F.struct("id", "mark", "block")).alias("rep"))
+    # Numbered in order of rep: a bucket's center is its earliest row, which the others are mostly copies of.
+    classes = classes.orderBy("rep").select(F.monotonically_increasing_id().alias("node"), "rep", "rep.*", *content)
+    classes = materialise(classes, "classes")
 
-    keys = sets.keys(classes.select(F.col("rep").alias("id")), bands)
-    ordered = W.partitionBy("key").orderBy("id")
+    keys = sets.keys(classes, bands)
+    ordered = W.partitionBy("key").orderBy("node")
     met = keys.select(
-        "key", "id", F.first("id").over(ordered).alias("center"), F.lag("id").over(ordered).alias("_lag"), F.lead("id").over(ordered).alias("_lead")
+        "key", "node", F.first("node").over(ordered).alias("center"), F.lag("node").over(ordered).alias("_lag"), F.lead("node").over(ordered).alias("_lead")
     )
     members = materialise(met.where("_lag is not null or _lead is not null").drop("_lag", "_lead"), "members")
-    sketches = materialise(sets.sketches(members.select("id").distinct()), "sketches")
+    sketches = materialise(sets.sketches(classes.join(members.select("node").distinct(), "node")), "sketches")
 
-    stars = members.where("id != center").groupBy(F.col("center").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("shared"))
+    stars = members.where("node != center").groupBy(F.col("center").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("shared"))
     best = stars.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a")).select("a", "b")
     tried = materialise(_near(best, sketches, bands), "near-pairs")
-    links = materialise(_linked(tried, sets, bands.similarity), "confirmed")
-    found = materialise(components(links), "components")
+    links = materialise(_linked(tried, classes, sets, bands.similarity), "confirmed")
+    found = materialise(components(links).withColumnRenamed("id", "node"), "components")
 
-    placed = members.select("key", "id").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    placed = members.select("key", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     placed = materialise(placed, "placed")
     open_ = placed.groupBy("key").agg(F.min("component").alias("_c"), F.max("component").alias("_d")).where("_c != _d").select("key")
     rest = _across(placed.join(materialise(open_, "open-buckets"), "key"), sketches, bands)
     rest = materialise(rest.join(tried, ["a", "b"], "anti"), "near-pairs")
     if not rest.isEmpty():
-        more = materialise(_linked(rest, sets, bands.similarity), "confirmed")
-        found = materialise(components(links.unionByName(more)), "components")
-
-    of = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    of = materialise(of.select(*[F.col(c).alias(f"_{c}") for c in content], "component"), "classes")
+        more = materialise(_linked(rest, classes, sets, bands.similarity), "confirmed")
+        found = materialise(components(links.unionByName(more)).withColumnRenamed("id", "node"), "components")
+
+    linked = materialise(found.join(classes.select("node", "rep"), "node"), "linked")
+    firsts = materialise(linked.groupBy("component").agg(F.min("rep").alias("first")), "firsts")
+    linked = materialise(linked.join(firsts, "component").select("node", "first"), "labels")
+    of = classes.join(linked, "node", "left").select(*[F.col(c).alias(f"_{c}") for c in content], F.coalesce("first", "rep").alias("first"))
+    of = materialise(of, "classes")
     joined = sizes.join(of, (sizes["n"] == of["_n"]) & (sizes["c1"] == of["_c1"]) & (sizes["c2"] == of["_c2"]), "left")
-    return joined.select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component"))
+    return joined.select("block", "id", "mark", F.col("n").alias("n_shingles"), "first")
 
 
 def join_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: str = "0.8") -> DataFrame:
-    """doc_id, n_shingles, component_id of every row."""
+    """doc_id, n_shingles, component_id (the smallest id of the row's component) of every row."""
     found = near_duplicates(Blocks(docs, id_col, text_col), words, similarity)
-    return found.select(id_back("doc_id"), "n_shingles", F.nullif(F.col("component"), F.lit(NO_ID)).alias("component_id"))
+    return found.select(id_back("doc_id"), "n_shingles", F.nullif(F.coalesce("first.id", "id"), F.lit(NO_ID)).alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: str = "0.8") -> DataFrame:
-    """The rows of ``docs`` that stay: of each component those with its smallest id."""
+    """The rows of ``docs`` that stay: of each component one with its smallest id."""
     blocks = Blocks(docs, id_col, text_col, whole=True)
-    gone = near_duplicates(blocks, words, similarity).where("id != component").select("id").distinct()
-    gone = gone.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks.count)).cast("int"))
+    found = near_duplicates(blocks, words, similarity).where("first is not null")
+    found = found.withColumn("stays", F.col("first") == F.struct("id", "mark", "block"))
+    found = found.groupBy("block", "id", "mark", "stays").agg(F.count("*").alias("rows")).where("not stays or rows > 1")
     read, docs_schema = blocks.reader(), to_arrow_schema(docs.schema)
 
     def keep(left: pa.Table, right: pa.Table) -> pa.Table:
-        bad = right["id"].to_numpy()
+        judged = {(i, m): stays for i, m, stays in zip(*(right[c].to_pylist() for c in ("id", "mark", "stays")))}
+        judged_marks = right["mark"].to_numpy()
         parts = []
-        for ids, _, content in read(left["payload"]):
-            rows = content.filter(pa.array(~np.isin(ids, bad)))
-            parts.append(pa.RecordBatch.from_struct_array(rows))
+        for ids, marks, _, content in read(left["payload"]):
+            stay = np.ones(len(ids), bool)
+            for i in np.flatnonzero(np.isin(marks, judged_marks)):
+                row = int(ids[i]), int(marks[i])
+                if row in judged:
+                    stay[i], judged[row] = judged[row], False  # of equal rows the first at most
+            parts.append(pa.RecordBatch.from_struct_array(content.filter(pa.array(stay))))
         return pa.Table.from_batches(parts) if parts else docs_schema.empty_table()
 
-    return blocks.rows.groupBy("block").cogroup(gone.groupBy("block")).applyInArrow(keep, docs.schema)
+    return blocks.rows.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(keep, docs.schema)
