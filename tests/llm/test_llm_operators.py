@@ -247,6 +247,17 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.decontaminate(empty, bench).count() == 0
 
 
+def test_decontamination_judges_each_row_by_its_text(spark):
+    leak = " ".join(f"q{i}" for i in range(20))
+    bench = spark.createDataFrame([(1, leak), (2, "other item " * 9)], "item_id bigint, text string")
+    rows = [(None, "say " + leak), (None, "clean one"), (None, "clean two"), (None, None), (4, leak + " end"), (4, "clean too"), (4, "clean too"), (5, leak)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = sorted((r for r in rows if leak not in (r[1] or "")), key=str)
+    for size in (1_000_000, 10):
+        got = [tuple(r) for r in decontaminate.decontaminate(docs, bench, part_shingles=size).collect()]
+        assert sorted(got, key=str) == want
+
+
 @pytest.mark.parametrize("fingerprint", [exact_dedup.content_hash, lambda t: F.substring(t, 1, 1).cast("binary")])
 @pytest.mark.parametrize("keep", ["smallest", "largest"])
 def test_exact_groups(docs, keep, fingerprint):

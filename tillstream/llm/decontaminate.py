@@ -18,16 +18,16 @@ itself, repeated documents likewise. An empty table on either side gives no matc
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillstream.llm import words as tw
-from tillstream.llm.frames import id_back, id_column
+from tillstream.llm.frames import NO_ID, id_back, id_column
 from tillstream.session import materialise
 
 #: Shingles of test items held by a task at once, 16 bytes each.
@@ -119,13 +119,16 @@ def contaminated(
     words: int = 5,
     containment: str = "0.8",
     part_shingles: int = PART_SHINGLES,
+    also: Sequence[Column] = (),
 ) -> DataFrame:
-    """id, item_id, n_item_shingles, n_shared: every document and the items it holds."""
+    """id, item_id, n_item_shingles, n_shared, and the document's columns ``also``: every document and the items it holds."""
     least = Fraction(containment)
     sets = materialise(item_sets(items, words, item_id_col, item_text_col), "items")
     total = sets.agg(F.sum("n")).first()[0] or 0
     passes = 1 + total // part_shingles
-    rows = docs.select(id_column(id_col), F.col(text_col).alias("text"))
+    rows = docs.select(id_column(id_col), F.col(text_col).alias("text"), *also)
+    carried = rows.schema.fields[2:]
+    ddl = ", ".join(["id bigint, item_id bigint, n_item_shingles bigint, n_shared bigint", *(f"{f.name} {f.dataType.simpleString()}" for f in carried)])
     found = None
     for part in range(passes):
         mine = sets.where(F.pmod(F.xxhash64("item_id", "shingles"), F.lit(passes)) == part)
@@ -140,10 +143,11 @@ def contaminated(
                     pa.array([index.value.ids[i] for i in item], pa.int64()),
                     pa.array([len(index.value.sets[i]) for i in item], pa.int64()),
                     pa.array(shared, pa.int64()),
+                    *(batch[f.name].take(pa.array(at, pa.int64())) for f in carried),
                 ]
-                yield pa.RecordBatch.from_arrays(arrays, names=["id", "item_id", "n_item_shingles", "n_shared"])
+                yield pa.RecordBatch.from_arrays(arrays, names=["id", "item_id", "n_item_shingles", "n_shared", *(f.name for f in carried)])
 
-        one = rows.mapInArrow(emit, "id bigint, item_id bigint, n_item_shingles bigint, n_shared bigint")
+        one = rows.mapInArrow(emit, ddl)
         found = one if found is None else found.unionByName(one)
     return found
 
@@ -155,8 +159,12 @@ def contamination_report(docs: DataFrame, items: DataFrame, **options) -> DataFr
     return found.select(id_back("doc_id"), "item_id", "n_item_shingles", "n_shared", share).distinct()
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` that hold no item. Rows that repeat an id go or stay together."""
-    bad = contaminated(docs, items, id_col=id_col, **options).select(F.col("id").alias("_bad")).distinct()
-    bad = materialise(bad, "contaminated")
-    return docs.join(bad, F.coalesce(docs[id_col].cast("bigint"), F.lit(2**63 - 1)) == bad["_bad"], "anti")
+def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that hold no item, each judged by its own text: the key is the id and a 128-bit hash of the text."""
+    marks = {f"_mark{seed}": F.xxhash64(F.lit(seed), docs[text_col]) for seed in (1, 2)}
+    bad = contaminated(docs, items, id_col=id_col, text_col=text_col, also=[c.alias(n) for n, c in marks.items()], **options)
+    bad = materialise(bad.select(F.col("id").alias("_bad"), *marks).distinct(), "contaminated")
+    same_row = F.coalesce(docs[id_col].cast("bigint"), F.lit(NO_ID)) == bad["_bad"]
+    for name, mark in marks.items():
+        same_row = same_row & (mark == bad[name])
+    return docs.join(bad, same_row, "anti")
