@@ -105,7 +105,42 @@ SELECT conv_id, count(*) AS n_turns,
 FROM rows GROUP BY conv_id
 """
 
+#: All arithmetic in whole numbers of any size needed.
+AUDIT = f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(coalesce(text, ''), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w
+  FROM documents),
+words AS (SELECT row, lang, source, unnest(w) AS word FROM docs),
+found AS (SELECT row, lang, source, {lower("word")} AS term FROM words),
+counts AS (SELECT lang, source, term, count(*) AS n FROM found GROUP BY ALL),
+kept AS (SELECT lang, term, count(*) AS lang_n FROM found GROUP BY lang, term HAVING count(DISTINCT row) >= 3),
+sources AS (SELECT DISTINCT lang, source FROM docs),
+langs AS (SELECT lang, count(*) AS v, sum(lang_n) AS total FROM kept GROUP BY lang),
+given AS (
+  SELECT s.lang, s.source, k.term, k.lang_n, coalesce(c.n, 0) AS n
+  FROM sources s JOIN kept k ON s.lang = k.lang LEFT JOIN counts c ON s.lang = c.lang AND s.source = c.source AND k.term = c.term),
+totals AS (SELECT lang, source, sum(n) AS total FROM given GROUP BY ALL),
+shares AS (
+  SELECT g.lang, g.source, g.term, g.n,
+    1 + (1000000000::HUGEINT * (g.n + 1)) // (t.total + l.v) AS p,
+    1 + (1000000000::HUGEINT * (g.lang_n + 1)) // (l.total + l.v) AS q
+  FROM given g JOIN totals t ON g.lang = t.lang AND g.source = t.source JOIN langs l ON g.lang = l.lang),
+sums AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+parts AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0)::BIGINT AS value
+  FROM sources a JOIN sources b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (((p - q) * (p - q)) // q)::BIGINT FROM shares WHERE n > 0 AND p > q)
+SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank
+FROM parts QUALIFY part = 'pair' OR rank <= 200
+"""
+
 ORACLES = {
+    "op12_source_audit": AUDIT,
     "op6_chat_trees": CHATS,
     "op1_mix_sources": MIX,
     "op3_line_dedup": LINES,

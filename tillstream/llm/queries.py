@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillstream.llm import chat_format, decontaminate, exact_dedup, jaccard_join, language_id, line_dedup, mixing, quality, sharding, substring_dedup
+from tillstream.llm import (
+    chat_format,
+    decontaminate,
+    exact_dedup,
+    jaccard_join,
+    language_id,
+    line_dedup,
+    mixing,
+    quality,
+    sharding,
+    source_audit,
+    substring_dedup,
+    toxicity,
+    whitening,
+)
 from tillstream.session import apply_settings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +86,18 @@ def op10_quality(table):
 @query
 def op6_chat_trees(table):
     return chat_format.chat_report(table("conversations"))
+
+
+@query
+def op11_toxicity(table):
+    return toxicity.toxicity_report(table("documents"), table("labels"))
+
+
+@query
+def op12_source_audit(table):
+    return source_audit.audit_report(table("documents"))
+
+
+@query
+def op13_whitening(table):
+    return whitening.whitening_report(table("embeddings"))
