@@ -45,25 +45,25 @@ def kept_back(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))
 
 
-def _distinct(points: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """Row << BITS | feature of every n-gram, each once, ascending."""
-    rows = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
-    end, wide, keys = begin[1:][rows], points.astype(np.uint64), []
+def _grams(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each length: the feature at every place, and the places from and to which each text's go."""
+    points, begin = characters(data, offsets)
+    wide, found = points.astype(np.uint64), []
     for n in GRAMS:
-        at = np.flatnonzero(np.arange(len(wide)) + n <= end)
-        h = np.full(len(at), n, np.uint64)
+        size = max(0, len(wide) - n + 1)
+        h = np.full(size, n, np.uint64)
         with np.errstate(over="ignore"):
             for i in range(n):
-                h = (h ^ wide[at + i]) * np.uint64(0x9E3779B97F4A7C15)
+                h = (h ^ wide[i : i + size]) * np.uint64(0x9E3779B97F4A7C15)
                 h ^= h >> np.uint64(32)
-        keys.append((rows[at] << BITS) | (tw.mixed(h, n) >> np.uint64(64 - BITS)).astype(np.int64))
-    return np.unique(np.concatenate(keys))
+        start = np.minimum(begin[:-1], size)
+        found.append(((tw.mixed(h, n) >> np.uint64(64 - BITS)).astype(np.int32), start, np.maximum(start, np.minimum(begin[1:] - n + 1, size))))
+    return found
 
 
 def _windows(data: np.ndarray) -> Iterator[np.ndarray]:
-    """Pieces of one long text, each as long as a run, that share the n-grams between them."""
-    starts = np.arange(0, len(data), tw.RUN_BYTES)
-    for lo in starts:
+    """One long text in pieces as long as a run, each with the first n-grams of the next."""
+    for lo in range(0, len(data), tw.RUN_BYTES):
         hi = min(len(data), lo + tw.RUN_BYTES + 4 * (max(GRAMS) + 1))
         while lo < hi and data[lo] & 0xC0 == 0x80:
             lo += 1
@@ -72,18 +72,25 @@ def _windows(data: np.ndarray) -> Iterator[np.ndarray]:
         yield data[lo:hi]
 
 
-def presence(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(number of rows, row within them, feature) for runs of rows: which features each text has."""
+def presence(column: pa.Array) -> Iterator[np.ndarray]:
+    """Of every row the features it has, ascending."""
+    seen = np.zeros(1 << BITS, bool)
     for lo, hi, data, offsets in tw.text_runs(column):
         if len(data) > tw.RUN_BYTES:  # one text
-            seen = np.zeros(1 << BITS, bool)
             for piece in _windows(data):
-                seen[_distinct(*characters(piece, np.array([0, len(piece)])))] = True
-            features = np.flatnonzero(seen)
-            yield 1, np.zeros(len(features), np.int64), features
-        else:
-            keys = _distinct(*characters(data, offsets))
-            yield hi - lo, keys >> BITS, keys & ((1 << BITS) - 1)
+                for feature, _, end in _grams(piece, np.array([0, len(piece)])):
+                    seen[feature[: end[0]]] = True
+            found = np.flatnonzero(seen)
+            seen[found] = False
+            yield found
+            continue
+        grams = _grams(data, offsets)
+        for row in range(hi - lo):
+            for feature, start, end in grams:
+                seen[feature[start[row] : end[row]]] = True
+            found = np.flatnonzero(seen)
+            seen[found] = False
+            yield found
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
@@ -101,11 +108,10 @@ def label_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, rows_of = np.zeros((2, 1 << BITS), np.int64), np.zeros(2, np.int64)
         for batch in batches:
-            label, lo = batch["label"].to_numpy(), 0
+            label = batch["label"].to_numpy()
             rows_of += np.bincount(label, minlength=2)
-            for size, row, feature in presence(batch["text"]):
-                counts += np.bincount((label[lo + row].astype(np.int64) << BITS) | feature, minlength=2 << BITS).reshape(2, -1)
-                lo += size
+            for of, features in zip(label, presence(batch["text"])):
+                counts[of][features] += 1
         some = np.flatnonzero(counts.any(0))
         arrays = [np.append(some, -1), *(np.append(counts[c, some], rows_of[c]) for c in (0, 1))]
         yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=["feature", "n0", "n1"])
@@ -208,12 +214,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bags = []
-            for size, row, feature in presence(batch["text"]):
-                some = used.value[feature]
-                row, feature = row[some], feature[some].astype(np.int32)
-                at = np.searchsorted(row, np.arange(size + 1))
-                bags += [feature[a:b].tobytes() for a, b in zip(at, at[1:])]
+            bags = [features[used.value[features]].astype(np.int32).tobytes() for features in presence(batch["text"])]
             yield pa.RecordBatch.from_arrays([batch["label"], batch["order"], batch["row"], pa.array(bags, pa.binary())], names=["label", "order", "row", "features"])
 
     encoded = materialise(picked.select("label", "order", "row", "text").mapInArrow(encode, "label int, order bigint, row bigint, features binary"), "encoded")
@@ -232,15 +233,13 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float] | float, id_col: str
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            found = [np.empty(0)]
             if isinstance(model, float):
-                found.append(np.full(batch.num_rows, model))
+                found = np.full(batch.num_rows, model)
             else:
                 weights, level = model
-                for size, row, feature in presence(batch["text"]):
-                    logit = np.bincount(row, weights[feature], size) + level
-                    found.append(1 / (1 + np.exp(-np.clip(logit, -500, 500))))
-            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(np.concatenate(found))], names=["id", "score"])
+                logit = np.array([weights[features].sum(dtype=np.float64) for features in presence(batch["text"])], float) + level
+                found = 1 / (1 + np.exp(-np.clip(logit, -500, 500)))
+            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(found)], names=["id", "score"])
 
     rows = docs.select(id_column(id_col), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(emit, "id bigint, score double")
