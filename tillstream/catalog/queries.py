@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from tillstream.functions import epoch_millis, first_names, iso_timestamp, last_name
 from tillstream.operators import cart, cleaning, finders, keys, lookup, metrics, orders, payments, quality, sessions
 from tillstream.plans import pipeline, report
-from tillstream.session import apply_settings, scratch_path
+from tillstream.session import apply_settings, materialise, scratch_path
 from tillstream.sources import readers, sinks
 from tillstream.sources import testtables as tt
 from tillstream.streaming import activity, ingest
@@ -56,6 +56,11 @@ def _prepared(spark, d) -> DataFrame:
     return cleaning.prepared_events(tt.cart_events(spark, d))
 
 
+def _written(spark, d) -> DataFrame:
+    """The prepared events as a table, for operators that go over them more than once."""
+    return materialise(_prepared(spark, d), "prepared")
+
+
 def _sessions(spark, d) -> DataFrame:
     return sessions.session_metrics(_prepared(spark, d))
 
@@ -117,7 +122,7 @@ def run_statistics(spark, d):
 
 @query
 def event_sequence(spark, d):
-    return sessions.event_sequence(_prepared(spark, d))
+    return sessions.event_sequence(_written(spark, d))
 
 
 @query
@@ -140,12 +145,12 @@ ENRICHED = [
 
 @query
 def enriched_events(spark, d):
-    return sessions.enrich_events(_prepared(spark, d)).select(*ENRICHED)
+    return sessions.enrich_events(_written(spark, d)).select(*ENRICHED)
 
 
 @query
 def journey_parts(spark, d):
-    return sessions.journey_parts(_prepared(spark, d))
+    return sessions.journey_parts(_written(spark, d))
 
 
 @query
@@ -213,7 +218,7 @@ def device_distribution(spark, d):
 
 @query
 def journey_patterns(spark, d):
-    return sessions.journey_patterns(_prepared(spark, d))
+    return sessions.journey_patterns(_written(spark, d))
 
 
 @query

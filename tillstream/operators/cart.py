@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tillstream.functions import epoch_seconds, seconds_between, truncated
+from tillstream.operators.ranges import numbered_in_order
 from tillstream.operators.ranking import top_k
 
 SEGMENT_SECONDS = 3600
@@ -164,7 +164,11 @@ def _state_after(pieces: Column, ord_type: str) -> Column:
 def cart_items(
     events: DataFrame, piece_events: int = PIECE_EVENTS, segment_seconds: int = SEGMENT_SECONDS
 ) -> DataFrame:
-    """What each session's cart holds after all its events: one row per product left."""
+    """What each session's cart holds after all its events: one row per product left.
+
+    The moves of one product in one segment are cut into pieces in their order, over many
+    tasks where they are many; the pieces' summaries are then applied in that order.
+    """
     ord_type = events.schema["ingest_ord"].dataType.simpleString()
     kind = F.col("event_type")
     moves = events.filter(
@@ -183,10 +187,10 @@ def cart_items(
         F.col("product_name").alias("name"),
     )
     split = ["session_id", "product_id", "segment"]
-    number = F.row_number().over(W.partitionBy(*split).orderBy("event_time", "ingest_ord"))
     step = F.struct("event_time", "ingest_ord", "kind", "qty", "price", "name")
     pieces = (
-        moves.withColumn("piece", F.floor((number - 1) / piece_events))
+        numbered_in_order(moves, split, ["event_time", "ingest_ord"], "_local")
+        .withColumn("piece", F.floor((F.col("_local") - 1) / piece_events))
         .groupBy(*split, "piece")
         .agg(F.sort_array(F.collect_list(step)).alias("steps"))
         .select("session_id", "product_id", "segment", "piece", _summary(F.col("steps"), ord_type).alias("branches"))

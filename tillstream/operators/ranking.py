@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tillstream.operators.ranges import numbered_in_order
+
 
 def first_per_key(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """The first row of each key in ``order``.
@@ -24,11 +26,12 @@ def numbered_in_segments(
     """Dense 1-based number of each row within ``keys``, in ``segment`` then ``order``.
 
     A key's rows are ranked inside short segments; the segments' row counts, one
-    small row each, give the offset to add. No task ever sorts a whole key.
+    small row each, give the offset to add. A segment with very many rows is dealt
+    into ranges, so no task ever sorts a whole key.
     """
     split = [*keys, "_segment"]
     rows = df.withColumn("_segment", segment)
-    local = rows.withColumn("_local", F.row_number().over(W.partitionBy(*split).orderBy(*order)))
+    local = numbered_in_order(rows, split, order, "_local")
     before = W.partitionBy(*keys).orderBy("_segment").rowsBetween(W.unboundedPreceding, -1)
     offsets = (
         rows.groupBy(*split)

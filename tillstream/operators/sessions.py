@@ -3,7 +3,7 @@
 A session may hold a large part of all events, so nothing here groups or sorts a
 whole session's events in one task. Events are split by (session, time segment)
 and, inside a segment, into pieces of bounded length; each piece is reduced to
-one row. Only those rows meet per session. The journey column is always the whole
+one row. A segment with very many events is numbered over many tasks (``ranges``). Only those rows meet per session. The journey column is always the whole
 text: one value for each session, as long as the session; ``journey_parts`` has the
 same in ordered parts of bounded size.
 """
@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tillstream.functions import epoch_seconds, seconds_between
+from tillstream.operators.ranges import numbered_in_order
 from tillstream.operators.ranking import numbered_in_segments
 
 SEGMENT_SECONDS = 3600
@@ -28,8 +29,9 @@ def _segment() -> Column:
     return F.floor(epoch_seconds(F.col("timestamp")) / SEGMENT_SECONDS)
 
 
-def _local_number() -> Column:
-    return F.row_number().over(W.partitionBy("session_id", "segment").orderBy(*_ORDER))
+def _in_segments(events: DataFrame) -> DataFrame:
+    """``events`` with their segment and the number of each within it."""
+    return numbered_in_order(events.withColumn("segment", _segment()), ["session_id", "segment"], _ORDER, "_local")
 
 
 def _order_only(events: DataFrame) -> DataFrame:
@@ -37,7 +39,8 @@ def _order_only(events: DataFrame) -> DataFrame:
 
 
 def session_pieces(events: DataFrame, piece_events: int = PIECE_EVENTS) -> DataFrame:
-    """One row per (session, segment, piece), all from a single exchange of the events.
+    """One row per (session, segment, piece), all from a single exchange of the events
+    (segments of more than ``ranges.HOT_ROWS`` events take one more).
 
     Everything about sessions follows from these rows. A job that needs several of the
     session tables writes them once and hands them to the functions below.
@@ -49,9 +52,8 @@ def session_pieces(events: DataFrame, piece_events: int = PIECE_EVENTS) -> DataF
     firsts = [c for c in ("customer_id", "source", "device") if c in events.columns]
     steps = F.sort_array(F.collect_list(F.struct(*_ORDER, "event_type")))
     pieces = (
-        events.select("session_id", *_ORDER, "event_type", *firsts)
-        .withColumn("segment", _segment())
-        .withColumn("piece", F.floor((_local_number() - 1) / piece_events))
+        _in_segments(events.select("session_id", *_ORDER, "event_type", *firsts))
+        .withColumn("piece", F.floor((F.col("_local") - 1) / piece_events))
         .groupBy(*_PIECE)
         .agg(
             F.count(F.lit(1)).alias("n"),
@@ -109,31 +111,38 @@ def session_metrics(events: DataFrame | None, pieces: DataFrame | None = None) -
     )
 
 
-def _spans(pieces: DataFrame) -> DataFrame:
+def _spans(pieces: DataFrame, journey: bool) -> DataFrame:
     """Per (session, segment): number of earlier events, with the session's own columns."""
     places = pieces.select(*_PIECE, "n").withColumn("earlier", _earlier()).filter("piece = 0").drop("piece", "n")
     whole = pieces.groupBy("session_id").agg(
         F.min("first_time").alias("session_start"),
         F.max("last_time").alias("session_end"),
         F.sum("n").alias("total_events"),
-        _collected_types("segment", "piece").alias("parts"),
+        *([_collected_types("segment", "piece").alias("parts")] if journey else []),
     )
     whole = whole.select(
-        "session_id", "session_start", "session_end", "total_events", _duration(), _journey("parts").alias("event_journey")
+        "session_id",
+        "session_start",
+        "session_end",
+        "total_events",
+        _duration(),
+        *([_journey("parts").alias("event_journey")] if journey else []),
     )
     return places.join(whole, "session_id")
 
 
-def enrich_events(events: DataFrame, pieces: DataFrame | None = None) -> DataFrame:
+def enrich_events(events: DataFrame, pieces: DataFrame | None = None, journey: bool = True) -> DataFrame:
     """Every event with its number in the session and the session's columns.
 
     The wide rows are exchanged once, on (session, segment); the span rows join
     on the same keys, so a session with a third of the events stays spread out.
+    With ``journey`` every row has its session's whole journey, so a session's rows
+    grow with the square of its length; without, the session table alone has it.
     """
-    numbered = events.withColumn("segment", _segment()).withColumn("_local", _local_number())
+    numbered = _in_segments(events)
     pieces = session_pieces(_order_only(events)) if pieces is None else pieces
     return (
-        numbered.join(_spans(pieces), ["session_id", "segment"])
+        numbered.join(_spans(pieces, journey), ["session_id", "segment"])
         .withColumn("event_sequence_num", F.col("earlier") + F.col("_local"))
         .drop("segment", "_local", "earlier")
     )
