@@ -23,6 +23,7 @@ terms has the smallest share of every kept term. An empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,8 @@ SCALE = 1_000_000_000
 TOP = 200
 #: Sources whose pairs are summed together.
 BLOCK = 256
+#: (text, term) pairs of a task put together before they are sent on.
+HELD = 4_000_000
 #: Rows of (language, source, term) in a slice of the vocabulary.
 SLICE_ROWS = 100_000
 #: Partitions whose skybands are merged at a time.
@@ -73,47 +76,56 @@ def _pieces(data: np.ndarray) -> Iterator[np.ndarray]:
         lo = hi
 
 
-def _terms(column: pa.Array) -> Iterator[pa.Table]:
-    """row, term, n of a column of texts, each row's terms once."""
+def _terms(column: pa.Array) -> Iterator[tuple[np.ndarray, pa.Array, np.ndarray]]:
+    """(row, term, occurrences) of a column of texts, each row's terms once."""
     for lo, _, data, offsets in tw.text_runs(column):
-        parts = _pieces(data) if len(data) > tw.RUN_BYTES else [data]
-        tables = []
-        for part in parts:
-            row, term, n = _row_terms(part, offsets if len(part) == len(data) else np.array([0, len(part)]))
-            tables.append(pa.table({"row": pa.array(row + lo), "term": term, "n": pa.array(n)}))
-        if len(tables) > 1:
-            yield pa.concat_tables(tables).group_by(["row", "term"]).aggregate([("n", "sum")]).rename_columns(["row", "term", "n"])
-        else:
-            yield from tables
+        if len(data) <= tw.RUN_BYTES:
+            row, term, n = _row_terms(data, offsets)
+            yield row + lo, term, n
+        else:  # one text
+            parts = [_row_terms(part, np.array([0, len(part)])) for part in _pieces(data)]
+            _, term, n, _ = _summed(np.concatenate([p[0] for p in parts]), [p[1] for p in parts], np.concatenate([p[2] for p in parts]))
+            yield np.full(len(n), lo), term, n
+
+
+def _summed(of: np.ndarray, terms: list[pa.Array], n: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+    """(of, term, sum of n, rows) for each pair of ``of`` and term."""
+    coded = pa.chunked_array(terms, pa.large_string()).combine_chunks().dictionary_encode()
+    width = max(1, len(coded.dictionary))
+    keys = of * width + coded.indices.to_numpy(zero_copy_only=False)
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
+    sums = np.add.reduceat(n[order], first) if len(keys) else n
+    keys = keys[first]
+    return keys // width, coded.dictionary.take(pa.array(keys % width)), sums, np.diff(np.append(first, len(order)))
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
-    """lang, source, term, n (occurrences), docs (rows that have it), counted before they are exchanged."""
+    """lang, source, term, n (occurrences), docs (rows that have it), counted before they are exchanged.
+
+    Dealt by language and term alone, so what follows can count a term over its language's sources.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lang, source = batch["lang"].dictionary_encode(), batch["source"].dictionary_encode()
             width = max(1, len(source.dictionary))
             group = lang.indices.to_numpy(zero_copy_only=False).astype(np.int64) * width + source.indices.to_numpy(zero_copy_only=False)
-            tables = [
-                pa.table({"group": pa.array(group[t["row"].to_numpy()]), "term": t["term"], "n": t["n"]}).group_by(["group", "term"]).aggregate([("n", "sum"), ("n", "count")])
-                for t in _terms(batch["text"])
-            ]
-            if tables:
-                found = pa.concat_tables(tables).group_by(["group", "term"]).aggregate([("n_sum", "sum"), ("n_count", "sum")])
-                of = found["group"].to_numpy()
-                yield from pa.table(
-                    {
-                        "lang": lang.dictionary.take(pa.array(of // width)),
-                        "source": source.dictionary.take(pa.array(of % width)),
-                        "term": found["term"].cast(pa.string()),
-                        "n": found["n_sum_sum"].cast(pa.int64()),
-                        "docs": found["n_count_sum"].cast(pa.int64()),
-                    }
-                ).to_batches()
+            held, size = [], 0
+            for found in chain(_terms(batch["text"]), [None]):
+                if found:
+                    held.append(found)
+                    size += len(found[0])
+                if held and (found is None or size > HELD):
+                    rows, terms, n = zip(*held)
+                    of, term, sums, docs = _summed(group[np.concatenate(rows)], list(terms), np.concatenate(n))
+                    held, size = [], 0
+                    arrays = [lang.dictionary.take(pa.array(of // width)), source.dictionary.take(pa.array(of % width)), term.cast(pa.string()), pa.array(sums), pa.array(docs)]
+                    yield pa.RecordBatch.from_arrays(arrays, names=["lang", "source", "term", "n", "docs"])
 
     found = docs.mapInArrow(count, "lang string, source string, term string, n bigint, docs bigint")
-    return found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    return found.repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def share(count: np.ndarray, total: np.ndarray) -> np.ndarray:
@@ -141,8 +153,9 @@ def skyband(n: np.ndarray, lang_n: np.ndarray, term: pa.Array, k: int, block: in
     Of a term's dominators, those kept are enough to count: the first ``k`` of them in the order used
     here have fewer than ``k`` dominators themselves.
     """
-    spelling = np.empty(len(n), np.int64)
+    spelling = np.empty(len(n), np.int32)
     spelling[pc.sort_indices(term).to_numpy()] = np.arange(len(n))
+    lang_n = np.unique(lang_n, return_inverse=True)[1].astype(np.int32)  # only their order matters
     order = np.lexsort((spelling, lang_n, -n))
     # Of terms with equal counts only the k first spellings can stay.
     new = np.ones(len(order), bool)
@@ -153,9 +166,10 @@ def skyband(n: np.ndarray, lang_n: np.ndarray, term: pa.Array, k: int, block: in
     for lo in range(0, len(order), block):
         some = order[lo : lo + block]
         dominators = np.zeros(len(some), np.int64)
-        for at in range(0, len(kept), 8192):
-            old = kept[at : at + 8192]
-            dominators += ((lang_n[old] <= lang_n[some][:, None]) & (spelling[old] < spelling[some][:, None])).sum(1)
+        able = kept[(lang_n[kept] <= lang_n[some].max()) & (spelling[kept] < spelling[some].max())]
+        for at in range(0, len(able), 4096):
+            old = able[at : at + 4096]
+            dominators += np.count_nonzero((lang_n[old] <= lang_n[some][:, None]) & (spelling[old] < spelling[some][:, None]), 1)
         some, dominators = some[dominators < k], dominators[dominators < k]
         earlier = np.arange(len(some)) < np.arange(len(some))[:, None]
         dominators = dominators + (earlier & (lang_n[some] <= lang_n[some][:, None]) & (spelling[some] < spelling[some][:, None])).sum(1)
@@ -166,8 +180,9 @@ def skyband(n: np.ndarray, lang_n: np.ndarray, term: pa.Array, k: int, block: in
 class Audit:
     """The counts both questions share, each written once in the shared folder.
 
-    ``kept``: lang, source, term, n, lang_n of the kept terms; ``groups``: lang, source, total (of the
-    group's counts), kept_terms, lang_total.
+    ``kept``: lang, source, term, n, lang_n of the kept terms, and first, once for each term of a
+    language; ``groups``: lang, source, total (of the group's counts), own_terms (that it has),
+    kept_terms and lang_total (of the language).
     """
 
     def __init__(self, docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least_docs: int = LEAST_DOCS):
@@ -175,16 +190,17 @@ class Audit:
             return F.coalesce(F.col(name).cast("string"), F.lit("")).alias(alias)
 
         rows = docs.select(known(lang_col, "lang"), known(source_col, "source"), known(text_col, "text"))
-        counts = materialise(term_counts(rows), "terms")
-        per_lang = counts.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("lang_docs"))
-        per_lang = per_lang.where(F.col("lang_docs") >= least_docs).drop("lang_docs")
-        self.kept = materialise(counts.drop("docs").join(per_lang, ["lang", "term"]), "kept")
-        totals = self.kept.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-        langs = self.kept.groupBy("lang", "term").agg(F.first("lang_n").alias("lang_n")).groupBy("lang")
-        langs = langs.agg(F.count("*").alias("kept_terms"), F.sum("lang_n").alias("lang_total"))
+        term = W.partitionBy("lang", "term")  # as they are dealt; a row for each source
+        counts = term_counts(rows).withColumns({"lang_n": F.sum("n").over(term), "lang_docs": F.sum("docs").over(term)})
+        first = F.row_number().over(term.orderBy("source")) == 1
+        kept = counts.withColumn("first", first).where(F.col("lang_docs") >= least_docs)
+        self.kept = materialise(kept.select("lang", "source", "term", "n", "lang_n", "first"), "kept")
+        totals = self.kept.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count("*").alias("own_terms"))
+        langs = self.kept.where("first").groupBy("lang").agg(F.count("*").alias("kept_terms"), F.sum("lang_n").alias("lang_total"))
         groups = rows.select("lang", "source").distinct().join(totals, ["lang", "source"], "left").join(langs, "lang", "left")
-        self.groups = materialise(groups.na.fill(0, ["total", "kept_terms", "lang_total"]), "groups")
-        self.slices = 1 + self.kept.count() // SLICE_ROWS
+        self.groups = materialise(groups.na.fill(0, ["total", "own_terms", "kept_terms", "lang_total"]), "groups")
+        sizes = self.groups.agg(F.sum("own_terms").alias("all"), F.max("own_terms").alias("most")).first()
+        self.slices, self.most_slices = (1 + (size or 0) // SLICE_ROWS for size in sizes)
 
     def pair_divergence(self, block: int = BLOCK) -> DataFrame:
         """lang, source, item (another source of the language), value: the sum over all kept terms."""
@@ -246,8 +262,10 @@ class Audit:
         def keep(table: pa.Table) -> pa.Table:
             return table.take(pa.array(skyband(table["n"].to_numpy(), table["lang_n"].to_numpy(), table["term"].combine_chunks(), k)))
 
-        rows = self.kept.select("lang", "source", F.pmod(F.xxhash64("term"), F.lit(self.slices)).alias("slice"), "term", "n", "lang_n")
-        schema, left = rows.schema, self.slices
+        sizes = self.groups.select("lang", "source", F.expr(f"1 + own_terms div {SLICE_ROWS}").alias("slices"))
+        slice_ = F.pmod(F.xxhash64("term"), "slices").alias("slice")
+        rows = self.kept.join(sizes, ["lang", "source"]).select("lang", "source", slice_, "term", "n", "lang_n")
+        schema, left = "lang string, source string, slice bigint, term string, n bigint, lang_n bigint", self.most_slices
         rows = rows.groupBy("lang", "source", "slice").applyInArrow(keep, schema)
         while left > 1:
             rows = rows.withColumn("slice", (F.col("slice") / FAN).cast("bigint"))
