@@ -36,6 +36,8 @@ GRAMS = (3, 4, 5)
 PER_LABEL = 2_000
 FIT_FEATURES = 6_000_000
 THRESHOLD = 0.5
+#: Logarithm of the number of bits that tell likely labelled rows before they are exchanged.
+ID_BITS = 24
 #: Labelled rows a feature must be found in to be used.
 LEAST_ROWS = 3
 
@@ -93,12 +95,25 @@ def presence(column: pa.Array) -> Iterator[np.ndarray]:
             yield found
 
 
+def _likely(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose id has its bit set among those of ``ids``, so that few others are exchanged.
+
+    The bits, 64 to a word, are broadcast: ``ID_BITS`` of them, however many ids there are.
+    """
+    place = f"pmod(xxhash64(id), {1 << ID_BITS}L)"
+    word, bit = F.expr(f"{place} div 64"), F.expr(f"shiftleft(1L, cast({place} % 64 as int))")
+    words = ids.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    marked = rows.withColumns({"_word": word, "_bit": bit})
+    return marked.join(F.broadcast(words), F.col("_word") == F.col("word")).where(F.col("bits").bitwiseAND(F.col("_bit")) != 0).select(*rows.columns)
+
+
 def labelled_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
     """label, order (random, the same in every run), row, text of the labelled rows, written once."""
     marked = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1))
     marked = marked.groupBy(F.col(id_col).cast("bigint").alias("id")).agg(F.min(label_col).cast("int").alias("label"), F.max(label_col).cast("int").alias("most"))
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    found = rows.join(marked.where("label = most"), "id")
+    marked = materialise(marked.where("label = most").drop("most"), "marked")
+    found = _likely(rows, marked).join(marked.hint("merge"), "id")
     return materialise(found.select("label", F.xxhash64("id", "text").alias("order"), F.monotonically_increasing_id().alias("row"), "text"), "labelled")
 
 
