@@ -9,7 +9,7 @@ from tillstream import schemas
 from tillstream.operators import cleaning, keys, sessions
 from tillstream.plans import pipeline, registry, report
 from tillstream.sources import readers, sinks
-from tillstream.streaming import activity, ingest
+from tillstream.streaming import ingest
 
 EVENT = {
     "event_id": "evt_1",
@@ -190,23 +190,6 @@ def test_as_of_batch_columns_grow(spark, stream, tmp_path):
     assert min(r.event_sequence_num for r in rows if r.batch_id == max(totals)) == 1
 
 
-def test_inactive_sessions(spark, make_events, tmp_path):
-    folder = str(tmp_path / "in")
-    raw = make_events(
-        {"session_id": "gone", "event_type": "add_to_cart", "timestamp": "2025-01-01T00:00:00", "quantity": "2"},
-        {"session_id": "here", "event_type": "add_to_cart", "timestamp": "2025-01-02T20:00:00"},
-        {"session_id": "late", "event_type": "scroll", "timestamp": "2025-01-03T00:00:00"},
-    )
-    raw.coalesce(1).write.parquet(folder)
-    typed = cleaning.typed_events(readers.stream_parquet(spark, folder))
-    events = typed.withColumn("event_time", F.col("event_time").cast("timestamp"))
-    out = str(tmp_path / "out")
-    closed = activity.activity_windows(events, "24 hours", "1 hour")
-    ingest.run_batches(closed, activity.carts_left_writer(lambda: cleaning.typed_events(raw), out), str(tmp_path / "cp"))
-    rows = spark.read.parquet(out).collect()
-    assert [(r.session_id, r.cart_value_vnd, r.item_count) for r in rows] == [("gone", 20, 1)]
-
-
 def test_unreadable_and_late_rows_are_kept_and_counted(spark, make_events, tmp_path):
     folder, at = str(tmp_path / "in"), lambda name: str(tmp_path / name)
     raw = make_events(
@@ -217,18 +200,18 @@ def test_unreadable_and_late_rows_are_kept_and_counted(spark, make_events, tmp_p
     )
     writer = ingest.exact_writer(at("stored"), at("aside"), at("counters"))
     late = ingest.late_writer(at("late"), at("seen"), "1 day")
-    more = make_events({"event_id": "e0"}, {"event_id": "old", "timestamp": "2025-01-03T23:59:59"}, {"event_id": "new", "timestamp": "2025-01-04T00:00:00"})
+    more = make_events({"event_id": "e0"}, {"event_id": "old", "timestamp": "2025-01-03T23:59:59"}, {"event_id": "edge", "timestamp": "2025-01-04T00:00:00"}, {"event_id": "new", "timestamp": "2025-01-04T00:00:01"})
     for batch in (raw, more):
         batch.coalesce(1).write.mode("append").parquet(folder)
         ingest.run_batches(readers.stream_parquet(spark, folder), writer, at("cp1"))
         cleaned = ingest.clean_stream(readers.stream_parquet(spark, folder))
         ingest.run_batches(cleaned, late, at("cp2"))
     assert sorted(r.event_id for r in spark.read.parquet(at("aside")).collect()) == ["e1", "e2"]
-    assert sorted(r.event_id for r in spark.read.parquet(at("stored")).collect()) == ["e0", "new", "old"]
-    assert sorted(r.event_id for r in spark.read.parquet(at("late")).collect()) == ["e0", "old"]
+    assert sorted(r.event_id for r in spark.read.parquet(at("stored")).collect()) == ["e0", "edge", "new", "old"]
+    assert sorted(r.event_id for r in spark.read.parquet(at("late")).collect()) == ["e0", "edge", "old"]
     counts = ingest.run_counters(spark, at("counters")).first().asDict()
     assert counts == {
-        "processed_events": 7, "invalid_events": 1, "unreadable_events": 2, "stored_events": 3, "duplicate_events": 1,
+        "processed_events": 8, "invalid_events": 1, "unreadable_events": 2, "stored_events": 4, "duplicate_events": 1,
     }
 
 

@@ -330,7 +330,7 @@ delivered AS (SELECT *, {DELIVERY} FROM cart
   SELECT n.delivery, max(b.newest) - INTERVAL 1 DAY AS mark FROM newest n JOIN newest b ON b.delivery < n.delivery GROUP BY n.delivery
 )""",
     """SELECT event_id, ingest_ord, session_id, iso AS timestamp
-FROM delivered JOIN marks USING (delivery) WHERE ts < mark""",
+FROM delivered JOIN marks USING (delivery) WHERE ts <= mark""",
 )
 _sql(
     "journey_parts",
@@ -1042,15 +1042,44 @@ _sql(
     ISLANDS,
     f"SELECT session_id, {_at('first_activity')}, {_at('last_activity')}, events FROM closed",
 )
-_sql(
-    "stream_carts_left",
-    _cart("user"),
-    ISLANDS,
-    """
+#: As ``_arriving``: the file each event comes in, and the newest time of the files but it and the last.
+ARRIVAL = """
+numbered AS (
+  SELECT *, coalesce((extract(day FROM ts) - 1) // 4 + extract(hour FROM ts) % 3, 0) AS file FROM cart
+), newest AS (
+  SELECT file, max(max(ts)) OVER (ORDER BY file ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING) AS known
+  FROM numbered GROUP BY file
+)"""
+
+
+def _left(name: str, delay: str) -> None:
+    """Carts at the end of each session's last closed burst, over the events not behind the delay."""
+    _sql(
+        name,
+        _cart("user"),
+        ARRIVAL,
+        f"""
+in_time AS (
+  SELECT n.* EXCLUDE (file) FROM numbered n JOIN newest w ON n.file = w.file
+  WHERE w.known IS NULL OR n.ts > w.known - INTERVAL {delay}
+)""",
+        ISLANDS.replace("FROM cart\n), bursts", "FROM in_time\n), bursts").replace("INTERVAL 1 HOUR", f"INTERVAL {delay}"),
+        """
 latest AS (SELECT session_id, max(last_activity) AS last_activity FROM closed GROUP BY session_id
-), seen AS (SELECT cart.* FROM cart JOIN latest USING (session_id) WHERE ts <= last_activity)""",
-    _replay("seen"),
-    f"""SELECT session_id, strftime(l.last_activity, '{TIME}') AS last_activity, cart_value_vnd, item_count
+), seen AS (SELECT in_time.* FROM in_time JOIN latest USING (session_id) WHERE ts <= last_activity)""",
+        _replay("seen"),
+        f"""SELECT session_id, strftime(l.last_activity, '{TIME}') AS last_activity, cart_value_vnd, item_count
 FROM latest l JOIN carts USING (session_id)""",
-    recursive=True,
+        recursive=True,
+    )
+
+
+_left("stream_carts_left", "9 DAY")
+_left("stream_carts_left_late", "1 HOUR")
+_sql(
+    "stream_carts_late_rows",
+    _cart("user"),
+    ARRIVAL,
+    f"""SELECT event_id, ingest_ord, session_id, iso AS timestamp
+FROM numbered n JOIN newest w ON n.file = w.file WHERE n.ts <= w.known - INTERVAL 1 HOUR""",
 )

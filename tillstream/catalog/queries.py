@@ -939,6 +939,16 @@ def _delivered(spark, d, receive, by="hour", session_by="day") -> None:
         receive(readers.stream_parquet(spark, arriving, files_per_batch=1_000_000))
 
 
+def _arriving(spark, d, session_by="day") -> DataFrame:
+    """All raw events as a stream of ten files, one a micro-batch: four days each, some hours one or two files late."""
+    folder = scratch_path(spark, "arriving")
+    part = F.coalesce(F.expr("(cast(substring(timestamp, 9, 2) as int) - 1) div 4 + cast(substring(timestamp, 12, 2) as int) % 3"), F.lit(0))
+    raw = materialise(tt.cart_events(spark, d, session_by).withColumn("delivery", part), "staged")
+    for n in range(10):
+        raw.where(F.col("delivery") == n).drop("delivery").coalesce(1).write.mode("append").parquet(folder)
+    return readers.stream_parquet(spark, folder, files_per_batch=1)
+
+
 @query
 def stream_cleaned_events(spark, d):
     out, checkpoint = scratch_path(spark, "stream"), scratch_path(spark, "checkpoint")
@@ -1027,15 +1037,29 @@ def stream_activity_windows(spark, d):
     return readers.read_table(spark, out).drop("batch_id")
 
 
+def _carts_left(spark, d, delay) -> DataFrame:
+    out, checkpoint = scratch_path(spark, "stream"), scratch_path(spark, "checkpoint")
+    events = _zoned(cleaning.typed_events(_arriving(spark, d, "user")))
+    ingest.run_batches(activity.carts_left(events, "24 hours", delay), ingest.latest_writer(out), checkpoint)
+    return activity.carts_left_now(spark, out)
+
+
 @query
 def stream_carts_left(spark, d):
-    """Each delivery is stored first; carts of sessions that it shows inactive are replayed from the store."""
-    store, stored, out, checkpoint = [scratch_path(spark, n) for n in ("store", "stored", "stream", "checkpoint")]
-    writer = activity.carts_left_writer(lambda: readers.read_table(spark, store), out)
+    """Carts of sessions that go inactive, from the stream's own state; the delay covers the disorder."""
+    return _carts_left(spark, d, "9 days")
 
-    def receive(raw):
-        ingest.run_batches(cleaning.typed_events(raw), ingest.latest_writer(store), stored)
-        ingest.run_batches(_activity(raw), writer, checkpoint)
 
-    _delivered(spark, d, receive, "date", "user")
-    return activity.carts_left_now(spark, out)
+@query
+def stream_carts_left_late(spark, d):
+    """With a short delay: of the events that come in time; ``stream_carts_late_rows`` has the others."""
+    return _carts_left(spark, d, "1 hour")
+
+
+@query
+def stream_carts_late_rows(spark, d):
+    """The events that the stream of ``stream_carts_left_late`` doesn't take."""
+    out, seen, checkpoint = scratch_path(spark, "late"), scratch_path(spark, "seen"), scratch_path(spark, "checkpoint")
+    events = _zoned(cleaning.typed_events(_arriving(spark, d, "user")))
+    ingest.run_batches(events, ingest.late_writer(out, seen, "1 hour", behind=2), checkpoint)
+    return readers.read_table(spark, out).select("event_id", "ingest_ord", "session_id", "timestamp")

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillstream.operators.cart import cart_items
-from tillstream.streaming.ingest import latest_rows
+from tillstream.operators.ranking import first_per_key
 
 
 def activity_windows(events: DataFrame, gap: str, delay: str, keys: list[str] = ("session_id",)) -> DataFrame:
@@ -28,41 +28,120 @@ def activity_windows(events: DataFrame, gap: str, delay: str, keys: list[str] =
     )
 
 
-def carts_left(closed: DataFrame, stored_events: DataFrame, emptied: bool = False) -> DataFrame:
-    """Carts of sessions that went inactive, replayed up to their last activity.
+class SessionCart:
+    """One session's cart, folded up to the watermark; later events wait, so that they fold in order.
 
-    ``closed`` are rows of :func:`activity_windows`; of several bursts of a session only
-    the latest counts, so every stored event is replayed at most once. With ``emptied``,
-    sessions whose cart is empty have a row too, of no items.
+    ``lines`` has quantity, price and name of every product in the cart, ``seen`` the last activity of
+    the open burst in microseconds (None between bursts), ``waiting`` the events not folded yet.
     """
-    latest = closed.groupBy("session_id").agg(F.max("last_activity").alias("last_activity"))
-    history = (
-        stored_events.join(latest, "session_id")
-        .filter(F.col("event_time").cast("timestamp") <= F.col("last_activity"))
-        .drop("last_activity")
-    )
-    carts = cart_items(history).groupBy("session_id").agg(
-        F.sum(F.col("price_vnd") * F.col("quantity")).alias("cart_value_vnd"),
-        F.count(F.lit(1)).alias("item_count"),
-    )
-    if emptied:
-        return latest.join(carts, "session_id", "left").fillna(0, ["cart_value_vnd", "item_count"])
-    return latest.join(carts, "session_id")
-
 
-def carts_left_writer(stored_events: Callable[[], DataFrame], out_dir: str):
-    """Micro-batch writer over closed activity windows; ``stored_events`` reads what is stored by now.
-
-    A session may close again in a later batch; :func:`carts_left_now` has its last answer.
+    def __init__(self, seen: int | None = None, lines: str = "[]", waiting: str = "[]"):
+        self.seen = seen
+        self.lines = {product: rest for product, *rest in json.loads(lines)}
+        self.waiting = [tuple(e) for e in json.loads(waiting)]
+
+    def state(self) -> tuple[int | None, str, str]:
+        return self.seen, json.dumps([[p, *rest] for p, rest in self.lines.items()]), json.dumps(self.waiting)
+
+    def _fold(self, kind: str | None, product: int, quantity: int, price: int, name: str | None) -> None:
+        line = self.lines.get(product)
+        if kind == "add_to_cart":
+            if line is None:
+                self.lines[product] = [quantity, price, name]
+            else:
+                line[0] += quantity
+        elif kind is not None and line is not None:
+            line[0] = quantity if kind == "update_quantity" else line[0] - quantity
+            if line[0] <= 0:
+                del self.lines[product]
+
+    def _close(self) -> tuple[int, int, int]:
+        left = self.seen, sum(q * price for q, price, _ in self.lines.values()), len(self.lines)
+        self.seen = None
+        return left
+
+    def advance(self, watermark: int, gap: int) -> tuple[int, int, int] | None:
+        """Fold what the watermark has passed; (last activity, value, items) of the last burst that ended."""
+        self.waiting.sort(key=lambda e: e[:2])
+        left, folded = None, 0
+        for at, _, *move in self.waiting:
+            if at > watermark:
+                break
+            if self.seen is not None and at >= self.seen + gap:
+                left = self._close()
+            self._fold(*move)
+            self.seen, folded = at, folded + 1
+        del self.waiting[:folded]
+        if self.seen is not None and self.seen + gap <= watermark:
+            left = self._close()
+        return left
+
+    def wake(self, gap: int) -> int | None:
+        """When the watermark next changes something."""
+        times = [*([self.waiting[0][0]] if self.waiting else []), *([self.seen + gap] if self.seen is not None else [])]
+        return min(times, default=None)
+
+
+def carts_left(events: DataFrame, gap: str, delay: str) -> DataFrame:
+    """A stream of session_id, last_activity, cart_value_vnd, item_count: what the cart held when its
+    session had been inactive for ``gap``; an empty cart has a row too.
+
+    ``events`` are typed events whose ``event_time`` is zoned and whose ``ingest_ord`` is a number. The
+    state of a session is its cart and the events not yet behind the watermark; nothing stored is read
+    again. An event-time timer closes a session without further events. A session without anything in
+    its cart leaves the state when it closes. Rows more than ``delay`` late are dropped by Spark:
+    ``late_writer`` on the same events with the same delay stores them.
     """
-
-    def write(closed: DataFrame, batch_id: int) -> None:
-        found = carts_left(closed, stored_events(), emptied=True)
-        found.write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")
-
-    return write
+    spark = events.sparkSession
+    gap_us = int(spark.sql(f"SELECT unix_micros(TIMESTAMP '1970-01-01 00:00:00Z' + INTERVAL {gap})").first()[0])
+
+    def run(key, frames, state):
+        cart = SessionCart(*state.get) if state.exists else SessionCart()
+        for frame in frames:
+            rows = zip(*(frame[c].tolist() for c in ("at", "ingest_ord", "kind", "product_id", "qty", "price", "name")))
+            cart.waiting += rows
+        watermark = state.getCurrentWatermarkMs()
+        left = cart.advance(watermark * 1000, gap_us)
+        wake = cart.wake(gap_us)
+        if wake is None and not cart.lines:
+            if state.exists:
+                state.remove()
+        else:
+            state.update(cart.state())
+            if wake is not None:
+                # Timers before the watermark fire; a millisecond less makes it "not after".
+                state.setTimeoutTimestamp(max(-(-wake // 1000) - 1, watermark))
+        if left is not None:
+            yield pd.DataFrame([(key[0], *left)], columns=["session_id", "last_us", "cart_value_vnd", "item_count"])
+
+    kind = F.col("event_type")
+    moves = kind.isin("add_to_cart", "remove_from_cart", "update_quantity") & F.coalesce(F.col("product_id") != 0, F.lit(False))
+    slim = (
+        events.filter("session_id is not null and event_time is not null")
+        .withWatermark("event_time", delay)
+        .select(
+            "session_id",
+            "event_time",
+            F.unix_micros("event_time").alias("at"),
+            "ingest_ord",
+            F.when(moves & (F.col("session_id") != ""), kind).alias("kind"),
+            F.coalesce("product_id", F.lit(0)).alias("product_id"),
+            F.coalesce("quantity", F.when(kind == "update_quantity", 0).otherwise(1)).cast("bigint").alias("qty"),
+            F.coalesce("product_price_vnd", F.lit(0)).cast("bigint").alias("price"),
+            F.col("product_name").alias("name"),
+        )
+    )
+    found = slim.groupBy("session_id").applyInPandasWithState(
+        run,
+        "session_id string, last_us bigint, cart_value_vnd bigint, item_count bigint",
+        "seen bigint, lines string, waiting string",
+        "append",
+        "EventTimeTimeout",
+    )
+    return found.select("session_id", F.timestamp_micros("last_us").alias("last_activity"), "cart_value_vnd", "item_count")
 
 
 def carts_left_now(spark, out_dir: str) -> DataFrame:
     """One row for each session whose cart holds something since it last went inactive."""
-    return latest_rows(spark, out_dir, "session_id").filter("item_count > 0")
+    found = first_per_key(spark.read.parquet(out_dir), ["session_id"], [F.desc("last_activity")])
+    return found.filter("item_count > 0").drop("batch_id")

@@ -148,25 +148,28 @@ def run_counters(spark, counters_dir: str) -> DataFrame:
     return per_batch.agg(*[F.sum(c).alias(c) for c in per_batch.columns])
 
 
-def late_writer(out_dir: str, seen_dir: str, delay: str) -> BatchWriter:
+def late_writer(out_dir: str, seen_dir: str, delay: str, behind: int = 1) -> BatchWriter:
     """Store the rows that come more than ``delay`` behind the newest event of earlier batches.
 
     A watermark of that delay drops such rows unseen; this table has and counts them. Each batch
-    stores the newest time so far, so the next one reads a single row.
+    stores the newest time so far, so the next one reads a single row. With ``behind=2`` the batch
+    just before doesn't count: that is how Spark's stateful operators tell late rows when each
+    micro-batch follows the one before in the same run.
     """
 
     def write(events: DataFrame, batch_id: int) -> None:
         spark = events.sparkSession
         newest = events.agg(F.max("event_time").alias("newest"))
-        before = f"{seen_dir}/batch_id={batch_id - 1}"
         late = events.limit(0)
+        last, before = (f"{seen_dir}/batch_id={batch_id - n}" for n in (1, behind))
+        if path_exists(spark, last):
+            newest = newest.unionByName(spark.read.parquet(last)).agg(F.max("newest").alias("newest"))
         if path_exists(spark, before):
             known = spark.read.parquet(before)
-            newest = newest.unionByName(known).agg(F.max("newest").alias("newest"))
             mark = known.select(F.lit(1).alias("_one"), (F.col("newest") - F.expr(f"INTERVAL {delay}")).alias("_mark"))
             # one row on the right
             late = events.withColumn("_one", F.lit(1)).join(F.broadcast(mark), "_one")
-            late = late.filter("event_time < _mark").drop("_one", "_mark")
+            late = late.filter("event_time <= _mark").drop("_one", "_mark")
         late.write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")
         newest.write.mode("overwrite").parquet(f"{seen_dir}/batch_id={batch_id}")
 
