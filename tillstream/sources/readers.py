@@ -20,6 +20,14 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return found is not None and len(found) > 0
 
 
+def batch_numbers(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers of the ``batch_id=<n>`` folders below ``folder``: a listing, no rows are read."""
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/batch_id=*")
+    fs = hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = fs.globStatus(hadoop_path) or []
+    return sorted(int(status.getPath().getName().split("=")[1]) for status in found)
+
+
 def first_existing(spark: SparkSession, *paths: str) -> str | None:
     """The first path that exists: a new location before the older ones."""
     return next((p for p in paths if path_exists(spark, p)), None)

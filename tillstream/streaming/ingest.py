@@ -6,7 +6,8 @@ Two ways to drop repeated events:
   late it comes; which copy survives inside one micro-batch is open. A delay bounds the
   state, and then Spark drops events that come later than that.
 * :func:`exact_writer` cleans and de-duplicates each micro-batch like the batch
-  pipeline and anti-joins the ids stored so far, so the first copy always wins.
+  pipeline and leaves out the ids stored so far, so the first copy always wins. It asks
+  an :class:`IdStore`, which reads only what its filters name.
 
 Micro-batch writers write below ``batch_id=<n>`` and replace that folder when a batch
 is replayed, which makes them idempotent.
@@ -33,6 +34,7 @@ from tillstream.operators.sessions import (
 )
 from tillstream.session import materialise
 from tillstream.sources.readers import path_exists, with_rows
+from tillstream.streaming.idstore import IdStore
 
 BatchWriter = Callable[[DataFrame, int], None]
 
@@ -80,15 +82,6 @@ def run_batches(stream: DataFrame, write: BatchWriter, checkpoint: str, mode: st
     run_available(stream.writeStream.outputMode(mode).foreachBatch(write), checkpoint)
 
 
-def _stored_ids(like: DataFrame, folder: str, batch_id: int) -> DataFrame | None:
-    """Event ids that batches before this one stored (none for the first)."""
-    spark = like.sparkSession
-    if not path_exists(spark, f"{folder}/batch_id=*"):
-        return None
-    ids = like.select("event_id").schema.add("batch_id", "long")
-    return spark.read.schema(ids).parquet(folder).filter(F.col("batch_id") < batch_id)
-
-
 def latest_writer(out_dir: str) -> BatchWriter:
     """Store each micro-batch's changed rows; :func:`latest_rows` reads the newest per key."""
 
@@ -110,19 +103,22 @@ def unreadable_events(raw: DataFrame) -> DataFrame:
 def exact_writer(out_dir: str, aside_dir: str | None = None, counters_dir: str | None = None) -> BatchWriter:
     """Clean, de-duplicate and store a raw micro-batch; ids stored by earlier batches are skipped.
 
-    An unreadable time is an error, unless ``aside_dir`` takes such rows. ``counters_dir`` gets
-    one row of counters per batch; :func:`run_counters` adds them up.
+    The ids lie in a folder of their own beside ``out_dir``. An unreadable time is an error, unless
+    ``aside_dir`` takes such rows. ``counters_dir`` gets one row of counters per batch;
+    :func:`run_counters` adds them up.
     """
 
     def write(raw: DataFrame, batch_id: int) -> None:
         spark = raw.sparkSession
         own = f"{out_dir}/batch_id={batch_id}"
-        events = dedup_events(clean_events(with_rows(raw), strict=aside_dir is None))
+        ids = IdStore(spark, out_dir.rstrip("/") + "-ids")
+        # the batch's ids are looked up before its rows are written
+        events = materialise(dedup_events(clean_events(with_rows(raw), strict=aside_dir is None)), "micro-batch")
         schema = events.schema
-        stored = _stored_ids(events, out_dir, batch_id)
-        if stored is not None:
-            events = new_events(events, stored)
+        seen = ids.seen(events.select(F.col("event_id").alias("id")), batch_id)
+        events = new_events(events, seen.select(F.col("id").alias("event_id")))
         events.write.mode("overwrite").partitionBy("date").parquet(own)
+        ids.add(spark.read.schema(schema).parquet(own).select(F.col("event_id").alias("id")), batch_id)
         if aside_dir is not None:
             unreadable_events(raw).write.mode("overwrite").parquet(f"{aside_dir}/batch_id={batch_id}")
         if counters_dir is not None:
