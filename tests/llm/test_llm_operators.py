@@ -158,7 +158,7 @@ def test_lines_inserted_and_deleted(spark, empty):
     def cleaned(index, some):
         return {r.id: r.kept_text for r in index.clean(some).collect()}
 
-    one = line_dedup.LineIndex(shards=3).insert(first)
+    one = line_dedup.LineIndex(keys_per_shard=2).insert(first)
     both = one.insert(second)
     assert cleaned(both, docs) == brute_lines(rows)
     back = both.delete(second.select("doc_id"))

@@ -36,7 +36,7 @@ class Blocks:
         content = F.struct(*[F.col(f"`{c}`") for c in docs.columns]) if whole else F.col(text_col).cast("string")
         mark = F.xxhash64(F.col(text_col).cast("string")).alias("mark")
         keyed = docs.select(id_column(id_col), mark, content.alias("content"))
-        keyed = keyed.select(F.pmod(F.xxhash64("id"), F.lit(self.count)).cast("int").alias("block"), "id", "mark", "content")
+        keyed = keyed.select(F.pmod(F.xxhash64("id", "mark"), F.lit(self.count)).cast("int").alias("block"), "id", "mark", "content")
         buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         packed = keyed.mapInArrow(_pack, "block int, payload binary").repartition(buckets, "block")
         name = f"blocks_{uuid.uuid4().hex}"

@@ -156,7 +156,7 @@ def contamination_report(docs: DataFrame, items: DataFrame, **options) -> DataFr
     """doc_id, item_id, n_item_shingles, n_shared, containment of every match."""
     found = contaminated(docs, items, **options)
     share = (F.col("n_shared") / F.col("n_item_shingles")).alias("containment")
-    return found.select(id_back("doc_id"), "item_id", "n_item_shingles", "n_shared", share).distinct()
+    return found.select(id_back("doc_id"), "item_id", "n_item_shingles", "n_shared", share)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

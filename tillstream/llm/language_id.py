@@ -24,8 +24,7 @@ from pyspark.sql import functions as F
 
 from tillstream.llm import words as tw
 from tillstream.llm.frames import id_back, id_column
-from tillstream.llm.training import fit_in_one_task, held_out, sample_by_label
-from tillstream.session import materialise
+from tillstream.llm.training import fit_in_one_task, held_out, marked, sample_rows
 
 BITS = 16
 GRAMS = (2, 3)
@@ -180,11 +179,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
             yield pa.RecordBatch.from_arrays(arrays, names=["label", "order", "features", "counts"])
 
     labels = max(1, rows.select("label").distinct().count())
-    # The rows are chosen by id alone; their texts are fetched for these few.
-    chosen = sample_by_label(rows.select("id", "label"), "label", min(per_label, max(20, MAX_ROWS // labels)))
-    chosen = materialise(chosen.select(F.col("id").alias("_id"), F.col("label").alias("_label")).distinct(), "sample")
-    picked = rows.join(F.broadcast(chosen), (F.col("id") == F.col("_id")) & (F.col("label") == F.col("_label")))  # MAX_ROWS rows
-    sample = picked.select("label", F.xxhash64("id", "label").alias("order"), "text")
+    rows = marked(rows)
+    sample = sample_rows(rows.drop("text"), rows.drop("label"), min(per_label, max(20, MAX_ROWS // labels)))  # MAX_ROWS rows
     raw = fit_in_one_task(sample.mapInArrow(count, "label string, order bigint, features binary, counts binary"), _fit(idf))
     return pickle.loads(raw) if raw else None
 

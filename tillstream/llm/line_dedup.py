@@ -2,7 +2,7 @@
 
 An index is a snapshot of tables in the shared folder:
 
-* ``refs``    one row per line key and document that holds it, with the number of its lines;
+* ``refs``    one row per line key and text that holds it, with the number of its lines;
 * ``shared``  for the keys held by two or more documents: their number and the smallest id;
 * ``filters`` for each shard of the keys a cuckoo filter of all keys with references.
 
@@ -15,13 +15,14 @@ costs a lookup and nothing else.
 A line's key is the line without white space at both ends, A-Z lower-cased, told apart by a 128-bit
 hash. Keys shorter than ``min_chars`` code points are never dropped. A key held by several documents
 loses its lines in all but the document with the smallest id. Null texts count as empty and have
-one empty line; a missing id is larger than all others; rows that repeat an id are one document.
+one empty line; a missing id is larger than all others; rows that repeat an id are one document, and
+what each of them loses is found by its own text.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -138,26 +139,32 @@ def _signed(values: list[int]) -> pa.Array:
 
 
 def references(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
-    """hi, lo, id, n: a row for each key and document."""
+    """hi, lo, id, mark, n: a row for each key and row of ``docs``; ``mark`` is a hash of its text."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hi, lo, ids, n = [], [], [], []
-            for doc, text in zip(batch["id"].to_pylist(), batch["text"]):
+            hi, lo, ids, marks, n = [], [], [], [], []
+            for doc, mark, text in zip(batch["id"].to_pylist(), batch["mark"].to_pylist(), batch["text"]):
                 counts: dict[tuple[int, int], int] = {}
                 for key in _line_keys(text.as_buffer().to_pybytes() if text.is_valid else b"", min_chars):
                     if key is not None:
                         counts[key] = counts.get(key, 0) + 1
                 for (a, b), c in counts.items():
-                    hi.append(a), lo.append(b), ids.append(doc), n.append(c)
-            yield pa.RecordBatch.from_arrays([_signed(hi), _signed(lo), pa.array(ids, pa.int64()), pa.array(n, pa.int64())], names=["hi", "lo", "id", "n"])
+                    hi.append(a), lo.append(b), ids.append(doc), marks.append(mark), n.append(c)
+            arrays = [_signed(hi), _signed(lo), *(pa.array(x, pa.int64()) for x in (ids, marks, n))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["hi", "lo", "id", "mark", "n"])
 
-    rows = docs.select(id_column(id_col), F.col(text_col).alias("text")).mapInArrow(emit, "hi bigint, lo bigint, id bigint, n bigint")
-    return rows.groupBy("hi", "lo", "id").agg(F.sum("n").alias("n"))
+    return _rows(docs, id_col, text_col).mapInArrow(emit, "hi bigint, lo bigint, id bigint, mark bigint, n bigint")
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.col(text_col).cast("string")
+    return docs.select(id_column(id_col), F.xxhash64(text).alias("mark"), text.alias("text"))
 
 
 def _counts(refs: DataFrame) -> DataFrame:
-    return refs.groupBy("hi", "lo").agg(F.count("*").alias("docs"), F.min("id").alias("first_id"))
+    documents = refs.select("hi", "lo", "id").distinct()
+    return documents.groupBy("hi", "lo").agg(F.count("*").alias("docs"), F.min("id").alias("first_id"))
 
 
 # ---- filters as rows: shard, filter --------------------------------------------------------------
@@ -213,27 +220,36 @@ class LineIndex:
     refs: DataFrame | None = None
     shared: DataFrame | None = None
     filters: DataFrame | None = None
-    shards: int = 0  # 0: by the first batch
+    shards: int = 1
+    keys: int = 0  # that have references
     min_chars: int = 10
+    keys_per_shard: int = KEYS_PER_SHARD
 
     def insert(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> LineIndex:
         """With the lines of ``docs``, whose ids are not in the index yet."""
         batch = materialise(references(docs, id_col, text_col, self.min_chars), "line-refs")
         keys = materialise(_counts(batch), "line-keys")
         if self.refs is None:
-            shards = self.shards or 1 + keys.count() // KEYS_PER_SHARD
+            total = keys.count()
+            shards = 1 + total // self.keys_per_shard
             shared = materialise(keys.where("docs > 1"), "shared-lines")
-            return LineIndex(batch, shared, _filters(keys, shards), shards, self.min_chars)
+            return replace(self, refs=batch, shared=shared, filters=_filters(keys, shards), shards=shards, keys=total)
         schema = "shard int, hi bigint, lo bigint, docs bigint, first_id bigint"
         asked = _sharded(keys, self.shards).select("shard", "hi", "lo", "docs", "first_id").groupBy("shard")
         asked = materialise(asked.cogroup(self.filters.groupBy("shard")).applyInPandas(_probe, schema + ", maybe boolean"), "asked")
         maybe = asked.where("maybe").select("hi", "lo")
         known = materialise(_counts(self.refs.join(maybe, ["hi", "lo"], "semi")), "known-lines")
-        refs = materialise(self.refs.unionByName(batch), "line-refs")
+        refs = self.refs.unionByName(batch)  # both written
         both = keys.unionByName(known).groupBy("hi", "lo").agg(F.sum("docs").alias("docs"), F.min("first_id").alias("first_id"))
         shared = self.shared.join(keys, ["hi", "lo"], "anti").unionByName(both.where("docs > 1").join(keys, ["hi", "lo"], "semi"))
-        filters = self._changed(keys.join(known, ["hi", "lo"], "anti"), refs, deleting=False)
-        return LineIndex(refs, materialise(shared, "shared-lines"), filters, self.shards, self.min_chars)
+        shared = materialise(shared, "shared-lines")
+        fresh = materialise(keys.join(known, ["hi", "lo"], "anti"), "new-lines")
+        total = self.keys + fresh.count()
+        if total > 2 * self.keys_per_shard * self.shards:  # more shards, before one grows too large for a task
+            shards = 1 + total // self.keys_per_shard
+            filters = _filters(refs.select("hi", "lo").distinct(), shards)
+            return replace(self, refs=refs, shared=shared, filters=filters, shards=shards, keys=total)
+        return replace(self, refs=refs, shared=shared, filters=self._changed(fresh, refs, deleting=False), keys=total)
 
     def delete(self, ids: DataFrame, id_col: str = "doc_id") -> LineIndex:
         """Without the documents whose ids are in ``ids``."""
@@ -242,8 +258,9 @@ class LineIndex:
         refs = materialise(self.refs.join(gone, "id", "anti"), "line-refs")
         left = materialise(_counts(refs.join(touched, ["hi", "lo"], "semi")), "known-lines")
         shared = self.shared.join(touched, ["hi", "lo"], "anti").unionByName(left.where("docs > 1"))
-        filters = self._changed(touched.join(left, ["hi", "lo"], "anti"), refs, deleting=True)
-        return LineIndex(refs, materialise(shared, "shared-lines"), filters, self.shards, self.min_chars)
+        shared = materialise(shared, "shared-lines")
+        lost = materialise(touched.join(left, ["hi", "lo"], "anti"), "lost-lines")
+        return replace(self, refs=refs, shared=shared, filters=self._changed(lost, refs, deleting=True), keys=self.keys - lost.count())
 
     def _changed(self, keys: DataFrame, refs: DataFrame, deleting: bool) -> DataFrame:
         groups = _sharded(keys.select("hi", "lo"), self.shards).groupBy("shard").cogroup(self.filters.groupBy("shard"))
@@ -253,10 +270,10 @@ class LineIndex:
         return _filters(refs.select("hi", "lo").distinct(), self.shards)
 
     def dropped(self) -> DataFrame:
-        """id, keys: of every document that loses lines, their keys."""
-        # Two written tables: adaptive execution splits a key that very many documents hold.
+        """id, mark, keys: of every text that loses lines, their keys."""
+        # Written tables: adaptive execution splits a key that very many documents hold.
         lost = self.refs.join(self.shared, ["hi", "lo"]).where("id != first_id")
-        return lost.groupBy("id").agg(F.collect_list(F.struct("hi", "lo")).alias("keys"))  # lines of one document
+        return lost.groupBy("id", "mark").agg(F.collect_set(F.struct("hi", "lo")).alias("keys"))  # lines of one text
 
     def clean(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """id, kept_text, n_lines, n_dropped of every row of ``docs``, all of which are in the index."""
@@ -277,14 +294,22 @@ class LineIndex:
                 arrays = [batch["id"], pa.array(kept, pa.binary()).cast(pa.string()), pa.array(total, pa.int64()), pa.array(lost, pa.int64())]
                 yield pa.RecordBatch.from_arrays(arrays, names=["id", "kept_text", "n_lines", "n_dropped"])
 
-        rows = docs.select(id_column(id_col), F.col(text_col).alias("text"))
-        drops = materialise(self.dropped(), "dropped-lines").withColumnRenamed("id", "_id")
-        rows = rows.join(drops, F.col("id") == F.col("_id"), "left").drop("_id")
-        return rows.mapInArrow(emit, "id bigint, kept_text string, n_lines bigint, n_dropped bigint")
+        rows = _rows(docs, id_col, text_col)
+        drops = materialise(self.dropped(), "dropped-lines").withColumnsRenamed({"id": "_id", "mark": "_mark"})
+        rows = rows.join(drops, (F.col("id") == F.col("_id")) & (F.col("mark") == F.col("_mark")), "left")
+        return rows.select("id", "text", "keys").mapInArrow(emit, "id bigint, kept_text string, n_lines bigint, n_dropped bigint")
 
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10) -> DataFrame:
-    """doc_id, n_lines, n_dropped, kept_sha256 of every row."""
-    index = LineIndex(min_chars=min_chars).insert(docs, id_col, text_col)
+    """doc_id, n_lines, n_dropped, kept_sha256 of every row.
+
+    The documents come in three batches; the last is then deleted and inserted again.
+    """
+    part = F.pmod(F.xxhash64(id_column(id_col)), F.lit(8))
+    batches = [docs.where(w) for w in (part < 4, (part >= 4) & (part < 7), part == 7)]
+    index = LineIndex(min_chars=min_chars)
+    for batch in batches:
+        index = index.insert(batch, id_col, text_col)
+    index = index.delete(batches[-1], id_col).insert(batches[-1], id_col, text_col)
     cleaned = index.clean(docs, id_col, text_col)
     return cleaned.select(id_back("doc_id"), "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))

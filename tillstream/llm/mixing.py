@@ -9,7 +9,7 @@ by at most about its longest document.
 
 Missing sources form a source of their own, last in order. Null and empty texts have size 0 and
 are dealt like others. A source without words has target 0. Rows that repeat id, source and size
-are decided together. An empty table gives an empty mix.
+stand side by side, each for itself. An empty table gives an empty mix.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tillstream.llm.frames import WORD, id_back, id_column, prefix_sums
+from tillstream.session import materialise
 
 
 def word_count(text: str) -> Column:
@@ -71,11 +72,13 @@ def mix_units(
     share: tuple[int, int] = (3, 2),
     most: int = 2,
     seed: str = "mix",
+    marks: Sequence[Column] = (),
 ) -> DataFrame:
-    """What the mix takes: id, source, size, rows (that share these), source_size, target, copies of each row."""
-    slim = docs.select(id_column(id_col), F.col(source_col).cast("string").alias("source"), word_count(text_col).alias("size"))
-    units = slim.groupBy("id", "source", "size").agg(F.count("*").alias("rows"))
-    ranked = prefix_sums(units, ["source"], ["size", "id"], {"rank": F.lit(1).cast("bigint")})
+    """What the mix takes: id, source, size, ``marks``, rows (that share these), source_size, target, and
+    what decides their copies: the rows before them, the copies each row expects, the source's offset."""
+    slim = docs.select(id_column(id_col), F.col(source_col).cast("string").alias("source"), word_count(text_col).alias("size"), *marks)
+    units = slim.groupBy(*slim.columns).agg(F.count("*").alias("rows"))
+    ranked = prefix_sums(units, ["source"], ["size", "id", *slim.columns[3:]], {"rank": F.col("rows")})
     targets = source_targets(ranked, weights, share, most)
     name = F.coalesce(F.concat(F.lit("s:"), F.col("source")), F.lit("null"))
     digits = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}/"), name)), 1, 4), 16, 10).cast("double")
@@ -83,33 +86,42 @@ def mix_units(
     return (
         ranked.join(targets, ranked["source"].eqNullSafe(targets["of"]))
         .withColumns({"offset": (digits + 0.5) / 65536, "rate": rate})
-        .withColumn(
-            "copies",
-            F.floor((F.col("rank_before") + 1) * F.col("rate") + F.col("offset"))
-            - F.floor(F.col("rank_before") * F.col("rate") + F.col("offset")),
-        )
-        .select("id", "source", "size", "rows", "source_size", "target", "copies")
+        .select(*slim.columns, "rows", "source_size", "target", "rank_before", "rate", "offset")
     )
 
 
+def _copies(rows: Column | int) -> Column:
+    """Whole numbers passed by the running sum over the next ``rows`` rows."""
+    passed = lambda n: F.floor(n * F.col("rate") + F.col("offset"))
+    return passed(F.col("rank_before") + rows) - passed(F.col("rank_before"))
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mixed documents: the rows of ``docs``, each as often as the mix takes it."""
-    plan = mix_units(docs, id_col, text_col, source_col, **options).where("copies > 0")
-    plan = plan.select(*[F.col(c).alias(f"_mix_{c}") for c in ("id", "source", "size", "copies")])
+    content = [F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in docs.columns]) for seed in (1, 2)]
+    marks = [c.alias(f"_mark{i}") for i, c in enumerate(content)]
+    plan = mix_units(docs, id_col, text_col, source_col, marks=marks, **options).withColumn("copies", _copies(F.col("rows")))
+    plan = plan.where("copies > 0").select(*[F.col(c).alias(f"_mix_{c}") for c in ("id", "_mark0", "_mark1", "rows", "copies")])
+    plan = materialise(plan, "mix-plan")
     ours = F.coalesce(docs[id_col].cast("bigint"), F.lit(2**63 - 1))
-    keyed = docs.withColumns({"_key_id": ours, "_key_source": docs[source_col].cast("string"), "_key_size": word_count(text_col)})
-    joined = keyed.join(
-        plan,
-        (keyed["_key_id"] == plan["_mix_id"])
-        & keyed["_key_source"].eqNullSafe(plan["_mix_source"])
-        & (keyed["_key_size"] == plan["_mix_size"]),
-    )
-    each = joined.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_mix_copies"))))
-    return each.select(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = docs.withColumns({"_key_id": ours, "_key_mark0": content[0], "_key_mark1": content[1]})
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+
+    def taken(part: DataFrame) -> DataFrame:
+        same = [keyed[f"_key_{a}"] == part[f"_mix_{b}"] for a, b in (("id", "id"), ("mark0", "_mark0"), ("mark1", "_mark1"))]
+        return keyed.join(part, same).select(*columns, "_mix_copies")
+
+    rows = taken(plan.where("_mix_rows = 1"))
+    alike = plan.where("_mix_rows > 1")
+    if not alike.isEmpty():  # of rows alike in all columns one is repeated as often as the mix takes them together
+        rows = rows.unionByName(taken(alike).dropDuplicates())
+    each = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_mix_copies"))))
+    return each.select(*columns)
 
 
 def mix_report(docs: DataFrame, **options) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken."""
     units = mix_units(docs, **options)
-    rows = units.withColumn("_row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("rows"))))
-    return rows.select(id_back("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+    rows = units.withColumn("_row", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("rows") - 1)))
+    rows = rows.withColumn("rank_before", F.col("rank_before") + F.col("_row"))
+    return rows.select(id_back("doc_id"), "size", "source_size", "target", (_copies(1) * F.col("size")).alias("taken"))

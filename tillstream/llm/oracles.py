@@ -19,8 +19,7 @@ def hex_digit(n: int) -> str:
 
 MIX = f"""
 WITH sized AS (SELECT doc_id, source, len({words("text")})::BIGINT AS size FROM documents),
-units AS (SELECT doc_id, source, size, count(*) AS rows FROM sized GROUP BY ALL),
-sizes AS (SELECT source, sum(size * rows)::BIGINT AS source_size FROM units GROUP BY source),
+sizes AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 weighed AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END::BIGINT AS weight FROM sizes),
 poured AS (
   SELECT *,
@@ -38,10 +37,10 @@ rates AS (
   SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
     ((({hex_digit(1)} * 16 + {hex_digit(2)}) * 16 + {hex_digit(3)}) * 16 + {hex_digit(4)} + 0.5::DOUBLE) / 65536 AS start
   FROM targets),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY size, doc_id NULLS LAST) - 1 AS place FROM units)
+ranked AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY size, doc_id NULLS LAST) - 1 AS place FROM sized)
 SELECT u.doc_id, u.size, r.source_size, r.target,
   ((floor((place + 1) * rate + start) - floor(place * rate + start)) * size)::BIGINT AS taken
-FROM ranked u JOIN rates r ON u.source IS NOT DISTINCT FROM r.source, range(u.rows)
+FROM ranked u JOIN rates r ON u.source IS NOT DISTINCT FROM r.source
 """
 
 LINES = f"""
@@ -61,11 +60,11 @@ long AS (SELECT item_id, w, least(5, len(w)) AS n FROM items WHERE len(w) > 0),
 item_grams AS (
   SELECT item_id, n, list_distinct(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS grams FROM long),
 item_gram AS (SELECT item_id, n, len(grams) AS n_item_shingles, unnest(grams) AS gram FROM item_grams),
-docs AS (SELECT doc_id, {words(lower("text"))} AS w FROM documents),
+docs AS (SELECT row_number() OVER () AS row, doc_id, {words(lower("text"))} AS w FROM documents),
 doc_gram AS (
-  SELECT DISTINCT doc_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS gram
+  SELECT DISTINCT row, doc_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS gram
   FROM docs, (SELECT DISTINCT n FROM long) WHERE len(w) >= n),
-shared AS (SELECT doc_id, item_id, n_item_shingles, count(*) AS n_shared FROM doc_gram JOIN item_gram USING (n, gram) GROUP BY ALL)
+shared AS (SELECT row, doc_id, item_id, n_item_shingles, count(*) AS n_shared FROM doc_gram JOIN item_gram USING (n, gram) GROUP BY ALL)
 SELECT doc_id, item_id, n_item_shingles, n_shared, n_shared / n_item_shingles AS containment
 FROM shared WHERE 5 * n_shared >= 4 * n_item_shingles
 """

@@ -8,7 +8,7 @@ is learnt from labels of documents alone.
 
 The fit uses at most ``PER_LABEL`` labelled rows of each label; the share of labels, which sets the
 level of the scores, is counted over all. A null or empty text is one empty passage. Rows without
-label teach nothing; where no two labels are known, every score is 0.5. Repeated rows have equal
+label teach nothing, nor do labels without id; where no two labels are known, every score is 0.5. Repeated rows have equal
 results; an empty table gives no rows.
 """
 
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tillstream.llm import words as tw
 from tillstream.llm.frames import id_back, id_column
-from tillstream.llm.training import fit_in_one_task, held_out, sample_by_label
+from tillstream.llm.training import fit_in_one_task, held_out, marked, sample_rows
 from tillstream.session import materialise
 
 PASSAGE = 400
@@ -156,16 +156,15 @@ def _fit(prior: float, epochs: int = 40, batch: int = 64, rate: float = 0.01, de
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_label: int = PER_LABEL) -> tuple | None:
     """The model learnt from the rows of ``docs`` that ``labels`` marks 0 or 1; None unless both occur."""
-    marked = labels.where(F.col(label_col).isin(0, 1)).select(id_column(id_col), F.col(label_col).cast("int").alias("label"))
-    marked = materialise(marked.join(docs.select(id_column(id_col)), "id", "semi").distinct(), "labels")
-    counts = {r["label"]: r["count"] for r in marked.groupBy("label").count().collect()}
+    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1))
+    known = known.select(id_column(id_col), F.col(label_col).cast("int").alias("label")).distinct()
+    rows = docs.where(F.col(id_col).isNotNull()).select(id_column(id_col), F.col(text_col).cast("string").alias("text"))
+    rows = marked(rows)
+    keys = materialise(rows.drop("text").join(known, "id"), "labels")
+    counts = {r["label"]: r["count"] for r in keys.groupBy("label").count().collect()}
     if len(counts) < 2:
         return None
-    chosen = sample_by_label(marked, "label", per_label).select(F.col("id").alias("_id"), "label")
-    chosen = materialise(chosen, "sample")
-    rows = docs.select(id_column(id_col), F.col(text_col).cast("string").alias("text"))
-    picked = rows.join(F.broadcast(chosen), F.col("id") == F.col("_id"))  # twice per_label rows
-    sample = picked.select("label", F.xxhash64("id").alias("order"), "text")
+    sample = sample_rows(keys, rows, per_label)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
