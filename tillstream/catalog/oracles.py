@@ -453,6 +453,62 @@ UNION ALL SELECT 'journey_patterns', '{{"journey_pattern":"' || journey_pattern
 FROM ({TOP_PATTERNS})""",
 )
 
+
+
+def _values(metric: str, item: str | None, select: str) -> str:
+    """One metric's rows as (metric, item, measure, value)."""
+    known = f"CAST({item} AS VARCHAR)" if item else "CAST(NULL AS VARCHAR)"
+    left_out = f"* EXCLUDE ({item})" if item else "*"
+    typed = f"SELECT {known} AS item, CAST(COLUMNS({left_out}) AS DOUBLE) FROM ({select})"
+    return f"""SELECT '{metric}' AS metric, item, measure, round(value, 6) AS value
+FROM (UNPIVOT ({typed}) ON COLUMNS(* EXCLUDE (item)) INTO NAME measure VALUE value)"""
+
+
+_DURATION = "session_duration_seconds"
+METRIC_VALUES = [
+    (
+        "session_duration_stats",
+        None,
+        f"""SELECT avg({_DURATION}) AS average_duration_seconds, median({_DURATION}) AS median_duration_seconds,
+  min({_DURATION}) AS min_duration_seconds, max({_DURATION}) AS max_duration_seconds, stddev_samp({_DURATION}) AS std_duration_seconds,
+  count(*) AS total_sessions, avg({_DURATION}) / 60 AS average_duration_minutes, median({_DURATION}) / 60 AS median_duration_minutes FROM sess""",
+    ),
+    (
+        "purchase_intent",
+        None,
+        """SELECT count(*) AS total_sessions, count(*) FILTER (WHERE has_purchase_intent) AS sessions_with_purchase_intent,
+  count(*) FILTER (WHERE has_purchase_intent) * 100.0::DOUBLE / count(*) AS purchase_intent_rate FROM intent""",
+    ),
+    (
+        "event_stats",
+        None,
+        """SELECT count(*) AS total_events, count(DISTINCT session_id) AS unique_sessions, count(DISTINCT customer_id) AS unique_customers,
+  count(DISTINCT product_id) AS unique_products, count(*)::DOUBLE / count(DISTINCT session_id) AS average_events_per_session FROM dedup""",
+    ),
+    *[
+        (
+            f"{c}_distribution",
+            c,
+            f"""SELECT {c}, count(*) AS events, count(*) * 100.0::DOUBLE / (SELECT count(*) FROM dedup) AS percentage
+  FROM dedup WHERE {c} IS NOT NULL GROUP BY {c}""",
+        )
+        for c in ("event_type", "source", "device")
+    ],
+    (
+        "journey_length",
+        None,
+        """SELECT avg(n) AS average_journey_length, max(n) AS max_journey_length, min(n) AS min_journey_length
+  FROM (SELECT count(*) AS n FROM dedup GROUP BY session_id)""",
+    ),
+    ("journey_patterns", "journey_pattern", TOP_PATTERNS),
+    ("events_by_date", "date", "SELECT d AS date, count(*) AS events FROM dedup GROUP BY d"),
+    ("events_by_hour", "hour", "SELECT hour(ts) AS hour, count(*) AS events FROM dedup GROUP BY 1"),
+    ("events_by_day_of_week", "day_of_week", "SELECT dayname(ts) AS day_of_week, count(*) AS events FROM dedup GROUP BY 1"),
+    ("sessions_by_date", "date", "SELECT d AS date, count(DISTINCT session_id) AS sessions FROM dedup GROUP BY d"),
+]
+for _name in ("aggregation_report", "aggregation_files"):
+    _sql(_name, *SESSIONS, INTENT + "\nUNION ALL ".join(_values(*m) for m in METRIC_VALUES))
+
 # --- cart ------------------------------------------------------------------------
 
 _sql(

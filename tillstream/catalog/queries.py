@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from tillstream.functions import epoch_millis, first_names, iso_timestamp, last_name
 from tillstream.operators import cart, cleaning, finders, keys, lookup, metrics, orders, payments, quality, sessions
 from tillstream.plans import pipeline, report
+from tillstream.plans.shared import Shared
 from tillstream.session import apply_settings, materialise, scratch_path
 from tillstream.sources import readers, sinks
 from tillstream.sources import testtables as tt
@@ -260,8 +261,19 @@ def longest_sessions(spark, d):
 
 @query
 def aggregation_report(spark, d):
-    events = _prepared(spark, d)
-    return report.metric_rows(events, sessions.session_metrics(events))
+    """All metrics as numbers, from one aggregate of the events and the sessions' pieces."""
+    events = _written(spark, d)
+    shared = Shared(events)
+    found = report.metric_values(events, sessions.session_metrics(None, pieces=shared.pieces), shared=shared)
+    return rounded(found, "value", digits=6)
+
+
+@query
+def aggregation_files(spark, d):
+    """A whole run from raw events, and the metrics read back from the file it writes."""
+    out = scratch_path(spark, "run")
+    pipeline.run_pipeline(tt.cart_events(spark, d), out)
+    return rounded(report.read_metrics(spark, out), "value", digits=6)
 
 
 @query

@@ -10,8 +10,9 @@ from tillstream.functions import count_map, ratio, weekday_name
 from tillstream.operators.ranking import exact_median, one_row, top_k
 
 
-def _rows(name: str):
-    return F.count(F.lit(1)).alias(name)
+def _rows(name: str, counted: bool = False):
+    """Number of rows; ``counted`` rows stand for ``n`` each."""
+    return (F.sum("n") if counted else F.count(F.lit(1))).alias(name)
 
 
 def daily_summary(events: DataFrame) -> DataFrame:
@@ -63,8 +64,8 @@ def purchase_intent_sessions(events: DataFrame) -> DataFrame:
     )
 
 
-def purchase_intent(events: DataFrame) -> DataFrame:
-    return purchase_intent_sessions(events).agg(
+def purchase_intent(events: DataFrame | None, per_session: DataFrame | None = None) -> DataFrame:
+    return (purchase_intent_sessions(events) if per_session is None else per_session).agg(
         _rows("total_sessions"),
         F.count_if("has_purchase_intent").alias("sessions_with_purchase_intent"),
     ).withColumn(
@@ -82,15 +83,26 @@ def event_stats(events: DataFrame) -> DataFrame:
     ).withColumn("average_events_per_session", F.try_divide("total_events", "unique_sessions"))
 
 
-def distribution(events: DataFrame, column: str) -> DataFrame:
+def event_stats_of_counts(kinds: DataFrame, days: DataFrame, customers: DataFrame, products: DataFrame) -> DataFrame:
+    """The same from counts by kind, by day and session, by customer and by product."""
+    return one_row(
+        kinds.agg(_rows("total_events", True)),
+        days.agg(F.count_distinct("session_id").alias("unique_sessions")),
+        customers.agg(F.count("customer_id").alias("unique_customers")),
+        products.agg(F.count("product_id").alias("unique_products")),
+    ).withColumn("average_events_per_session", F.try_divide("total_events", "unique_sessions"))
+
+
+def distribution(events: DataFrame, column: str, counted: bool = False) -> DataFrame:
     """Counts per value with the share of all events; missing values are left out of the list only."""
-    counts = events.groupBy(column).agg(_rows("events"))
+    counts = events.groupBy(column).agg(_rows("events", counted))
     share = F.col("events") * F.lit(100.0) / F.sum("events").over(W.partitionBy())
     return counts.withColumn("percentage", share).filter(F.col(column).isNotNull())
 
 
-def journey_length(events: DataFrame) -> DataFrame:
-    sizes = events.groupBy("session_id").agg(_rows("n"))
+def journey_length(events: DataFrame | None, sizes: DataFrame | None = None) -> DataFrame:
+    """Over the events' sessions, or the ``n`` of one row for each session."""
+    sizes = events.groupBy("session_id").agg(_rows("n")) if sizes is None else sizes
     return sizes.agg(
         F.avg("n").alias("average_journey_length"),
         F.max("n").alias("max_journey_length"),
@@ -98,16 +110,16 @@ def journey_length(events: DataFrame) -> DataFrame:
     )
 
 
-def events_by_date(events: DataFrame) -> DataFrame:
-    return events.groupBy("date").agg(_rows("events"))
+def events_by_date(events: DataFrame, counted: bool = False) -> DataFrame:
+    return events.groupBy("date").agg(_rows("events", counted))
 
 
-def events_by_hour(events: DataFrame) -> DataFrame:
-    return events.groupBy("hour").agg(_rows("events"))
+def events_by_hour(events: DataFrame, counted: bool = False) -> DataFrame:
+    return events.groupBy("hour").agg(_rows("events", counted))
 
 
-def events_by_weekday(events: DataFrame) -> DataFrame:
-    return events.groupBy(weekday_name(F.col("timestamp")).alias("day_of_week")).agg(_rows("events"))
+def events_by_weekday(events: DataFrame, counted: bool = False) -> DataFrame:
+    return events.groupBy(weekday_name(F.col("date")).alias("day_of_week")).agg(_rows("events", counted))
 
 
 def sessions_by_date(events: DataFrame) -> DataFrame:

@@ -174,9 +174,9 @@ def journey_parts(
     return texts.join(places, _PIECE).drop("segment", "piece")
 
 
-def journey_patterns(events: DataFrame, k: int = 20, separator: str = " -> ") -> DataFrame:
+def journey_patterns(events: DataFrame | None, k: int = 20, separator: str = " -> ", pieces: DataFrame | None = None) -> DataFrame:
     """The ``k`` most frequent journeys, compared by their whole text."""
-    pieces = session_pieces(_order_only(events))
+    pieces = session_pieces(_order_only(events)) if pieces is None else pieces
     sessions = pieces.groupBy("session_id").agg(_collected_types("segment", "piece").alias("parts"))
     counts = sessions.groupBy(_journey("parts", separator).alias("journey_pattern")).agg(F.count(F.lit(1)).alias("sessions"))
     return counts.orderBy(F.desc("sessions"), "journey_pattern").limit(k)
