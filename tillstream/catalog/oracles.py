@@ -244,6 +244,19 @@ def _sql(name: str, *parts: str, recursive: bool = False) -> None:
     ORACLES[name] = (f"WITH {'RECURSIVE ' if recursive else ''}" + ",".join(ctes) if ctes else "") + "\n" + select
 
 
+def _cents(x: str) -> str:
+    """A double of at least 0, rounded to cents by its exact binary digits, ties to the even cent."""
+    digits = f"format('{{:.60f}}', CAST({x} AS DOUBLE))"
+    cut, rest = f"left({digits}, length({digits}) - 58)", f"right({digits}, 58)"
+    tie = "'5' || repeat('0', 57)"
+    up = f"({rest} > {tie} OR ({rest} = {tie} AND CAST(right({cut}, 1) AS INT) % 2 = 1))"
+    return f"CAST(CAST({cut} AS DECIMAL(30,2)) + CASE WHEN {up} THEN 0.01 ELSE 0.00 END AS DOUBLE)"
+
+
+def _thousands(x: str) -> str:
+    return f"CAST(({x}) // 1000 + CASE WHEN ({x}) % 1000 > 500 OR (({x}) % 1000 = 500 AND ({x}) // 1000 % 2 = 1) THEN 1 ELSE 0 END AS BIGINT) * 1000"
+
+
 PREPARED = (_cart(), CLEAN, DEDUP)
 SESSIONS = (*PREPARED, SESS)
 
@@ -354,7 +367,7 @@ DAILY = """, types AS (
 )
 SELECT CAST(d AS VARCHAR) AS date, total_events, unique_sessions, unique_customers"""
 _sql("daily_summary", *PREPARED, DAILY + ", event_type_distribution FROM days JOIN types USING (d)")
-_sql("pipeline_summary_csv", *PREPARED, DAILY + " FROM days")
+_sql("pipeline_summary_csv", *PREPARED, DAILY + ", event_type_distribution FROM days JOIN types USING (d)")
 
 _sql(
     "event_epochs",
@@ -514,10 +527,11 @@ for _name in ("aggregation_report", "aggregation_files"):
 _sql(
     "cart_statistics",
     _cart(),
-    """SELECT count(*) AS total_events, count(DISTINCT customer_id) FILTER (WHERE customer_id <> 0) AS unique_customers,
+    f"""SELECT count(*) AS total_events, count(DISTINCT customer_id) FILTER (WHERE customer_id <> 0) AS unique_customers,
   count(DISTINCT session_id) AS unique_sessions,
   count(*) FILTER (WHERE event_type = 'add_to_cart') AS add_events,
   count(*) FILTER (WHERE event_type = 'remove_from_cart') AS remove_events,
+  {_cents("count(*) FILTER (WHERE event_type = 'add_to_cart') / count(*) FILTER (WHERE event_type = 'remove_from_cart')")} AS add_remove_ratio,
   round(count(*) FILTER (WHERE event_type = 'add_to_cart') / count(*) FILTER (WHERE event_type = 'remove_from_cart'), 6)
     AS add_remove_exact FROM cart""",
 )
@@ -587,7 +601,7 @@ _sql(
     ABANDONED.format(items="cart_items,", hours=24) + " ORDER BY cart_value_vnd DESC, first_ord LIMIT 50",
     recursive=True,
 )
-_sql("abandoned_carts_all", _cart("user"), _replay(), ABANDONED.format(items="", hours=1), recursive=True)
+_sql("abandoned_carts_all", _cart("user"), _replay(), ABANDONED.format(items="cart_items,", hours=1), recursive=True)
 
 # --- reads with filters ----------------------------------------------------------
 
@@ -772,7 +786,8 @@ _sql("order_payment_counts", ONLINE, "SELECT payment_method, count(*) AS orders
 _sql(
     "order_totals",
     ONLINE,
-    """SELECT count(*) AS total_orders, count(*) FILTER (WHERE status = 'completed') AS completed_orders,
+    f"""SELECT count(*) AS total_orders, count(*) FILTER (WHERE status = 'completed') AS completed_orders,
+  {_cents("count(*) FILTER (WHERE status = 'completed') * 100.0::DOUBLE / count(*)")} AS conversion_rate,
   CAST(sum(total) FILTER (WHERE status = 'completed') AS BIGINT) AS total_revenue_vnd,
   CAST(sum(total) FILTER (WHERE status = 'completed') // count(*) FILTER (WHERE status = 'completed') AS BIGINT) AS average_order_value_vnd,
   round(CAST(count(*) FILTER (WHERE status = 'completed') * 100.0 AS DOUBLE) / count(*), 4) AS conversion_exact FROM online""",
@@ -814,7 +829,8 @@ _sql(
 _sql(
     "momo_statistics",
     MOMO,
-    """SELECT count(*) AS total_transactions, count(*) FILTER (WHERE "resultCode" = 0) AS successful_transactions,
+    f"""SELECT count(*) AS total_transactions, count(*) FILTER (WHERE "resultCode" = 0) AS successful_transactions,
+  {_cents('count(*) FILTER (WHERE "resultCode" = 0) * 100.0::DOUBLE / count(*)')} AS success_rate,
   CAST(sum(amount) FILTER (WHERE "resultCode" = 0) AS BIGINT) AS total_amount_vnd,
   count(*) FILTER (WHERE "resultCode" <> 0) AS failed_transactions,
   CAST(sum(amount) FILTER (WHERE "resultCode" = 0) // count(*) FILTER (WHERE "resultCode" = 0) AS BIGINT) AS average_amount_vnd,
@@ -829,7 +845,8 @@ FROM momo WHERE "resultCode" = 0 GROUP BY 1""",
 _sql(
     "zalopay_statistics",
     ZALO,
-    """SELECT count(*) AS total_transactions, count(*) FILTER (WHERE return_code = 1) AS successful,
+    f"""SELECT count(*) AS total_transactions, count(*) FILTER (WHERE return_code = 1) AS successful,
+  {_cents('count(*) FILTER (WHERE return_code = 1) * 100.0::DOUBLE / count(*)')} AS success_rate,
   count(*) FILTER (WHERE return_code = 2) AS failed, count(*) FILTER (WHERE return_code = 3) AS processing,
   CAST(sum(amount) FILTER (WHERE return_code = 1) AS BIGINT) AS total_amount_vnd,
   CAST(sum(discount_amount) FILTER (WHERE return_code = 1) AS BIGINT) AS total_discount_vnd,
@@ -1139,3 +1156,98 @@ _sql(
     f"""SELECT event_id, ingest_ord, session_id, iso AS timestamp
 FROM numbered n JOIN newest w ON n.file = w.file WHERE n.ts <= w.known - INTERVAL 1 HOUR""",
 )
+
+# --- codes, money, nested lines ----------------------------------------------------
+
+CODED = """
+coded0 AS (
+  SELECT CASE WHEN o_orderkey % 53 = 0 THEN '20230231' ELSE strftime(o_orderdate, '%Y%m%d') END AS day,
+    substr(CAST(1000000000 + o_orderkey AS VARCHAR), CASE WHEN o_orderkey % 59 = 0 THEN 8 ELSE 3 END) AS number FROM orders
+), coded AS (
+  SELECT 'TXN' || day || number AS transaction_id, 'CN' || substr(number, 6) AS location_code,
+    'HD' || substr(day, 3) || number AS pos_code, 'POS-' || number AS pos_order_code FROM coded0
+)"""
+_FORMS = {
+    "transaction_id": "^TXN[0-9]{16}$",
+    "location_code": "^CN[0-9]{3,}$",
+    "pos_code": "^HD[0-9]{12,}$",
+    "pos_order_code": "^POS-[0-9]{8,}$",
+}
+_sql(
+    "code_format_check",
+    CODED,
+    "\nUNION ALL ".join(f"SELECT '{k}' AS kind, {k} AS bad_id FROM coded WHERE NOT regexp_matches({k}, '{p}')" for k, p in _FORMS.items()),
+)
+_DATED = [
+    ("coded", "transaction_id", _FORMS["transaction_id"], "substr(transaction_id, 4, 8)"),
+    ("coded", "pos_code", _FORMS["pos_code"], "'20' || substr(pos_code, 3, 6)"),
+    ("zalo", "app_trans_id", "^[0-9]{6}_[0-9]{6}$", "'20' || left(app_trans_id, 6)"),
+    ("shopify", "order_number", "^ORD-[0-9]{8}-[0-9]{6,}$", "substr(order_number, 5, 8)"),
+]
+_sql(
+    "id_date_check",
+    CODED,
+    ZALO,
+    SHOPIFY,
+    "\nUNION ALL ".join(
+        f"SELECT '{k}' AS kind, {k} AS bad_id FROM {t} WHERE regexp_matches({k}, '{p}') AND try_strptime({day}, '%Y%m%d') IS NULL"
+        for t, k, p, day in _DATED
+    ),
+)
+_sql(
+    "shop_usd_check",
+    SHOPIFY,
+    """
+recorded AS (
+  SELECT id, shipping_vnd, floor(subtotal_vnd / 240.0::DOUBLE) / 100 AS subtotal_usd, floor(shipping_vnd / 240.0::DOUBLE) / 100 AS shipping_usd FROM shopify
+), taxed AS (SELECT *, floor(subtotal_usd * 10) / 100 AS tax_usd FROM recorded
+)""",
+    f""", expected AS (
+  SELECT *, subtotal_usd + tax_usd + shipping_usd AS sum_usd, {_cents("subtotal_usd * 0.1::DOUBLE")} AS expected_tax_usd,
+    {_cents("shipping_vnd / 24000.0::DOUBLE")} AS expected_shipping_usd, {_cents("subtotal_usd + tax_usd + shipping_usd")} AS expected_total_usd FROM taxed
+)
+SELECT id, shipping_vnd, subtotal_usd, tax_usd, shipping_usd, round(sum_usd, 4) AS total_usd, expected_tax_usd, expected_shipping_usd, expected_total_usd
+FROM expected WHERE abs(tax_usd - expected_tax_usd) > 0.005 OR abs(shipping_usd - expected_shipping_usd) > 0.005
+  OR abs(sum_usd - expected_total_usd) > 0.005""",
+)
+_sql(
+    "money_columns",
+    PRODUCTS,
+    f""", usd AS (SELECT id, price_vnd, {_cents("price_vnd / 24000.0::DOUBLE")} AS usd FROM products)
+SELECT id, usd, CAST(floor(usd * 24000) AS BIGINT) AS vnd, {_thousands("price_vnd")} AS thousands,
+  {_cents("price_vnd / 8.0::DOUBLE")} AS eighth FROM usd""",
+)
+_sql(
+    "code_columns",
+    _cart(),
+    """SELECT event_id, ingest_ord, 'CUST' || CASE WHEN length(CAST(customer_id AS VARCHAR)) >= 4 THEN CAST(customer_id AS VARCHAR)
+  ELSE lpad(CAST(customer_id AS VARCHAR), 4, '0') END AS code, iso AS zulu, iso AS utc FROM cart WHERE customer_id IS NOT NULL""",
+)
+_sql(
+    "nested_order_measures",
+    LINES,
+    f"""SELECT order_id, count(*) AS item_count, CAST(sum(quantity) AS BIGINT) AS total_quantity,
+  CAST(sum(discount_amount) AS BIGINT) AS discount_total, {_cents("sum(quantity) * 0.125::DOUBLE")} AS total_weight_kg FROM lines GROUP BY order_id""",
+)
+_sql(
+    "nested_subtotal_check",
+    LINES,
+    """SELECT order_id, CAST(sum(line_total) AS BIGINT) AS subtotal, CAST(sum(expected_line_total) AS BIGINT) AS expected_subtotal
+FROM lines GROUP BY order_id HAVING sum(line_total) <> sum(expected_line_total)""",
+)
+_sql(
+    "exploded_lines",
+    LINES,
+    """SELECT order_id, row_number() OVER (PARTITION BY order_id ORDER BY line_number, product_id, quantity, unit_price, discount_percent, discount_amount) - 1 AS line_pos, product_id, quantity, line_total FROM lines""",
+)
+_sql("pos_line_discounts", LINES, f"SELECT order_id, line_number, {_thousands('expected_discount')} AS discount FROM lines")
+_sql(
+    "embedded_store",
+    ZALO,
+    """SELECT zp_trans_id, 'TS' || (customer_id % 50) AS store_id, 'An "' || customer_id AS customer_name FROM zalo""",
+)
+_sql(
+    "malformed_events",
+    _cart(),
+    "SELECT event_id, ingest_ord, iso || '?' AS timestamp FROM cart WHERE ingest_ord % 97 = 0",
+)

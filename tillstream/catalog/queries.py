@@ -3,12 +3,24 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillstream.functions import epoch_millis, first_names, iso_timestamp, last_name
+from tillstream.functions import (
+    epoch_millis,
+    first_names,
+    half_even,
+    iso_text,
+    iso_timestamp,
+    last_name,
+    nearest,
+    padded,
+    usd_from_vnd,
+    vnd_from_usd,
+)
 from tillstream.operators import cart, cleaning, finders, keys, lookup, metrics, orders, payments, quality, sessions
 from tillstream.plans import pipeline, report
 from tillstream.plans.shared import Shared
@@ -289,7 +301,7 @@ def metrics_json(spark, d):
 @query
 def cart_statistics(spark, d):
     stats = cart.cart_statistics(_typed(spark, d, "day"))
-    return rounded(stats, "add_remove_exact", digits=6).drop("add_remove_ratio")
+    return rounded(stats, "add_remove_exact", digits=6)
 
 
 @query
@@ -307,16 +319,19 @@ def cart_items(spark, d):
     return cart.cart_items(_typed(spark, d))
 
 
-@query
-def abandoned_carts(spark, d):
+def _item_texts(carts: DataFrame) -> DataFrame:
     item = lambda i: F.concat_ws(":", i["product_name"], i["quantity"], i["price_vnd"])
-    carts = cart.abandoned_carts(_typed(spark, d), AS_OF, 24, 50)
     return carts.withColumn("cart_items", F.array_join(F.transform("cart_items", item), ","))
 
 
+@query
+def abandoned_carts(spark, d):
+    return _item_texts(cart.abandoned_carts(_typed(spark, d), AS_OF, 24, 50))
+
+
 @query
 def abandoned_carts_all(spark, d):
-    return cart.abandoned_carts(_typed(spark, d), AS_OF, 1, None).drop("cart_items")
+    return _item_texts(cart.abandoned_carts(_typed(spark, d), AS_OF, 1, None))
 
 
 # --- reads with filters ----------------------------------------------------------
@@ -568,7 +583,7 @@ def order_payment_counts(spark, d):
 
 @query
 def order_totals(spark, d):
-    return rounded(orders.order_totals(tt.online_orders(spark, d)), "conversion_exact").drop("conversion_rate")
+    return rounded(orders.order_totals(tt.online_orders(spark, d)), "conversion_exact")
 
 
 @query
@@ -597,7 +612,7 @@ def customer_channel_summary(spark, d):
 
 @query
 def momo_statistics(spark, d):
-    return rounded(payments.momo_statistics(tt.momo_transactions(spark, d)), "success_exact").drop("success_rate")
+    return rounded(payments.momo_statistics(tt.momo_transactions(spark, d)), "success_exact")
 
 
 @query
@@ -607,9 +622,7 @@ def momo_by_pay_type(spark, d):
 
 @query
 def zalopay_statistics(spark, d):
-    return rounded(payments.zalopay_statistics(tt.zalopay_transactions(spark, d)), "success_exact").drop(
-        "success_rate"
-    )
+    return rounded(payments.zalopay_statistics(tt.zalopay_transactions(spark, d)), "success_exact")
 
 
 @query
@@ -817,6 +830,115 @@ def id_format_check(spark, d):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+def _coded_orders(spark, d) -> DataFrame:
+    """Orders with ids of four kinds; some have too few digits, some a day that isn't one."""
+    day = "if(o_orderkey % 53 = 0, '20230231', date_format(o_orderdate, 'yyyyMMdd'))"
+    number = "substring(cast(1000000000 + o_orderkey as string), if(o_orderkey % 59 = 0, 8, 3))"
+    return tt.table(spark, d, "orders").selectExpr(
+        f"concat('TXN', {day}, {number}) as transaction_id",
+        f"concat('CN', substring({number}, 6)) as location_code",
+        f"concat('HD', substring({day}, 3), {number}) as pos_code",
+        f"concat('POS-', {number}) as pos_order_code",
+    )
+
+
+@query
+def code_format_check(spark, d):
+    """The other four formats."""
+    coded = _coded_orders(spark, d)
+    parts = [quality.id_format_check(coded, kind, kind).select(F.lit(kind).alias("kind"), F.col(kind).alias("bad_id")) for kind in coded.columns]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query
+def id_date_check(spark, d):
+    """Well-formed ids whose date doesn't exist."""
+    coded = _coded_orders(spark, d)
+    wallets = tt.zalopay_transactions(spark, d).select("app_trans_id")
+    shop = tt.shopify_orders(spark, d).select("order_number")
+    checked = [(coded, "transaction_id"), (coded, "pos_code"), (wallets, "app_trans_id"), (shop, "order_number")]
+    parts = [quality.id_date_check(df, kind, kind).select(F.lit(kind).alias("kind"), F.col(kind).alias("bad_id")) for df, kind in checked]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query
+def shop_usd_check(spark, d):
+    """Web-shop orders whose USD side was cut to cents, not rounded."""
+    recorded = tt.shopify_orders(spark, d).withColumn("subtotal_usd", F.expr("floor(subtotal_vnd / 240) / 100")).selectExpr(
+        "id", "shipping_vnd", "subtotal_usd", "floor(subtotal_usd * 10) / 100 as tax_usd", "floor(shipping_vnd / 240) / 100 as shipping_usd"
+    )
+    found = quality.shop_usd_check(recorded.withColumn("total_usd", F.expr("subtotal_usd + tax_usd + shipping_usd")))
+    return rounded(found, "total_usd")
+
+
+@query
+def money_columns(spark, d):
+    """Prices over to the other currency and back, and rounded to the thousand and to cents."""
+    vnd = F.col("price_vnd")
+    usd = usd_from_vnd(vnd)
+    return tt.products(spark, d).select(
+        "id", usd.alias("usd"), vnd_from_usd(usd).alias("vnd"), nearest(vnd, 1000).alias("thousands"), half_even(vnd / 8, 2).alias("eighth")
+    )
+
+
+@query
+def code_columns(spark, d):
+    """Numbers padded into codes, and times without their zone mark."""
+    return tt.cart_events(spark, d).where("customer_id is not null").select(
+        "event_id",
+        "ingest_ord",
+        padded("CUST", F.col("customer_id"), 4).alias("code"),
+        iso_text(F.concat("timestamp", F.lit("Z"))).alias("zulu"),
+        iso_text(F.concat("timestamp", F.lit("+00:00"))).alias("utc"),
+    )
+
+
+def _nested_orders(spark, d) -> DataFrame:
+    """Orders with their lines inside, and the subtotal that the lines record."""
+    lines = tt.order_lines(spark, d).withColumn("weight_kg", F.col("quantity") * 0.125)
+    line = F.struct("line_number", "product_id", "quantity", "unit_price", "discount_percent", "discount_amount", "line_total", "weight_kg")
+    return lines.groupBy("order_id").agg(
+        F.sort_array(F.collect_list(line)).alias("line_items"), F.sum("line_total").alias("subtotal"), F.min("ingest_ord").alias("ingest_ord")
+    )
+
+
+@query
+def nested_order_measures(spark, d):
+    return _nested_orders(spark, d).select("order_id", *[c.alias(n) for n, c in orders.line_measures().items()])
+
+
+@query
+def nested_subtotal_check(spark, d):
+    return quality.nested_subtotal_check(_nested_orders(spark, d)).select("order_id", "subtotal", "expected_subtotal")
+
+
+@query
+def exploded_lines(spark, d):
+    return orders.exploded_lines(_nested_orders(spark, d), ["order_id"]).select("order_id", "line_pos", "product_id", "quantity", "line_total")
+
+
+@query
+def pos_line_discounts(spark, d):
+    """Discounts of store lines, rounded half-even to the thousand."""
+    discount = quality.pos_line_discount(F.col("unit_price"), F.col("quantity"), F.col("discount_percent"))
+    return tt.order_lines(spark, d).select("order_id", "line_number", discount.alias("discount"))
+
+
+@query
+def embedded_store(spark, d):
+    """Store and customer out of the JSON text of wallet payments."""
+    tx = tt.zalopay_transactions(spark, d)
+    store = F.struct(F.concat(F.lit("TS"), F.col("customer_id") % 50).alias("store_id"), F.concat(F.lit('An "'), "customer_id").alias("customer_name"))
+    return payments.embedded_store(tx.withColumn("embed_data", F.to_json(F.struct(store.alias("columninfo")))))
+
+
+@query
+def malformed_events(spark, d):
+    """Raw events whose time can't be read."""
+    garbled = F.when(F.col("ingest_ord") % 97 == 0, F.concat("timestamp", F.lit("?"))).when(F.col("ingest_ord") % 89 != 0, F.col("timestamp"))
+    return cleaning.malformed_events(tt.cart_events(spark, d).withColumn("timestamp", garbled)).select("event_id", "ingest_ord", "timestamp")
+
+
 @query
 def duplicate_ids(spark, d):
     return quality.duplicate_ids(tt.cart_events(spark, d), "event_id")
@@ -905,7 +1027,10 @@ def pipeline_summary_csv(spark, d):
     csv = spark.read.option("header", True).schema(
         "date string, total_events bigint, unique_sessions bigint, unique_customers bigint, event_type_distribution string"
     )
-    return csv.csv(out).select("date", "total_events", "unique_sessions", "unique_customers")
+    pairs = F.map_entries(F.from_json("event_type_distribution", "map<string, bigint>"))
+    texts = F.transform(pairs, lambda e: F.concat_ws(":", e["key"], e["value"]))
+    # quotes inside a field are escaped by a backslash, Spark's default on both sides
+    return csv.csv(out).withColumn("event_type_distribution", F.array_join(F.array_sort(texts), ","))
 
 
 @query

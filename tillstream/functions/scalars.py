@@ -72,8 +72,27 @@ def nearest(c: Column, unit: int) -> Column:
     return (F.bround(c / F.lit(unit)) * unit).cast("bigint")
 
 
+def half_even(c: Column, digits: int) -> Column:
+    """A double rounded to ``digits`` decimals by its exact binary value, ties to the even digit.
+
+    2.675 is a little less than its text says, so it gives 2.67; 0.125 is a tie and gives 0.12. The
+    product with the power of ten is split into its rounded value and its exact rest, which decides
+    where the rounded value looks like a tie. Beyond 2^52 / 10^digits it rounds the decimal text.
+    """
+    c, scale = c.cast("double"), F.lit(float(10**digits))
+    product = c * scale
+    wide = c * F.lit(134217729.0)  # 2^27 + 1 cuts a double into two halves whose products are exact
+    high = wide - (wide - c)
+    rest = (high * scale - product) + (c - high) * scale
+    whole = F.floor(product)
+    above = product - whole.cast("double")
+    up = (above > 0.5) | ((above == 0.5) & ((rest > 0) | ((rest == 0) & (F.pmod(whole, F.lit(2)) == 1))))
+    exact = (whole + F.when(up, 1).otherwise(0)).cast("double") / scale
+    return F.when(F.abs(product) < float(2**52), exact).otherwise(F.bround(c, digits))
+
+
 def usd_from_vnd(c: Column, rate: int = VND_PER_USD) -> Column:
-    return F.bround(c / F.lit(rate), 2)
+    return half_even(c / F.lit(rate), 2)
 
 
 def vnd_from_usd(c: Column, rate: int = VND_PER_USD) -> Column:

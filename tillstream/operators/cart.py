@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillstream.functions import epoch_seconds, seconds_between, truncated
+from tillstream.functions import epoch_seconds, half_even, seconds_between, truncated
 from tillstream.operators.ranges import numbered_in_order
 from tillstream.operators.ranking import top_k
 
@@ -40,7 +40,7 @@ def cart_statistics(events: DataFrame) -> DataFrame:
             "add_remove_exact",
             F.coalesce(F.try_divide("add_events", "remove_events"), F.col("add_events").cast("double")),
         )
-        .withColumn("add_remove_ratio", F.bround("add_remove_exact", 2))
+        .withColumn("add_remove_ratio", half_even(F.col("add_remove_exact"), 2))
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillstream.functions import ratio, truncated
+from tillstream.functions import half_even, ratio, truncated
 from tillstream.operators.ranking import top_k
 
 def _completed() -> Column:
@@ -37,7 +37,7 @@ def line_measures(items: Column = None) -> dict[str, Column]:
         "item_count": F.size(items),
         "total_quantity": add("quantity").cast("bigint"),
         "discount_total": add("discount_amount").cast("bigint"),
-        "total_weight_kg": F.bround(add("weight_kg"), 2),
+        "total_weight_kg": half_even(add("weight_kg"), 2),
     }
 
 
@@ -74,7 +74,7 @@ def order_totals(orders: DataFrame) -> DataFrame:
         )
         .withColumn("average_order_value_vnd", _average("total_revenue_vnd", "completed_orders"))
         .withColumn("conversion_exact", ratio(F.col("completed_orders") * F.lit(100.0), F.col("total_orders")))
-        .withColumn("conversion_rate", F.bround("conversion_exact", 2))
+        .withColumn("conversion_rate", half_even(F.col("conversion_exact"), 2))
     )
 
 

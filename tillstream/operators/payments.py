@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillstream.functions import ratio, truncated
+from tillstream.functions import half_even, ratio, truncated
 
 # Wallet channel names.
 CHANNEL_NAMES = [
@@ -29,7 +29,7 @@ def _success_columns(df: DataFrame, count: str, total: str) -> DataFrame:
     return (
         df.withColumn("average_amount_vnd", truncated(ratio(F.col(total), F.col(count))))
         .withColumn("success_exact", ratio(F.col(count) * F.lit(100.0), F.col("total_transactions")))
-        .withColumn("success_rate", F.bround("success_exact", 2))
+        .withColumn("success_rate", half_even(F.col("success_exact"), 2))
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillstream.functions import VND_PER_USD, nearest, sha256_of, truncated
+from tillstream.functions import VND_PER_USD, half_even, nearest, sha256_of, truncated, usd_from_vnd
 
 # The rates, signs and id formats of the rules.
 VAT_RATE = 0.1
@@ -22,6 +22,14 @@ ID_FORMATS = {
     "app_trans_id": r"^\d{6}_\d{6}$",
 }
 
+#: Where an id has its date, and the date's form.
+ID_DATES = {
+    "transaction_id": (r"^TXN(\d{8})", "yyyyMMdd"),
+    "order_number": (r"^ORD-(\d{8})", "yyyyMMdd"),
+    "pos_code": (r"^HD(\d{6})", "yyMMdd"),
+    "app_trans_id": (r"^(\d{6})_", "yyMMdd"),
+}
+
 
 def _share(amount: Column, percent: Column) -> Column:
     """Whole-unit part of a percentage, exact on whole numbers."""
@@ -107,6 +115,15 @@ def shop_pricing_check(orders: DataFrame) -> DataFrame:
     )
 
 
+def shop_usd_check(orders: DataFrame, tolerance: float = 0.005) -> DataFrame:
+    """Web-shop orders whose USD tax, shipping or total isn't the rule's, rounded to cents."""
+    tax = half_even(F.col("subtotal_usd") * F.lit(VAT_RATE), 2)
+    total = half_even(F.col("subtotal_usd") + F.col("tax_usd") + F.col("shipping_usd"), 2)
+    expected = {"expected_tax_usd": tax, "expected_shipping_usd": usd_from_vnd(F.col("shipping_vnd")), "expected_total_usd": total}
+    off = lambda name: F.abs(F.col(name) - F.col(f"expected_{name}")) > tolerance
+    return orders.withColumns(expected).filter(off("tax_usd") | off("shipping_usd") | off("total_usd"))
+
+
 def fx_check(df: DataFrame, vnd: str, usd: str, tolerance: float = 0.011, rate: int = VND_PER_USD) -> DataFrame:
     """Rows whose USD amount is not the VND amount at the fixed rate."""
     return df.withColumn("expected_usd", F.col(vnd) / F.lit(rate)).filter(
@@ -162,6 +179,13 @@ def id_format_check(df: DataFrame, column: str, kind: str) -> DataFrame:
     return df.filter(~F.coalesce(F.col(column).rlike(ID_FORMATS[kind]), F.lit(False)))
 
 
+def id_date_check(df: DataFrame, column: str, kind: str) -> DataFrame:
+    """Rows whose id has its format, but no valid date where the format has one."""
+    pattern, form = ID_DATES[kind]
+    day = F.try_to_timestamp(F.regexp_extract(column, pattern, 1), F.lit(form))
+    return df.filter(F.col(column).rlike(ID_FORMATS[kind]) & day.isNull())
+
+
 def duplicate_ids(df: DataFrame, column: str) -> DataFrame:
     """Ids used more than once, with the number of uses."""
     return df.groupBy(column).agg(F.count(F.lit(1)).alias("uses")).filter("uses > 1")
