@@ -275,6 +275,7 @@ _sql(
   count(DISTINCT session_id) AS unique_sessions, count(DISTINCT customer_id) AS unique_customers,
   CAST(min(d) AS VARCHAR) AS first_date, CAST(max(d) AS VARCHAR) AS last_date FROM dedup""",
 )
+ORACLES["pipeline_run_statistics"] = ORACLES["run_statistics"]
 _sql(
     "event_sequence",
     *PREPARED,
@@ -1096,7 +1097,7 @@ ORACLES["stream_json_files"] = ORACLES["stream_cleaned_events"]
 _sql(
     "stream_session_totals",
     *SESSIONS,
-    f"""SELECT session_id, {_at('session_start')}, {_at('session_end')}, total_events, session_duration_seconds FROM sess""",
+    SESSION_OUT,
 )
 ISLANDS = """
 gaps AS (
@@ -1157,6 +1158,14 @@ _sql(
 FROM numbered n JOIN newest w ON n.file = w.file WHERE n.ts <= w.known - INTERVAL 1 HOUR""",
 )
 
+_sql(
+    "stream_progress",
+    _cart("user"),
+    ARRIVAL,
+    """SELECT count(*) AS input_rows, count(*) FILTER (WHERE n.ts <= w.known - INTERVAL 1 HOUR) AS late_rows
+FROM numbered n JOIN newest w ON n.file = w.file""",
+)
+
 # --- codes, money, nested lines ----------------------------------------------------
 
 CODED = """

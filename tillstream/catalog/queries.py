@@ -27,7 +27,7 @@ from tillstream.plans.shared import Shared
 from tillstream.session import apply_settings, materialise, scratch_path
 from tillstream.sources import readers, sinks
 from tillstream.sources import testtables as tt
-from tillstream.streaming import activity, ingest
+from tillstream.streaming import activity, ingest, progress
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -985,6 +985,13 @@ def pipeline_events_table(spark, d):
     return readers.read_table(spark, paths[pipeline.EVENTS]).select(*ENRICHED)
 
 
+@query
+def pipeline_run_statistics(spark, d):
+    """The counters that the run itself observes."""
+    paths = pipeline.run_transformation(tt.cart_events(spark, d), scratch_path(spark, "pipeline"))
+    return readers.read_table(spark, paths[pipeline.STATISTICS])
+
+
 @query
 def pipeline_rerun_smaller(spark, d):
     """A run over everything, then one over fewer dates into the same folder: the second is all there is."""
@@ -1118,6 +1125,20 @@ def stream_run_counters(spark, d):
     return ingest.run_counters(spark, counters)
 
 
+@query
+def stream_progress(spark, d):
+    """What the micro-batches of the late carts report: rows that came in, and rows dropped as late."""
+    folder = scratch_path(spark, "progress")
+    log = progress.ProgressLog(spark, folder)
+    spark.streams.addListener(log)
+    try:
+        _carts_left(spark, d, "1 hour")
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    finally:
+        spark.streams.removeListener(log)
+    return progress.totals(progress.read_progress(spark, folder)).select("input_rows", "late_rows")
+
+
 @query
 def stream_late_events(spark, d):
     """Events more than a day behind the newest of the deliveries before theirs."""

@@ -61,6 +61,7 @@ def session_pieces(events: DataFrame, piece_events: int = PIECE_EVENTS) -> DataF
             F.max("timestamp").alias("last_time"),
             F.bool_or(F.col("event_type") == "purchase").alias("purchased"),
             steps["event_type"].alias("types"),
+            *([F.collect_set("customer_id").alias("customers")] if "customer_id" in firsts else []),
             *[earliest(c) for c in firsts],
         )
     )

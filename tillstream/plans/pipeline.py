@@ -4,19 +4,22 @@ from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
-from tillstream.operators.cleaning import new_events, prepared_events
+from tillstream.operators.cleaning import is_valid, new_events, prepared_events
 from tillstream.operators.metrics import daily_summary
+from tillstream.operators.ranking import one_row
 from tillstream.operators.sessions import enrich_events, session_metrics, session_pieces
-from tillstream.session import materialise
+from tillstream.session import materialise, observed
 from tillstream.sources.sinks import write_csv, write_partitioned, write_table
 
-EVENTS, SESSIONS, PIECES, SUMMARY = (
+EVENTS, SESSIONS, PIECES, SUMMARY, STATISTICS = (
     "cart_events_cleaned",
     "session_metrics.parquet",
     "session_pieces.parquet",
     "transformation_summary.csv",
+    "run_statistics.parquet",
 )
 
 
@@ -34,16 +37,24 @@ def run_transformation(raw: DataFrame, out_dir: str) -> dict[str, str]:
     ``journey_parts`` reads whole journeys from them). The other outputs read only the
     columns they need from these, and work lost with an executor is redone from there.
     They are independent jobs, submitted together to fill each other's idle slots.
+    The run's counters are observed while the first table is written; sessions and
+    customers are counted on the pieces.
     """
     spark = raw.sparkSession
-    paths = {name: f"{out_dir}/{name}" for name in (EVENTS, SESSIONS, PIECES, SUMMARY)}
-    events = materialise(prepared_events(raw), "prepared-events")
+    paths = {name: f"{out_dir}/{name}" for name in (EVENTS, SESSIONS, PIECES, SUMMARY, STATISTICS)}
+    seen, kept = Observation(), Observation()
+    valid = F.coalesce(is_valid(), F.lit(False))
+    incoming = [F.count(F.lit(1)).alias("processed_events"), F.count_if(valid).alias("valid_events")]
+    left = [F.count(F.lit(1)).alias("cleaned_events"), F.min("date").alias("first_date"), F.max("date").alias("last_date")]
+    events = materialise(prepared_events(raw.observe(seen, *incoming)).observe(kept, *left), "prepared-events")
+    counts = {**observed(seen, raw, *incoming), **observed(kept, events, *left)}
     write_table(session_pieces(events), paths[PIECES])
     pieces = spark.read.parquet(paths[PIECES])
     outputs = [
         lambda: write_partitioned(enrich_events(events, pieces=pieces), paths[EVENTS]),
         lambda: write_table(session_metrics(None, pieces=pieces), paths[SESSIONS]),
         lambda: write_csv(daily_summary(events), paths[SUMMARY]),
+        lambda: write_table(_statistics(counts, pieces), paths[STATISTICS]),
     ]
     with ThreadPoolExecutor(len(outputs)) as pool:
         for job in [pool.submit(write) for write in outputs]:
@@ -51,6 +62,26 @@ def run_transformation(raw: DataFrame, out_dir: str) -> dict[str, str]:
     return paths
 
 
+def _statistics(counts: dict, pieces: DataFrame) -> DataFrame:
+    """One row, as ``run_statistics`` counts it, from what the run observed and its pieces."""
+    whole = lambda n, name: F.lit(n).cast("bigint").alias(name)
+    day = lambda name: F.lit(counts[name]).cast("date").alias(name)
+    customers = pieces.select(F.explode("customers").alias("customer_id"))
+    return one_row(
+        pieces.agg(F.count_distinct("session_id").alias("unique_sessions")),
+        customers.agg(F.count_distinct("customer_id").alias("unique_customers")),
+    ).select(
+        whole(counts["processed_events"], "processed_events"),
+        whole(counts["processed_events"] - counts["valid_events"], "invalid_events"),
+        whole(counts["valid_events"] - counts["cleaned_events"], "duplicate_events"),
+        whole(counts["cleaned_events"], "cleaned_events"),
+        "unique_sessions",
+        "unique_customers",
+        day("first_date"),
+        day("last_date"),
+    )
+
+
 def append_events(spark: SparkSession, raw: DataFrame, out_dir: str) -> None:
     """Append a batch's new events (ids already there are skipped) and bring all tables up to date.
 

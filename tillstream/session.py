@@ -6,7 +6,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 # Settings the operators rely on. Sizes (partition counts, memory) belong to the cluster.
 ENGINE_SETTINGS = {
@@ -65,6 +66,18 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def observed(observation: Observation, df: DataFrame, *counts: Column) -> dict:
+    """What ``observation`` saw of ``df`` while it was written.
+
+    Where the optimizer learns that a result is empty it leaves out the plan below, and what was to be
+    observed there with it; then ``counts`` are taken from ``df`` plainly.
+    """
+    try:
+        return observation.get
+    except Py4JJavaError:
+        return df.agg(*counts).first().asDict()
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as parquet in the shared folder and read it back.
 

@@ -17,12 +17,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from tillstream.functions import iso_timestamp_or_null, seconds_between
+from tillstream.functions import iso_timestamp_or_null
 from tillstream.operators.cleaning import clean_events, dedup_events, is_valid, new_events
-from tillstream.operators.ranking import first_per_key, numbered_in_segments, one_row
+from tillstream.operators.ranking import first_per_key, numbered_in_segments
 from tillstream.operators.sessions import (
     _ORDER,
     _collected_types,
@@ -32,7 +32,7 @@ from tillstream.operators.sessions import (
     _segment,
     session_pieces,
 )
-from tillstream.session import materialise
+from tillstream.session import materialise, observed
 from tillstream.sources.readers import path_exists, with_rows
 from tillstream.streaming.idstore import IdStore
 
@@ -51,24 +51,47 @@ def dedup_stream(events: DataFrame, delay: str | None = None) -> DataFrame:
     return events.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def session_totals(events: DataFrame) -> DataFrame:
-    """Running start, end and size per session (for update or complete mode).
+def session_totals(events: DataFrame, journey: bool = True, gap: str | None = None, delay: str | None = None) -> DataFrame:
+    """Running sessions with all columns of the batch form (for update or complete mode).
 
-    State per session is three numbers, whatever the session's length.
+    The state of a session is a few values: its span, size and first known customer, source and
+    device by (time, position). With ``journey`` it is also the steps so far, in a list that grows
+    with the session, as the result's journey does. Steps may come in any order; the journey is
+    always in order of time. With a ``gap`` (append mode) a session has one row, when it has been inactive
+    for it and the watermark, ``delay`` behind the newest event, has passed; it then leaves the state, and
+    what comes later is a session anew.
     """
-    return (
-        events.groupBy("session_id")
-        .agg(
-            F.min("event_time").alias("session_start"),
-            F.max("event_time").alias("session_end"),
-            F.count(F.lit(1)).alias("total_events"),
-        )
-        .withColumn("session_duration_seconds", seconds_between(F.col("session_start"), F.col("session_end")))
+    key = [F.col("session_id")]
+    if gap is not None:
+        events = events.withWatermark("event_time", delay)
+        key.append(F.session_window("event_time", gap).alias("window"))
+    firsts = ("customer_id", "source", "device")
+    earliest = {c: F.min(F.when(F.col(c).isNotNull(), F.struct(*_ORDER, c))).alias(f"first_{c}") for c in firsts}
+    totals = events.groupBy(*key).agg(
+        F.min("timestamp").alias("session_start"),
+        F.max("timestamp").alias("session_end"),
+        F.count(F.lit(1)).alias("total_events"),
+        *([F.collect_list(F.struct(*_ORDER, "event_type")).alias("steps")] if journey else []),
+        F.bool_or(F.col("event_type") == "purchase").alias("has_purchase_event"),
+        *earliest.values(),
+    )
+    path = F.array_join(F.transform(F.sort_array("steps"), lambda s: s["event_type"]), ",").alias("event_journey")
+    return totals.select(
+        "session_id",
+        "session_start",
+        "session_end",
+        "total_events",
+        *([path] if journey else []),
+        *[F.col(f"first_{c}")[c].alias(c) for c in firsts],
+        _duration(),
+        F.lit(False).alias("has_purchase"),
+        "has_purchase_event",
     )
 
 
 def run_available(writer, checkpoint: str) -> None:
-    """Run a stream writer over everything there is now, then stop."""
+    """Run a stream writer over everything there is now, then stop; a ``ProgressLog`` added to the
+    session's streams stores what each micro-batch reports."""
     writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
@@ -112,28 +135,31 @@ def exact_writer(out_dir: str, aside_dir: str | None = None, counters_dir: str |
         spark = raw.sparkSession
         own = f"{out_dir}/batch_id={batch_id}"
         ids = IdStore(spark, out_dir.rstrip("/") + "-ids")
+        unread = is_valid() & iso_timestamp_or_null(F.col("timestamp")).isNull()
+        # The counters are taken by the writes themselves: no row is read for them again.
+        seen, kept = Observation(), Observation()
+        incoming = [
+            F.count(F.lit(1)).alias("processed_events"),
+            F.count_if(~F.coalesce(is_valid(), F.lit(False))).alias("invalid_events"),
+            F.count_if(F.coalesce(unread, F.lit(False))).alias("unreadable_events"),
+        ]
+        left = F.count(F.lit(1)).alias("stored_events")
+        counted = raw.observe(seen, *incoming)
         # the batch's ids are looked up before its rows are written
-        events = materialise(dedup_events(clean_events(with_rows(raw), strict=aside_dir is None)), "micro-batch")
+        events = materialise(dedup_events(clean_events(with_rows(counted), strict=aside_dir is None)), "micro-batch")
         schema = events.schema
-        seen = ids.seen(events.select(F.col("event_id").alias("id")), batch_id)
-        events = new_events(events, seen.select(F.col("id").alias("event_id")))
-        events.write.mode("overwrite").partitionBy("date").parquet(own)
-        ids.add(spark.read.schema(schema).parquet(own).select(F.col("event_id").alias("id")), batch_id)
+        known = ids.seen(events.select(F.col("event_id").alias("id")), batch_id)
+        events = new_events(events, known.select(F.col("id").alias("event_id")))
+        events.observe(kept, left).write.mode("overwrite").partitionBy("date").parquet(own)
+        stored = spark.read.schema(schema).parquet(own)
+        ids.add(stored.select(F.col("event_id").alias("id")), batch_id)
         if aside_dir is not None:
             unreadable_events(raw).write.mode("overwrite").parquet(f"{aside_dir}/batch_id={batch_id}")
         if counters_dir is not None:
-            unread = is_valid() & iso_timestamp_or_null(F.col("timestamp")).isNull()
-            seen = raw.agg(
-                F.count(F.lit(1)).alias("processed_events"),
-                F.count_if(~F.coalesce(is_valid(), F.lit(False))).alias("invalid_events"),
-                F.count_if(unread).alias("unreadable_events"),
-            )
-            kept = spark.read.schema(schema).parquet(own).agg(F.count(F.lit(1)).alias("stored_events"))
-            counts = one_row(seen, kept).withColumn(
-                "duplicate_events",
-                F.expr("processed_events - invalid_events - unreadable_events - stored_events"),
-            )
-            counts.write.mode("overwrite").parquet(f"{counters_dir}/batch_id={batch_id}")
+            counts = {**observed(seen, raw, *incoming), **observed(kept, stored, left)}
+            counts["duplicate_events"] = 2 * counts["processed_events"] - sum(counts.values())
+            row = spark.range(1).select(*[F.lit(n).cast("bigint").alias(name) for name, n in counts.items()])
+            row.write.mode("overwrite").parquet(f"{counters_dir}/batch_id={batch_id}")
 
     return write
 
