@@ -1260,3 +1260,21 @@ _sql(
     _cart(),
     "SELECT event_id, ingest_ord, iso || '?' AS timestamp FROM cart WHERE ingest_ord % 97 = 0",
 )
+
+# --- numbered files and pages ------------------------------------------------------
+
+_sql(
+    "batched_files",
+    CUSTOMERS,
+    """SELECT id, full_name, city, country, (id - 1) // 200 AS batch, row_number() OVER (PARTITION BY (id - 1) // 200 ORDER BY id) AS place
+FROM customers""",
+)
+_sql("converted_batch", CUSTOMERS, "SELECT id, full_name, city, country FROM customers WHERE (id - 1) // 200 = 3")
+_sql("path_fallback", CUSTOMERS, "SELECT id, full_name FROM customers WHERE (id - 1) // 200 = 1")
+_sql("deep_page", ONLINE, f"{ORDER_OUT} ORDER BY created_at DESC, ingest_ord LIMIT 50 OFFSET 12450")
+_sql(
+    "page_after",
+    ONLINE,
+    f"""{ORDER_OUT} WHERE status = 'completed' AND (created_at < '1995-06-01T00:00:00' OR (created_at = '1995-06-01T00:00:00' AND ingest_ord > 0))
+ORDER BY created_at DESC, ingest_ord LIMIT 50""",
+)

@@ -6,6 +6,7 @@ from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,7 +22,7 @@ from tillstream.functions import (
     usd_from_vnd,
     vnd_from_usd,
 )
-from tillstream.operators import cart, cleaning, finders, keys, lookup, metrics, orders, payments, quality, sessions
+from tillstream.operators import cart, cleaning, finders, keys, lookup, metrics, orders, pages, payments, quality, sessions
 from tillstream.plans import pipeline, report
 from tillstream.plans.shared import Shared
 from tillstream.session import apply_settings, materialise, scratch_path
@@ -1059,6 +1060,64 @@ def guarded_append(spark, d):
     return readers.read_table(spark, out).select(*ORDER_COLUMNS)
 
 
+def _array_files(spark, d, folder) -> None:
+    """Customers as numbered files of one JSON array each, by their number."""
+    rows = tt.customers(spark, d).selectExpr("id", "full_name", "city", "country", f"(id - 1) div {readers.CUSTOMER_BATCH // 50} as batch")
+    texts = rows.groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("id", F.to_json(F.struct("id", "full_name", "city", "country")).alias("j"))))["j"].alias("all"))
+    whole = materialise(texts.select("batch", F.concat(F.lit("["), F.array_join("all", ","), F.lit("]")).alias("value")), "arrays")
+    for n in sorted(r["batch"] for r in whole.select("batch").collect()):
+        whole.where(F.col("batch") == n).select("value").coalesce(1).write.text(f"{folder}/customers_batch_{n}.json")
+
+
+@query
+def batched_files(spark, d):
+    """All numbered array files of a table, with the file each row came from and its place there."""
+    folder = scratch_path(spark, "batched")
+    _array_files(spark, d, folder)
+    rows = readers.read_batched(spark, "customers", folder)
+    place = F.row_number().over(W.partitionBy("batch").orderBy("ingest_ord"))
+    return rows.select("id", "full_name", "city", "country", "batch", place.alias("place"))
+
+
+@query
+def converted_batch(spark, d):
+    """One batch out of the converted table: a filter on its folder."""
+    folder, out = scratch_path(spark, "batched"), scratch_path(spark, "converted")
+    _array_files(spark, d, folder)
+    readers.convert_batched(spark, "customers", folder, out)
+    return readers.read_converted(spark, out, 3).select("id", "full_name", "city", "country")
+
+
+@query
+def path_fallback(spark, d):
+    """The first place that exists: an absent one before the older one, and nothing where none does."""
+    folder = scratch_path(spark, "batched")
+    _array_files(spark, d, folder)
+    found = readers.read_json_arrays(spark, "customers", f"{folder}/new/*.json", f"{folder}/customers_batch_1.json")
+    none = readers.read_json_arrays(spark, "customers", f"{folder}/nowhere/*.json")
+    return found.unionByName(none).select("id", "full_name")
+
+
+PAGE_ORDER = [("created_at", False), ("ingest_ord", True)]
+
+
+@query
+def deep_page(spark, d):
+    """Page 250 of the orders, newest first, out of the one range that holds it."""
+    path = scratch_path(spark, "pages")
+    pages.write_pages(tt.online_orders(spark, d), PAGE_ORDER, path, 32)
+    return pages.read_page(spark, path, PAGE_ORDER, 50, 249 * 50).select(*ORDER_COLUMNS)
+
+
+@query
+def page_after(spark, d):
+    """The completed orders that follow a given row."""
+    path = scratch_path(spark, "pages")
+    pages.write_pages(tt.online_orders(spark, d), PAGE_ORDER, path, 32)
+    cursor = {"created_at": "1995-06-01T00:00:00", "ingest_ord": 0}
+    return pages.read_page(spark, path, PAGE_ORDER, 50, after=cursor, where=F.col("status") == "completed").select(*ORDER_COLUMNS)
+
+
 STREAM_COLUMNS = ["event_id", "session_id", "event_type", "timestamp", "date", "hour", "utm_source", "referrer"]
 
 DELIVERIES = 4

@@ -85,6 +85,20 @@ def read_batched(spark: SparkSession, entity: str, folder: str, batch: int | Non
     return df.withColumn("batch", F.regexp_extract("ingest_ord.file", r"_batch_(\d+)\.json", 1).try_cast("bigint"))
 
 
+def convert_batched(spark: SparkSession, entity: str, folder: str, out: str) -> None:
+    """Numbered array files as one parquet table with a folder for each batch.
+
+    An array file is one task and read whole; after this, a filter on ``batch`` opens that folder only.
+    """
+    read_batched(spark, entity, folder).write.mode("overwrite").partitionBy("batch").parquet(out)
+
+
+def read_converted(spark: SparkSession, out: str, batch: int | None = None) -> DataFrame:
+    """The converted table, or one batch of it."""
+    table = spark.read.parquet(out)
+    return table if batch is None else table.where(F.col("batch") == batch)
+
+
 def batch_of_customer(customer_id: int) -> int:
     return (customer_id - 1) // CUSTOMER_BATCH
 
