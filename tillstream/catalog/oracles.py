@@ -1166,6 +1166,9 @@ _sql(
 FROM numbered n JOIN newest w ON n.file = w.file""",
 )
 
+ORACLES["published_events"] = ORACLES["pipeline_append"]
+ORACLES["published_summary"] = ORACLES["pipeline_summary_csv"]
+
 # --- codes, money, nested lines ----------------------------------------------------
 
 CODED = """

@@ -23,7 +23,7 @@ from tillstream.functions import (
     vnd_from_usd,
 )
 from tillstream.operators import cart, cleaning, finders, keys, lookup, metrics, orders, pages, payments, quality, sessions
-from tillstream.plans import pipeline, report
+from tillstream.plans import pipeline, report, versions
 from tillstream.plans.shared import Shared
 from tillstream.session import apply_settings, materialise, scratch_path
 from tillstream.sources import readers, sinks
@@ -1021,6 +1021,29 @@ def pipeline_append_sessions(spark, d):
     return readers.read_table(spark, f"{_appended(spark, d)}/{pipeline.SESSIONS}")
 
 
+def _published(spark, d) -> str:
+    """The first days as a published run, then two batches; sessions span them."""
+    out, raw = scratch_path(spark, "published"), tt.cart_events(spark, d)
+    early, late = F.col("timestamp") < "2024-01-16", F.col("timestamp") >= "2024-01-24"
+    versions.publish_run(raw.where(early), out)
+    versions.publish_append(spark, raw.where(~early & ~late), out)
+    versions.publish_append(spark, raw.where(late | F.col("timestamp").isNull()), out)
+    return out
+
+
+@query
+def published_events(spark, d):
+    return versions.published_events(spark, _published(spark, d)).select(*ENRICHED)
+
+
+@query
+def published_summary(spark, d):
+    """The summary after two batches, each of which computed its own dates."""
+    found = versions.published_table(spark, _published(spark, d), pipeline.SUMMARY)
+    counts = [F.col(c).cast("bigint").alias(c) for c in ("total_events", "unique_sessions", "unique_customers")]
+    return found.select("date", *counts, _kinds("event_type_distribution").alias("event_type_distribution"))
+
+
 @query
 def pipeline_session_table(spark, d):
     out = scratch_path(spark, "sessions")
@@ -1028,6 +1051,12 @@ def pipeline_session_table(spark, d):
     return readers.read_table(spark, out)
 
 
+def _kinds(column: str):
+    """A written map of counts as sorted text."""
+    pairs = F.map_entries(F.from_json(column, "map<string, bigint>"))
+    return F.array_join(F.array_sort(F.transform(pairs, lambda e: F.concat_ws(":", e["key"], e["value"]))), ",")
+
+
 @query
 def pipeline_summary_csv(spark, d):
     out = scratch_path(spark, "summary")
@@ -1035,10 +1064,8 @@ def pipeline_summary_csv(spark, d):
     csv = spark.read.option("header", True).schema(
         "date string, total_events bigint, unique_sessions bigint, unique_customers bigint, event_type_distribution string"
     )
-    pairs = F.map_entries(F.from_json("event_type_distribution", "map<string, bigint>"))
-    texts = F.transform(pairs, lambda e: F.concat_ws(":", e["key"], e["value"]))
     # quotes inside a field are escaped by a backslash, Spark's default on both sides
-    return csv.csv(out).withColumn("event_type_distribution", F.array_join(F.array_sort(texts), ","))
+    return csv.csv(out).withColumn("event_type_distribution", _kinds("event_type_distribution"))
 
 
 @query

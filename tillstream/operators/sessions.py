@@ -26,7 +26,8 @@ _PIECE = ["session_id", "segment", "piece"]
 
 
 def _segment() -> Column:
-    return F.floor(epoch_seconds(F.col("timestamp")) / SEGMENT_SECONDS)
+    """The hour; events without a time are in a segment of their own, before all others."""
+    return F.coalesce(F.floor(epoch_seconds(F.col("timestamp")) / SEGMENT_SECONDS), F.lit(-(1 << 62)))
 
 
 def _in_segments(events: DataFrame) -> DataFrame:

@@ -82,22 +82,30 @@ def _statistics(counts: dict, pieces: DataFrame) -> DataFrame:
     )
 
 
-def append_events(spark: SparkSession, raw: DataFrame, out_dir: str) -> None:
-    """Append a batch's new events (ids already there are skipped) and bring all tables up to date.
+def touched_by(raw: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What a batch of raw events changes in the stored events: the ids of the sessions that get new
+    events, these sessions' pieces, and all rows of the dates on which they have events.
 
-    Sessions that the batch touches are computed anew from their stored and new events. Only the
-    dates on which such a session has events are rewritten; the other sessions keep their rows.
+    All is written apart: a table being read must not change under a write.
     """
-    paths = {name: f"{out_dir}/{name}" for name in (EVENTS, SESSIONS, PIECES, SUMMARY)}
-    stored = spark.read.parquet(paths[EVENTS])
-    # Materialised first, here and below: a table being read must not change under the write.
     fresh = materialise(new_events(prepared_events(raw), stored.select("event_id")), "append-events")
     touched = fresh.select("session_id").distinct()
     again = stored.join(touched, "session_id", "left_semi").select(*fresh.columns).unionByName(fresh)
     again = materialise(again, "touched-events")
     pieces = materialise(session_pieces(again), "touched-pieces")
-    others = stored.join(again.select("date").distinct(), "date", "left_semi").join(touched, "session_id", "left_anti")
-    rows = materialise(others.unionByName(enrich_events(again, pieces=pieces)), "touched-dates")
+    dates = again.select(F.col("date").alias("_date")).distinct()  # one may be missing
+    others = stored.join(dates, stored["date"].eqNullSafe(dates["_date"]), "left_semi").join(touched, "session_id", "left_anti")
+    return touched, pieces, materialise(others.unionByName(enrich_events(again, pieces=pieces)), "touched-dates")
+
+
+def append_events(spark: SparkSession, raw: DataFrame, out_dir: str) -> None:
+    """Append a batch's new events (ids already there are skipped) and bring all tables up to date.
+
+    Sessions that the batch touches are computed anew from their stored and new events. Only the
+    dates on which such a session has events are rewritten; the other sessions keep their rows.
+    """
+    paths = {name: f"{out_dir}/{name}" for name in (EVENTS, SESSIONS, PIECES, SUMMARY)}
+    touched, pieces, rows = touched_by(raw, spark.read.parquet(paths[EVENTS]))
     write_partitioned(rows, paths[EVENTS], only_present=True)
     for name, new in ((SESSIONS, session_metrics(None, pieces=pieces)), (PIECES, pieces)):
         kept = spark.read.parquet(paths[name]).join(touched, "session_id", "left_anti")

@@ -40,10 +40,14 @@ def append_sorted(df: DataFrame, path: str, order: list) -> None:
     df.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("append").parquet(path)
 
 
+def flat(df: DataFrame) -> DataFrame:
+    """Maps, structs and arrays as JSON text."""
+    return df.select(*[F.to_json(c).alias(c) if t.startswith(("map", "struct", "array")) else F.col(c) for c, t in df.dtypes])
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """CSV with a header; map columns become JSON text."""
-    flat = [F.to_json(c).alias(c) if t.startswith(("map", "struct", "array")) else F.col(c) for c, t in df.dtypes]
-    df.select(*flat).write.mode("overwrite").option("header", True).csv(path)
+    flat(df).write.mode("overwrite").option("header", True).csv(path)
 
 
 def write_json_lines(df: DataFrame, path: str, mode: str = "overwrite") -> None:
