@@ -3,7 +3,8 @@
 ``BENCH_SF_DIR`` (default /root/testdata/sf0.1) and ``BENCH_CPUS`` (default 8) choose data
 and cores. Every query runs to its last row into a sink that drops the rows; the value is
 the median of three runs after a warm-up. ``pipeline_*`` time the whole event transformation,
-files written, on the event table copied up to that many raw events.
+files written, on the event table copied up (or cut) to that many raw events; ``pipeline_gz_json_*``
+the same from gzipped JSON lines, ``aggregation_*`` the report over the files of the last pipeline.
 """
 
 from __future__ import annotations
@@ -20,8 +21,11 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from tillstream.catalog.queries import QUERIES  # noqa: E402
 from tillstream.plans.pipeline import run_transformation  # noqa: E402
+from tillstream.plans.report import run_aggregation  # noqa: E402
 from tillstream.session import build_session, scratch_path  # noqa: E402
 from tillstream.sources import testtables as tt  # noqa: E402
+from tillstream.sources.readers import read_json_lines  # noqa: E402
+from tillstream.sources.sinks import write_json_lines  # noqa: E402
 
 HEADLINE = [
     "clean_events",
@@ -59,8 +63,11 @@ HEADLINE = [
     "referential_check",
     "append_surrogate_ids",
 ]
+#: Timed and reported too, outside the total, which stays comparable between rounds.
+FURTHER = ["transaction_matches", "zalopay_lookup", "aggregation_report", "stream_exact_events"]
 RUNS = 3
-PIPELINE_SIZES = [int(n) for n in os.environ.get("BENCH_EVENTS", "100000,500000,2000000").split(",") if n]
+JSON_SIZE = 500_000
+PIPELINE_SIZES = [int(n) for n in os.environ.get("BENCH_EVENTS", "10000,100000,500000,2000000").split(",") if n]
 
 
 def median_time(run) -> float:
@@ -87,6 +94,8 @@ def copied_events(spark, sf_dir: str, size: int):
     grown = grown.withColumns(
         {"event_id": F.expr(f"event_id + n * {rows}L"), "user_id": F.expr("user_id + n * 100000L")}
     ).drop("n")
+    if size < rows:
+        grown = grown.where(F.col("event_id") <= size)
     grown.repartition(16).write.parquet(path)
     back = spark.read.parquet(path)
     return back, back.count()
@@ -110,6 +119,17 @@ def main() -> None:
         )
         queries[f"pipeline_{size}"] = seconds
         rates[f"pipeline_{size}"] = round(rows / seconds)
+        if size == JSON_SIZE:
+            lines = scratch_path(spark, "json-lines")
+            write_json_lines(tt.as_cart_events(events).drop("ingest_ord"), lines)
+            read = lambda: read_json_lines(spark, "cart_events", lines)
+            queries[f"pipeline_gz_json_{size}"] = median_time(lambda: run_transformation(read(), scratch_path(spark, "bench-json")))
+    if PIPELINE_SIZES:
+        out = scratch_path(spark, "bench-last")
+        run_transformation(tt.as_cart_events(events), out)
+        queries[f"aggregation_{size}"] = median_time(lambda: run_aggregation(spark, out))
+        rates[f"aggregation_{size}"] = round(rows / queries[f"aggregation_{size}"])
+    queries |= {name: median_time(lambda: drop(QUERIES[name](spark, sf_dir))) for name in FURTHER}
     headline = sum(queries[name] for name in HEADLINE)
     print(
         json.dumps(

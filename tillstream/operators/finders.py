@@ -177,30 +177,24 @@ def wallet_lookup(
 ) -> DataFrame:
     """First transaction matching any of an enquiry's keys, for a table of enquiries.
 
-    ``asked`` has a ``query_id`` and one column per entry of ``either`` (enquiry
-    column -> transaction column); ``missing`` fills the answer for no match. All keys
-    go through one equi-join on (which key, its value), so no OR condition forces a
-    nested loop and the transactions are scanned once.
+    ``asked`` has a ``query_id`` (repeated ones are one enquiry) and one column per entry of
+    ``either`` (enquiry column -> transaction column); ``missing`` fills the answer for no match. All
+    keys go through one equi-join on (which key, its value), so no OR condition forces a nested loop.
+    Only positions take part until each enquiry has its own; the answers join at the end, by position.
     """
 
-    def unpivoted(df: DataFrame, keys: list, *carried: str) -> DataFrame:
-        pairs = [F.struct(F.lit(i).alias("key_no"), k.cast("string").alias("key")) for i, k in enumerate(keys)]
-        return df.select(F.inline(F.array(*pairs)), *carried).filter(F.col("key").isNotNull())
+    def pairs(keys: list) -> Column:
+        every = [F.struct(F.lit(i).alias("key_no"), k.cast("string").alias("key")) for i, k in enumerate(keys)]
+        return F.filter(F.array(*every), lambda p: p["key"].isNotNull())
 
     typed = [F.col(a).cast(tx.schema[t].dataType) for a, t in either.items()]
-    wanted = unpivoted(asked, typed, "query_id")
-    carried = list(dict.fromkeys([*answer, "ingest_ord"]))
-    # only asked keys reach the window, where each task keeps one row per key
-    known = unpivoted(tx, [F.col(t) for t in either.values()], *carried).join(
-        wanted.select("key_no", "key").distinct(), ["key_no", "key"], "left_semi"
-    )
-    firsts = first_per_key(known, ["key_no", "key"], ["ingest_ord"])
-    hits = wanted.join(firsts, ["key_no", "key"]).select("query_id", *carried)
-    best = first_per_key(hits, ["query_id"], ["ingest_ord"]).drop("ingest_ord")
+    wanted = asked.select("query_id", F.inline_outer(pairs(typed)))
+    known = tx.select("ingest_ord", F.inline(pairs([F.col(t) for t in either.values()])))
+    firsts = known.groupBy("key_no", "key").agg(F.min("ingest_ord").alias("first"))
+    best = wanted.join(firsts, ["key_no", "key"], "left").groupBy("query_id").agg(F.min("first").alias("first"))
+    answers = tx.select(F.col("ingest_ord").alias("first"), *answer, F.lit(True).alias("_hit"))
     filled = [F.coalesce(F.col(c), F.lit(missing[c])).alias(c) if c in missing else F.col(c) for c in answer]
-    return asked.select("query_id").join(best.withColumn("_hit", F.lit(True)), "query_id", "left").select(
-        "query_id", F.coalesce("_hit", F.lit(False)).alias("found"), *filled
-    )
+    return best.join(answers, "first", "left").select("query_id", F.coalesce("_hit", F.lit(False)).alias("found"), *filled)
 
 
 def wallet_query(tx: DataFrame, either: dict[str, object], answer: list[str], missing: dict[str, object]) -> DataFrame:
