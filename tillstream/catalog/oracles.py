@@ -1169,6 +1169,14 @@ FROM numbered n JOIN newest w ON n.file = w.file""",
 ORACLES["published_events"] = ORACLES["pipeline_append"]
 ORACLES["published_summary"] = ORACLES["pipeline_summary_csv"]
 
+_sql(
+    "stream_set_aside",
+    _cart(),
+    CLEAN,
+    """SELECT DISTINCT event_id, CAST(NULL AS BIGINT) AS ingest_ord FROM clean WHERE ingest_ord % 53 <> 0
+UNION ALL SELECT event_id, ingest_ord FROM clean WHERE ingest_ord % 53 = 0""",
+)
+
 # --- codes, money, nested lines ----------------------------------------------------
 
 CODED = """

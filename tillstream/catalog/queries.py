@@ -1225,6 +1225,24 @@ def stream_progress(spark, d):
     return progress.totals(progress.read_progress(spark, folder)).select("input_rows", "late_rows")
 
 
+def _garbled(raw: DataFrame) -> DataFrame:
+    return raw.withColumn("timestamp", F.when(F.col("ingest_ord") % 53 == 0, F.concat(F.lit("on "), "timestamp")).otherwise(F.col("timestamp")))
+
+
+@query
+def stream_set_aside(spark, d):
+    """Of a stream with some unreadable times: the cleaned events and, marked, the rows set aside."""
+    out, aside, first, second = [scratch_path(spark, n) for n in ("stream", "aside", "checkpoint", "checkpoint")]
+
+    def receive(raw):
+        ingest.append_by_date(ingest.dedup_stream(ingest.clean_stream(_garbled(raw))), out, first)
+        ingest.set_aside(_garbled(raw), aside, second)
+
+    _delivered(spark, d, receive)
+    kept = readers.read_table(spark, out).select("event_id", F.lit(None).cast("bigint").alias("ingest_ord"))
+    return kept.unionByName(readers.read_table(spark, aside).select("event_id", "ingest_ord"))
+
+
 @query
 def stream_late_events(spark, d):
     """Events more than a day behind the newest of the deliveries before theirs."""

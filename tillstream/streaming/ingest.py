@@ -40,7 +40,8 @@ BatchWriter = Callable[[DataFrame, int], None]
 
 
 def clean_stream(raw: DataFrame) -> DataFrame:
-    """Cleaned events plus ``event_time``, the zoned type watermarks need."""
+    """Cleaned events plus ``event_time``, the zoned type watermarks need. Rows with an unreadable time
+    are left out: :func:`set_aside` over the same input stores them."""
     return clean_events(raw, strict=False).withColumn("event_time", F.col("timestamp").cast("timestamp"))
 
 
@@ -123,6 +124,13 @@ def unreadable_events(raw: DataFrame) -> DataFrame:
     return raw.filter(is_valid() & iso_timestamp_or_null(F.col("timestamp")).isNull())
 
 
+def set_aside(raw: DataFrame, out_dir: str, checkpoint: str) -> None:
+    """Store a raw stream's valid rows with an unreadable time, which ``clean_stream`` leaves out, and as
+    it got them. Run it beside the stream that uses the others, over the same files."""
+    writer = unreadable_events(raw).writeStream.format("parquet").outputMode("append").option("path", out_dir)
+    run_available(writer, checkpoint)
+
+
 def exact_writer(out_dir: str, aside_dir: str | None = None, counters_dir: str | None = None) -> BatchWriter:
     """Clean, de-duplicate and store a raw micro-batch; ids stored by earlier batches are skipped.
 
