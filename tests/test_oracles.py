@@ -18,7 +18,7 @@ def duck():
 
 def test_every_twin_has_a_query():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
-    assert set(QUERIES) - set(ORACLES) == {"aggregation_report"}
+    assert set(QUERIES) == set(ORACLES)
     assert set(QUERIES) <= set(__spark_entry__.queries())
 
 
