@@ -76,7 +76,7 @@ def _written(spark, d) -> DataFrame:
 
 
 def _sessions(spark, d) -> DataFrame:
-    return sessions.session_metrics(_prepared(spark, d))
+    return sessions.session_metrics(_written(spark, d))
 
 
 def _typed(spark, d, session_by="user") -> DataFrame:

@@ -61,12 +61,11 @@ def numbered_in_order(
     """
     hot_rows, listed = HOT_ROWS if hot_rows is None else hot_rows, LISTED if listed is None else listed
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
-    hot = materialise(_keyed(sizes, keys).withColumn("_hot", F.lit(True)), "hot-keys")
-    found = hot.count()
     by_window = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
-    if not found:
+    if sizes.isEmpty():
         return rows.withColumn(out, by_window)
-    if found > listed:
+    hot = materialise(_keyed(sizes, keys).withColumn("_hot", F.lit(True)), "hot-keys")
+    if hot.count() > listed:
         return _numbered_by_ranges(rows, keys, order, out, small=False)
     marked = rows.join(F.broadcast(hot), _same(rows, hot, keys), "left")
     cold = marked.where("_hot is null").select(*rows.columns).withColumn(out, by_window)
