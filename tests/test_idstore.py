@@ -56,3 +56,16 @@ def test_a_batch_reads_the_same_however_many_came_before(spark, tmp_path):
         store.add(ids, batch)
     assert max(buckets) <= 4  # two repeated ids, and hardly a false hit
     assert max(filters) < 3 * (1 << 20) // 8  # bounded by their bits, not by ids
+
+
+def _plan(df):
+    return df._jdf.queryExecution().explainString(df._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+
+
+def test_filters_and_stored_ids_are_exchanged_not_broadcast(spark, tmp_path):
+    """Their files are small beside their rows; a broadcast of them is built in the driver's memory."""
+    store = IdStore(spark, str(tmp_path / "ids"), buckets=4, bits=1 << 12)
+    store.add(_ids(spark, 0, 500), 0)
+    for asked in (store.likely(_ids(spark, 400, 600), 1), store.seen(_ids(spark, 400, 600), 1)):
+        asked.collect()
+        assert "SortMergeJoin" in _plan(asked) and "Broadcast" not in _plan(asked)

@@ -7,6 +7,9 @@ are new reads the filters and little else, however many batches came before.
 
 Below the store's folder, ``ids/bucket=<b>/batch_id=<n>`` has a batch's ids and ``filters/batch_id=<n>``
 the filters after it. A replayed batch asks and writes as of the batch before it.
+
+Filters and stored ids are joined by exchange, never broadcast: as parquet they are many times smaller than
+as rows, so Spark's estimate from the files would send millions of rows through the driver.
 """
 
 from __future__ import annotations
@@ -61,7 +64,7 @@ class IdStore:
             return rows.limit(0)
         filters, bits = found
         marks = self._marks(rows, bits)
-        hits = marks.join(filters, "word").where(F.col("bits").bitwiseAND(F.col("bit")) != 0)
+        hits = marks.join(filters.hint("merge"), "word").where(F.col("bits").bitwiseAND(F.col("bit")) != 0)
         hits = hits.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == HASHES)
         return hits.select("id", self.bucket("id").alias("bucket"))
 
@@ -71,7 +74,8 @@ class IdStore:
         named = [r["bucket"] for r in likely.select("bucket").distinct().collect()]  # as many as buckets
         if not named:
             return likely.select("id")
-        return likely.join(self.stored(batch_id, named).select("id", "bucket"), ["id", "bucket"], "left_semi").select("id")
+        stored = self.stored(batch_id, named).select("id", "bucket").hint("merge")
+        return likely.join(stored, ["id", "bucket"], "left_semi").select("id")
 
     def add(self, ids: DataFrame, batch_id: int) -> None:
         """Store the batch's ids, then the filters that know them."""
