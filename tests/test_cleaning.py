@@ -1,5 +1,6 @@
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 from tillstream.operators import cleaning
 
@@ -81,3 +82,11 @@ def test_new_events(make_events):
 def test_dedup_limits_groups_before_the_exchange(make_events):
     plan = cleaning.prepared_events(make_events({}))._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan and "PythonUDF" not in plan
+
+
+def test_known_ids_are_exchanged_not_broadcast(spark):
+    events = spark.range(10).select(F.concat(F.lit("e"), "id").alias("event_id"))
+    fresh = cleaning.new_events(events, events.where("event_id < 'e5'"))
+    assert [r.event_id for r in fresh.orderBy("event_id").collect()] == [f"e{i}" for i in range(5, 10)]
+    plan = fresh._jdf.queryExecution().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan

@@ -63,8 +63,8 @@ def prepared_events(raw: DataFrame) -> DataFrame:
 
 
 def new_events(events: DataFrame, stored_ids: DataFrame) -> DataFrame:
-    """Events whose id is not stored yet."""
-    return events.join(stored_ids.select("event_id"), "event_id", "left_anti")
+    """Events whose id is not stored yet; ids are never broadcast, however small their files look."""
+    return events.join(stored_ids.select("event_id").hint("merge"), "event_id", "left_anti")
 
 
 def run_statistics(raw: DataFrame) -> DataFrame:
