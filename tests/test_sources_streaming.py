@@ -237,3 +237,24 @@ def test_json_lines_stream_keeps_the_first_copy(spark, make_events, tmp_path):
     ingest.run_batches(stream, ingest.exact_writer(out), str(tmp_path / "cp"))
     rows = spark.read.parquet(out).select("event_id", "quantity").collect()
     assert sorted((r.event_id, r.quantity) for r in rows) == [("a", 1.0), ("b", 1.0)]
+
+
+def test_array_files_are_written_by_one_job(spark, tmp_path):
+    """Customers without a number too, in a file of their own; the number of jobs doesn't grow with the files."""
+    from tillstream.catalog import queries
+
+    given = tmp_path / "given"
+    spark.createDataFrame([(0, "N0")], "n_nationkey int, n_name string").write.parquet(str(given / "nation.parquet"))
+    rows = [(i, 0, f"C{i}", "M", 1.0) for i in (*range(1, 2000, 50), None)]
+    spark.createDataFrame(rows, "c_custkey bigint, c_nationkey int, c_name string, c_mktsegment string, c_acctbal double").write.parquet(str(given / "customer.parquet"))
+    context, folder = spark.sparkContext, str(tmp_path / "files")
+    try:
+        context.setJobGroup("arrays", "arrays")
+        queries._array_files(spark, str(given), folder)
+        jobs = context.statusTracker().getJobIdsForGroup("arrays")
+    finally:
+        context._jsc.clearJobGroup()
+    assert len(jobs) < 8
+    back = readers.read_batched(spark, "customers", folder)
+    assert {(r.id, r.batch) for r in back.collect()} == {(i, (i - 1) // 200) for i in range(1, 2000, 50)} | {(None, None)}
+    assert {r.id for r in readers.read_batched(spark, "customers", folder, 3).collect()} == {601, 651, 701, 751}
