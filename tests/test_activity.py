@@ -105,3 +105,45 @@ def test_carts_left_over_deliveries_and_restarts(arriving):
     arrive(_add("gone", 20, product=9))
     arrive(_add("clock", 200, kind="scroll"))
     assert run() == got
+
+
+def test_a_bucket_opens_only_sessions_with_rows_or_due():
+    add = lambda at, n: (at, n, "add_to_cart", 1, n, 10, "P")
+    carts = {}
+    assert activity._advance_bucket(carts, {"a": [add(1, 1)], "b": [add(5, 2)], "c": [(2, 0, None, 0, 1, 0, None)]}, 0, 10) == ([], 1)
+    later = carts["b"]
+    # a and c are closed by time alone, and c, emptied, leaves; b isn't opened: its state is of no use here
+    kept, carts["b"] = carts["b"], (50, "never", "read", "here")
+    left, wake = activity._advance_bucket(carts, {"d": [add(30, 4)]}, 13, 10)
+    assert sorted(left) == [("a", 1, 10, 1), ("c", 2, 0, 0)] and wake == 30
+    assert set(carts) == {"a", "b", "d"}
+    carts["b"] = kept
+    left, wake = activity._advance_bucket(carts, {}, 100, 10)
+    assert sorted(left) == [("b", 5, 20, 1), ("d", 30, 40, 1)] and wake is None
+
+
+def test_groups_handed_to_python_are_bounded(spark, make_events, tmp_path):
+    """However many sessions there are, a micro-batch has at most as many groups as buckets."""
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    make_events(*[_add(f"s{i}", i % 3) for i in range(40)], _add("clock", 90)).write.parquet(folder)
+    make_events(_add("clock", 120)).write.mode("append").parquet(folder)
+    typed = cleaning.typed_events(readers.stream_parquet(spark, folder))
+    events = typed.withColumn("event_time", F.col("event_time").cast("timestamp"))
+    writer = activity.carts_left(events, "24 hours", "2 hours", buckets=3).writeStream.foreachBatch(ingest.latest_writer(out))
+    run = writer.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    assert 0 < run.lastProgress.stateOperators[0].numRowsTotal <= 3
+    assert activity.carts_left_now(spark, out).count() == 41
+
+
+def test_micro_batches_of_several_files_keep_to_their_delivery(spark, tmp_path):
+    """Deliveries of fewer rows than files, and empty ones, are one micro-batch each too."""
+    from tillstream.catalog import queries
+
+    rows = [(i, datetime(2024, 1, day, 3), i, "view", 1.0, '{"k": 1}') for i, day in enumerate((1, 1, 9, 30), 1)]
+    schema = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    batches = []
+    stream = queries._arriving(spark, str(tmp_path), "user")
+    ingest.run_batches(stream, lambda b, n: batches.append(sorted(r.event_id for r in b.collect())), str(tmp_path / "cp"))
+    assert batches == [["evt_1", "evt_2"], [], ["evt_3"], [], [], [], [], ["evt_4"], [], []]

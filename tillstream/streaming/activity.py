@@ -82,37 +82,61 @@ class SessionCart:
         return min(times, default=None)
 
 
-def carts_left(events: DataFrame, gap: str, delay: str) -> DataFrame:
+def _advance_bucket(carts: dict, rows: dict, watermark: int, gap: int) -> tuple[list[tuple], int | None]:
+    """Bring a bucket's stored carts up to the watermark: what its sessions left, and when it next changes.
+
+    ``carts`` has (wake, seen, lines, waiting) of every session, ``rows`` its new events. Only sessions with
+    new events, or whose time has come, are opened.
+    """
+    left = []
+    due = [s for s, (wake, *_) in carts.items() if wake is not None and wake <= watermark and s not in rows]
+    for session in [*rows, *due]:
+        cart = SessionCart(*carts[session][1:]) if session in carts else SessionCart()
+        cart.waiting += rows.get(session, [])
+        closed = cart.advance(watermark, gap)
+        wake = cart.wake(gap)
+        if wake is None and not cart.lines:
+            carts.pop(session, None)
+        else:
+            carts[session] = (wake, *cart.state())
+        if closed is not None:
+            left.append((session, *closed))
+    return left, min((wake for wake, *_ in carts.values() if wake is not None), default=None)
+
+
+def carts_left(events: DataFrame, gap: str, delay: str, buckets: int = 1024) -> DataFrame:
     """A stream of session_id, last_activity, cart_value_vnd, item_count: what the cart held when its
     session had been inactive for ``gap``; an empty cart has a row too.
 
     ``events`` are typed events whose ``event_time`` is zoned and whose ``ingest_ord`` is a number. The
     state of a session is its cart and the events not yet behind the watermark; nothing stored is read
-    again. An event-time timer closes a session without further events. A session without anything in
-    its cart leaves the state when it closes. Rows more than ``delay`` late are dropped by Spark:
+    again. Sessions are stored in ``buckets`` by hash, as handing a group to Python costs far more than its
+    few events; all of a bucket's sessions should fit into a small part of a task's memory. An event-time timer
+    closes sessions without further events. A session without anything in its cart leaves the state when it closes. Rows more than ``delay`` late are dropped by Spark:
     ``late_writer`` on the same events with the same delay stores them.
     """
     spark = events.sparkSession
     gap_us = int(spark.sql(f"SELECT unix_micros(TIMESTAMP '1970-01-01 00:00:00Z' + INTERVAL {gap})").first()[0])
 
     def run(key, frames, state):
-        cart = SessionCart(*state.get) if state.exists else SessionCart()
+        carts = json.loads(state.get[0]) if state.exists else {}
+        rows = {}
         for frame in frames:
-            rows = zip(*(frame[c].tolist() for c in ("at", "ingest_ord", "kind", "product_id", "qty", "price", "name")))
-            cart.waiting += rows
+            columns = ("session_id", "at", "ingest_ord", "kind", "product_id", "qty", "price", "name")
+            for session, *event in zip(*(frame[c].tolist() for c in columns)):
+                rows.setdefault(session, []).append(tuple(event))
         watermark = state.getCurrentWatermarkMs()
-        left = cart.advance(watermark * 1000, gap_us)
-        wake = cart.wake(gap_us)
-        if wake is None and not cart.lines:
+        left, wake = _advance_bucket(carts, rows, watermark * 1000, gap_us)
+        if not carts:
             if state.exists:
                 state.remove()
         else:
-            state.update(cart.state())
+            state.update((json.dumps(carts),))
             if wake is not None:
                 # Timers before the watermark fire; a millisecond less makes it "not after".
                 state.setTimeoutTimestamp(max(-(-wake // 1000) - 1, watermark))
-        if left is not None:
-            yield pd.DataFrame([(key[0], *left)], columns=["session_id", "last_us", "cart_value_vnd", "item_count"])
+        if left:
+            yield pd.DataFrame(left, columns=["session_id", "last_us", "cart_value_vnd", "item_count"])
 
     kind = F.col("event_type")
     moves = kind.isin("add_to_cart", "remove_from_cart", "update_quantity") & F.coalesce(F.col("product_id") != 0, F.lit(False))
@@ -120,6 +144,7 @@ def carts_left(events: DataFrame, gap: str, delay: str) -> DataFrame:
         events.filter("session_id is not null and event_time is not null")
         .withWatermark("event_time", delay)
         .select(
+            F.expr(f"pmod(xxhash64(session_id), {buckets})").alias("bucket"),
             "session_id",
             "event_time",
             F.unix_micros("event_time").alias("at"),
@@ -131,10 +156,10 @@ def carts_left(events: DataFrame, gap: str, delay: str) -> DataFrame:
             F.col("product_name").alias("name"),
         )
     )
-    found = slim.groupBy("session_id").applyInPandasWithState(
+    found = slim.groupBy("bucket").applyInPandasWithState(
         run,
         "session_id string, last_us bigint, cart_value_vnd bigint, item_count bigint",
-        "seen bigint, lines string, waiting string",
+        "carts string",
         "append",
         "EventTimeTimeout",
     )
