@@ -60,3 +60,14 @@ def test_one_id_is_compared_in_the_type_of_its_column(spark):
     assert lookup.find_transaction("407", source).count() == 1
     for other in ["0407", "407.0", "", "9" * 19, "9" * 30, "TXN"]:
         assert lookup.find_transaction(other, source).count() == 0
+
+
+def test_lookup_meets_in_one_exchange_without_sorts(spark):
+    """Wanted ids and the sources' are folded in one aggregate: no join or sort holds them in a task's memory."""
+    wanted = spark.createDataFrame([("a",), ("b",), ("b",), (None,)], "transaction_id string")
+    rows = lambda *ids: spark.createDataFrame([(i, n) for n, i in enumerate(ids)], "transaction_id string, ingest_ord bigint")
+    found = lookup.transaction_lookup(wanted, {"paypal": rows("b", "b", "c", None), "odoo": rows("b", "d")})
+    assert {(r.transaction_id, tuple(r.found_in_sources), r.matches) for r in found.collect()} == {("a", (), 0), ("b", ("paypal", "odoo"), 2), (None, (), 0)}
+    assert found.count() == 3
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("Exchange") == 1 and "Join" not in plan and "Sort" not in plan

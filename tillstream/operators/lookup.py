@@ -78,29 +78,27 @@ def transaction_matches(keys: DataFrame, sources: dict[str, DataFrame]) -> DataF
 def transaction_lookup(keys: DataFrame, sources: dict[str, DataFrame]) -> DataFrame:
     """Per wanted id: the sources it was found in (search order) and their number.
 
-    Only the key columns are read, and only wanted ids go on. Each source is one bit,
-    so a repeated id is folded into one small number per task.
+    Only the key columns are read. Each source is one bit and the wanted ids are one more, so all of them meet
+    in one exchange, and a repeated id is folded into one small number; nothing is sorted or joined.
     """
-    wanted = keys.select("transaction_id").distinct()
+    asked = 1 << len(SOURCES)
     marks = [
         _keyed(name, df, F.lit(1 << SOURCES.index(name)).alias("mark")).withColumnRenamed("wanted_id", "transaction_id")
         for name, df in sources.items()
     ]
+    wanted = keys.select("transaction_id", F.lit(asked).alias("mark"))
     found = (
-        reduce(DataFrame.unionByName, marks)
-        .join(wanted, "transaction_id", "left_semi")
+        reduce(DataFrame.unionByName, [wanted, *marks])
         .groupBy("transaction_id")
         .agg(F.bit_or("mark").alias("mark"))
+        .where(F.col("mark") >= asked)
+        .select("transaction_id", (F.col("mark") - asked).alias("mark"))
     )
     names = F.filter(
         F.array(*[F.lit(s) for s in SOURCES]),
         lambda s, i: F.col("mark").bitwiseAND(F.element_at(F.array(*[F.lit(1 << n) for n in range(7)]), i + 1)) != 0,
     )
-    return wanted.join(found, "transaction_id", "left").select(
-        "transaction_id",
-        F.when(F.col("mark").isNull(), F.array().cast("array<string>")).otherwise(names).alias("found_in_sources"),
-        F.coalesce(F.bit_count("mark"), F.lit(0)).alias("matches"),
-    )
+    return found.select("transaction_id", names.alias("found_in_sources"), F.bit_count("mark").alias("matches"))
 
 
 def payment_reconciliation(orders: DataFrame, gateway: DataFrame, bank: DataFrame, how: str = "left") -> DataFrame:
