@@ -64,3 +64,31 @@ def test_converted_batches_are_folders(spark, tmp_path):
     explained = one._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
     assert "PartitionFilters: [isnotnull(batch" in explained
     assert one.where("city is not null").first().city == 'H"é'
+
+
+def test_one_converted_batch_lists_its_folder_only(spark, tmp_path):
+    out = str(tmp_path / "out")
+    spark.range(40).selectExpr("id", "if(id < 4, null, id div 4) as batch").write.partitionBy("batch").parquet(out)
+    one = readers.read_converted(spark, out, 2)
+    assert {f.rsplit("/", 2)[1] for f in one.inputFiles()} == {"batch=2"}
+    assert {(r.id, r.batch) for r in one.collect()} == {(i, 2) for i in range(8, 12)}
+    assert one.schema == readers.read_converted(spark, out).schema
+    assert readers.read_converted(spark, out, 77).count() == 0
+    assert readers.read_converted(spark, out).count() == 40
+
+
+def test_many_folders_are_listed_by_fewer_tasks(spark, tmp_path):
+    folder, context = str(tmp_path / "in"), spark.sparkContext
+    for n in range(250):
+        (tmp_path / "in" / f"name=customers_batch_{n}.json").mkdir(parents=True)
+        (tmp_path / "in" / f"name=customers_batch_{n}.json" / "part.txt").write_text(json.dumps([{"id": n}]))
+    try:
+        context.setJobGroup("listing", "listing")
+        rows = readers.read_batched(spark, "customers", folder)
+        tracker = context.statusTracker()
+        stages = [s for j in tracker.getJobIdsForGroup("listing") for s in tracker.getJobInfo(j).stageIds]
+        tasks = [tracker.getStageInfo(s).numTasks for s in stages]
+    finally:
+        context._jsc.clearJobGroup()
+    assert max(tasks, default=0) <= 200
+    assert rows.where("id = batch").count() == 250
