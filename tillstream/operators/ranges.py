@@ -22,6 +22,8 @@ from tillstream.session import materialise
 HOT_ROWS = 100_000
 #: So many hot keys, or ranges, are broadcast; beyond that they are joined by exchange.
 LISTED = 100_000
+#: Keys are counted by so many buckets first: where no bucket is large, no key is.
+BUCKETS = 1 << 16
 
 
 def _same(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Column:
@@ -57,11 +59,18 @@ def numbered_in_order(
     """``rows`` with the dense 1-based number of each within ``keys``, in ``order``.
 
     ``order`` tells all rows of a key apart. The keys' sizes are counted at once, so ``rows`` should be a
-    table, or cheap; keys that are missing are a key like others.
+    table, or cheap; keys that are missing are a key like others. They are counted by buckets of keys, and
+    by key in the buckets with more than ``hot_rows`` rows only.
     """
     hot_rows, listed = HOT_ROWS if hot_rows is None else hot_rows, LISTED if listed is None else listed
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
     by_window = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
+    full = rows.groupBy(bucket.alias("_bucket")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
+    large = [r["_bucket"] for r in full.select("_bucket").collect()]  # BUCKETS numbers at most
+    if not large:
+        return rows.withColumn(out, by_window)
+    within = rows if len(large) > BUCKETS // 2 else rows.where(bucket.isin(large))
+    sizes = within.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
     if sizes.isEmpty():
         return rows.withColumn(out, by_window)
     hot = materialise(_keyed(sizes, keys).withColumn("_hot", F.lit(True)), "hot-keys")

@@ -113,38 +113,38 @@ def session_metrics(events: DataFrame | None, pieces: DataFrame | None = None) -
     )
 
 
-def _spans(pieces: DataFrame, journey: bool) -> DataFrame:
-    """Per (session, segment): number of earlier events, with the session's own columns."""
+def _spans(pieces: DataFrame, journey: bool, table: DataFrame | None = None) -> DataFrame:
+    """Per (session, segment): number of earlier events, with the session's own columns, out of the
+    session table where there is one already."""
     places = pieces.select(*_PIECE, "n").withColumn("earlier", _earlier()).filter("piece = 0").drop("piece", "n")
+    names = ["session_id", "session_start", "session_end", "total_events", "session_duration_seconds", *(["event_journey"] if journey else [])]
+    if table is not None:
+        return places.join(table.select(*names), "session_id")
     whole = pieces.groupBy("session_id").agg(
         F.min("first_time").alias("session_start"),
         F.max("last_time").alias("session_end"),
         F.sum("n").alias("total_events"),
         *([_collected_types("segment", "piece").alias("parts")] if journey else []),
     )
-    whole = whole.select(
-        "session_id",
-        "session_start",
-        "session_end",
-        "total_events",
-        _duration(),
-        *([_journey("parts").alias("event_journey")] if journey else []),
-    )
-    return places.join(whole, "session_id")
+    whole = whole.withColumn("session_duration_seconds", _duration())
+    return places.join((whole.withColumn("event_journey", _journey("parts")) if journey else whole).select(*names), "session_id")
 
 
-def enrich_events(events: DataFrame, pieces: DataFrame | None = None, journey: bool = True) -> DataFrame:
+def enrich_events(
+    events: DataFrame, pieces: DataFrame | None = None, journey: bool = True, table: DataFrame | None = None
+) -> DataFrame:
     """Every event with its number in the session and the session's columns.
 
     The wide rows are exchanged once, on (session, segment); the span rows join
     on the same keys, so a session with a third of the events stays spread out.
     With ``journey`` every row has its session's whole journey, so a session's rows
     grow with the square of its length; without, the session table alone has it.
+    ``table`` is the written session table of these pieces: then sessions aren't put together again.
     """
     numbered = _in_segments(events)
     pieces = session_pieces(_order_only(events)) if pieces is None else pieces
     return (
-        numbered.join(_spans(pieces, journey), ["session_id", "segment"])
+        numbered.join(_spans(pieces, journey, table), ["session_id", "segment"])
         .withColumn("event_sequence_num", F.col("earlier") + F.col("_local"))
         .drop("segment", "_local", "earlier")
     )

@@ -36,7 +36,8 @@ def run_transformation(raw: DataFrame, out_dir: str) -> dict[str, str]:
     raw files are parsed once), and their session pieces (sessions are ordered once;
     ``journey_parts`` reads whole journeys from them). The other outputs read only the
     columns they need from these, and work lost with an executor is redone from there.
-    They are independent jobs, submitted together to fill each other's idle slots.
+    They are submitted together to fill each other's idle slots; only the events wait for
+    the session table, whose columns they take.
     The run's counters are observed while the first table is written; sessions and
     customers are counted on the pieces.
     """
@@ -50,9 +51,13 @@ def run_transformation(raw: DataFrame, out_dir: str) -> dict[str, str]:
     counts = {**observed(seen, raw, *incoming), **observed(kept, events, *left)}
     write_table(session_pieces(events), paths[PIECES])
     pieces = spark.read.parquet(paths[PIECES])
+
+    def sessions_and_events():
+        write_table(session_metrics(None, pieces=pieces), paths[SESSIONS])
+        write_partitioned(enrich_events(events, pieces=pieces, table=spark.read.parquet(paths[SESSIONS])), paths[EVENTS])
+
     outputs = [
-        lambda: write_partitioned(enrich_events(events, pieces=pieces), paths[EVENTS]),
-        lambda: write_table(session_metrics(None, pieces=pieces), paths[SESSIONS]),
+        sessions_and_events,
         lambda: write_csv(daily_summary(events), paths[SUMMARY]),
         lambda: write_table(_statistics(counts, pieces), paths[STATISTICS]),
     ]
