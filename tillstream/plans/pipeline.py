@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tillstream.operators.cleaning import is_valid, new_events, prepared_events
@@ -87,20 +87,30 @@ def _statistics(counts: dict, pieces: DataFrame) -> DataFrame:
     )
 
 
-def touched_by(raw: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _dates(rows: DataFrame) -> Column:
+    """Whether a row's date is one of those of ``rows``: as many values as days, so folders are left out by it."""
+    known = [r["date"] for r in rows.select("date").distinct().collect()]
+    found = F.col("date").isin([d for d in known if d is not None])
+    return F.coalesce(found, F.lit(False)) if None not in known else F.col("date").isNull() | found
+
+
+def touched_by(raw: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """What a batch of raw events changes in the stored events: the ids of the sessions that get new
-    events, these sessions' pieces, and all rows of the dates on which they have events.
+    events, these sessions' pieces and table rows, and all rows of the dates on which they have events.
 
-    All is written apart: a table being read must not change under a write.
+    All is written apart: a table being read must not change under a write. Of the stored events, ids
+    and dates are read whole, the wide rows only where their date has such a session.
     """
     fresh = materialise(new_events(prepared_events(raw), stored.select("event_id")), "append-events")
-    touched = fresh.select("session_id").distinct()
-    again = stored.join(touched, "session_id", "left_semi").select(*fresh.columns).unionByName(fresh)
+    touched = materialise(fresh.select("session_id").distinct(), "touched-sessions")
+    held = stored.where(_dates(stored.select("session_id", "date").join(touched, "session_id", "left_semi")))
+    again = held.join(touched, "session_id", "left_semi").select(*fresh.columns).unionByName(fresh)
     again = materialise(again, "touched-events")
     pieces = materialise(session_pieces(again), "touched-pieces")
-    dates = again.select(F.col("date").alias("_date")).distinct()  # one may be missing
-    others = stored.join(dates, stored["date"].eqNullSafe(dates["_date"]), "left_semi").join(touched, "session_id", "left_anti")
-    return touched, pieces, materialise(others.unionByName(enrich_events(again, pieces=pieces)), "touched-dates")
+    table = materialise(session_metrics(None, pieces=pieces), "touched-table")
+    others = stored.where(_dates(again)).join(touched, "session_id", "left_anti")
+    rows = others.unionByName(enrich_events(again, pieces=pieces, table=table))
+    return touched, pieces, table, materialise(rows, "touched-dates")
 
 
 def append_events(spark: SparkSession, raw: DataFrame, out_dir: str) -> None:
@@ -110,9 +120,9 @@ def append_events(spark: SparkSession, raw: DataFrame, out_dir: str) -> None:
     dates on which such a session has events are rewritten; the other sessions keep their rows.
     """
     paths = {name: f"{out_dir}/{name}" for name in (EVENTS, SESSIONS, PIECES, SUMMARY)}
-    touched, pieces, rows = touched_by(raw, spark.read.parquet(paths[EVENTS]))
+    touched, pieces, table, rows = touched_by(raw, spark.read.parquet(paths[EVENTS]))
     write_partitioned(rows, paths[EVENTS], only_present=True)
-    for name, new in ((SESSIONS, session_metrics(None, pieces=pieces)), (PIECES, pieces)):
+    for name, new in ((SESSIONS, table), (PIECES, pieces)):
         kept = spark.read.parquet(paths[name]).join(touched, "session_id", "left_anti")
         write_table(materialise(kept.unionByName(new), "append-sessions"), paths[name])
     write_csv(daily_summary(spark.read.parquet(paths[EVENTS])), paths[SUMMARY])

@@ -16,7 +16,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillstream.operators.metrics import daily_summary
-from tillstream.operators.sessions import session_metrics
 from tillstream.plans.pipeline import EVENTS, PIECES, SESSIONS, SUMMARY, run_transformation, touched_by
 from tillstream.session import materialise
 from tillstream.sources.sinks import flat, write_csv, write_partitioned, write_table
@@ -85,12 +84,12 @@ def publish_run(raw: DataFrame, out_dir: str) -> None:
 def publish_append(spark: SparkSession, raw: DataFrame, out_dir: str) -> None:
     """Like ``append_events``, as one change; the summary is computed for the touched dates only."""
     state, folder = pointer(spark, out_dir), _new_folder(out_dir)
-    touched, pieces, rows = touched_by(raw, published_events(spark, out_dir))
+    touched, pieces, table, rows = touched_by(raw, published_events(spark, out_dir))
     dates = [r["date"] and str(r["date"]) for r in rows.select("date").distinct().collect()]  # as many as days
     if not dates:
         return  # nothing new
     write_partitioned(rows, f"{folder}/{EVENTS}")
-    for name, new in ((SESSIONS, session_metrics(None, pieces=pieces)), (PIECES, pieces)):
+    for name, new in ((SESSIONS, table), (PIECES, pieces)):
         kept = published_table(spark, out_dir, name).join(touched, "session_id", "left_anti")
         write_table(kept.unionByName(new), f"{folder}/{name}")
     summary = published_table(spark, out_dir, SUMMARY)
